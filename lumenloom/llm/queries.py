@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_native
+from . import queries_native, queries_python
 
-QUERIES = {**queries_native.QUERIES}
-ORACLE_SQL = {**queries_native.ORACLE_SQL}
+QUERIES = {**queries_native.QUERIES, **queries_python.QUERIES}
+ORACLE_SQL = {**queries_native.ORACLE_SQL, **queries_python.ORACLE_SQL}
