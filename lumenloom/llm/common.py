@@ -46,6 +46,11 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
+def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); a component is its smallest node.
 
@@ -115,9 +120,10 @@ _U = np.uint64
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64, element by element."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+        return x ^ (x >> _U(31))
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))

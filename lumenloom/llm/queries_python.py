@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import media, packing, token_orc
+from . import jaccard, media, packing, token_orc
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,10 +29,14 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokens_round_trip(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op1_flac": op1_flac, "op2_token_orc": op2_token_orc, "op8_best_fit": op8_best_fit}
+QUERIES = {"op1_flac": op1_flac, "op2_token_orc": op2_token_orc, "op3_jaccard": op3_jaccard, "op8_best_fit": op8_best_fit}
 ORACLE_SQL: dict[str, str] = {}
