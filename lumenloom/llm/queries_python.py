@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, media, packing, token_orc
+from . import jaccard, media, packing, suffix, token_orc
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,10 +33,14 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.judge_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op1_flac": op1_flac, "op2_token_orc": op2_token_orc, "op3_jaccard": op3_jaccard, "op8_best_fit": op8_best_fit}
+QUERIES = {"op1_flac": op1_flac, "op2_token_orc": op2_token_orc, "op3_jaccard": op3_jaccard, "op7_suffix_array": op7_suffix_array, "op8_best_fit": op8_best_fit}
 ORACLE_SQL: dict[str, str] = {}
