@@ -179,5 +179,10 @@ def judge_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judge_quality(docs, labels, threshold).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns.
+
+    The verdict goes through a generator, behind which the optimizer doesn't push the filter:
+    pushed down, it would compute the word lists again for each word.
+    """
+    judged = judge_quality(docs, labels, threshold)
+    return judged.select(*docs.columns, F.explode(F.array("kept")).alias("_kept")).where("_kept").select(*docs.columns)
