@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, media, packing, suffix, token_orc
+from . import html_text, jaccard, media, packing, suffix, token_orc, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +33,15 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), threshold=0.3)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.judge_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
 
@@ -42,5 +51,13 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op1_flac": op1_flac, "op2_token_orc": op2_token_orc, "op3_jaccard": op3_jaccard, "op7_suffix_array": op7_suffix_array, "op8_best_fit": op8_best_fit}
+QUERIES = {
+    "op1_flac": op1_flac,
+    "op2_token_orc": op2_token_orc,
+    "op3_jaccard": op3_jaccard,
+    "op4_toxicity": op4_toxicity,
+    "op6_html_text": op6_html_text,
+    "op7_suffix_array": op7_suffix_array,
+    "op8_best_fit": op8_best_fit,
+}
 ORACLE_SQL: dict[str, str] = {}
