@@ -33,10 +33,12 @@ from .common import materialize
 
 #: Documented bounds of what is learned from.
 TOXIC_ROWS, CLEAN_ROWS, ARCS, FEATURES = 6_000, 14_000, 4_096, 60_000
-LEAST_ROWS = 5
-LEAST_ODDS = 3.0
-#: The share of other documents an arc may have, against its toxic ones.
-MOST_CLEAN = 0.02
+LEAST_ROWS = 4
+LEAST_ODDS = 1.5
+#: Least likelihood-ratio statistic of an arc against chance.
+LEAST_RATIO = 15.0
+#: A longer arc with this share of an arc's toxic documents replaces it.
+SPECIFIC = 0.95
 NEGATED, REPORTED, TARGETED, REACH = 0.5, 0.6, 1.25, 3
 THREAT_WEIGHT = 4.0
 
@@ -55,6 +57,7 @@ class Grammar:
 
     arcs: dict[str, float] = field(default_factory=dict)
     slope: float = 3.0
+    length: float = 0.0
     shift: float = -3.0
 
     def machine(self):
@@ -75,8 +78,9 @@ class Grammar:
         out.make_automaton()
         return out
 
-    def score(self, evidence: float) -> float:
-        return 1.0 / (1.0 + math.exp(-(self.slope * math.log1p(evidence) + self.shift)))
+    def score(self, evidence: F.Column, n_chars: F.Column) -> F.Column:
+        at = F.lit(self.slope) * F.log1p(evidence) + F.lit(self.length) * F.log1p(n_chars) + F.lit(self.shift)
+        return 1 / (1 + F.exp(-at))
 
 
 def lexical(word: str, insult: float) -> tuple[str, float]:
@@ -164,7 +168,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # at most TOXIC_ROWS + CLEAN_ROWS ids
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
     least = F.array_min(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
-    return found.withColumn("_least", least).dropDuplicates(["_least", "toxic"]).drop("_least")
+    most = F.array_max(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
+    once = found.withColumns({"_least": least, "_most": most}).dropDuplicates(["_least", "toxic"])
+    return once.dropDuplicates(["_most", "toxic"]).drop("_least", "_most")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
@@ -199,39 +205,54 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 
     counted = rows.where("toxic = 0").select("text").mapInArrow(clean_shares, "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n"))
     clean = {r.arc: r.n for r in counted.collect()}  # at most FEATURES
-    arcs: dict[str, float] = {}
-    for arc, n in sorted(bad.items(), key=lambda x: (len(x[0]), x[0])):
-        other = clean.get(arc, 0)
-        odds = math.log((n + 0.5) / (n_bad + 1)) - math.log((other + 0.5) / (n_clean + 1))
-        start = arc.rstrip("*")
-        implied = any(start[:k] + "*" in arcs for k in range(3, len(start) + (arc != start)) if start[:k] + "*" != arc)
-        if other <= MOST_CLEAN * n and odds >= LEAST_ODDS and not implied:
-            arcs[arc] = odds
+    arcs = choose_arcs(bad, clean, n_bad, n_clean)
     grammar = Grammar(dict(sorted(arcs.items(), key=lambda x: (-x[1], x[0]))[:ARCS]))
     if n_bad and n_clean:
         _fit_curve(grammar, rows)
     return grammar
 
 
+def choose_arcs(bad: dict[str, int], clean: dict[str, int], n_bad: int, n_clean: int) -> dict[str, float]:
+    """Significant arcs and their log odds, from document counts of each feature."""
+    arcs: dict[str, float] = {}
+    share = min(max(n_bad / max(n_bad + n_clean, 1), 1e-6), 1 - 1e-6)
+    inner: dict[str, tuple[int, int]] = {}  # counts of the best accepted arc inside a shorter one
+    for arc in sorted(bad, key=lambda a: (-len(a.rstrip("*")), a)):
+        start, (n_in, other_in) = arc.rstrip("*"), inner.get(arc, (0, 0))
+        n, other = bad[arc], clean.get(arc, 0)
+        odds = math.log((n + 0.5) / (n_bad + 1)) - math.log((other + 0.5) / (n_clean + 1))
+        rest, other_rest = n - n_in, max(other - other_in, 0)  # what the longer arc leaves
+        both = rest + other_rest
+        if n_in >= SPECIFIC * n or not rest or odds < LEAST_ODDS:
+            continue
+        ratio = 2 * (rest * math.log(rest / (both * share)) + (other_rest * math.log(other_rest / (both * (1 - share))) if other_rest else 0.0))
+        if rest > both * share and ratio >= LEAST_RATIO:
+            arcs[arc] = odds
+            for k in range(3, len(start) + (arc != start)):
+                short = start[:k] + "*"
+                if short != arc:
+                    inner[short] = max(inner.get(short, (0, 0)), (n, other))
+    return arcs
+
+
 def _fit_curve(grammar: Grammar, rows: DataFrame) -> None:
-    """Slope and shift by penalised Newton steps on at most TOXIC_ROWS + CLEAN_ROWS (evidence, label) pairs."""
+    """The curve by penalised Newton steps on at most TOXIC_ROWS + CLEAN_ROWS labelled points."""
     import numpy as np
 
-    pairs = _with_evidence(rows, grammar, ["toxic"]).select("evidence", "toxic").collect()
-    x = np.log1p(np.array([p.evidence for p in pairs]))
+    pairs = _with_evidence(rows, grammar, ["toxic"]).select("evidence", "n_chars", "toxic").collect()
+    grid = np.array([(math.log1p(p.evidence), math.log1p(p.n_chars), 1.0) for p in pairs])
     y = np.array([p.toxic for p in pairs], dtype=float)
-    grid = np.stack([x, np.ones_like(x)], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    ridge = np.array([0.05, 0.05, 1e-6])
+    w = np.array([1.0, 0.0, 0.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(grid @ w, -30, 30)))
-        pull = np.array([0.05 * w[0], 0.0])
-        hess = grid.T @ (grid * (p * (1 - p))[:, None]) + np.diag([0.05, 1e-6])
-        step = np.linalg.solve(hess, grid.T @ (p - y) + pull)
-        w = w - np.clip(step, -2, 2)
+        hess = grid.T @ (grid * (p * (1 - p))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(hess, grid.T @ (p - y) + ridge * w)
+        w = w - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-9:
             break
     if w[0] > 0:
-        grammar.slope, grammar.shift = float(w[0]), float(w[1])
+        grammar.slope, grammar.length, grammar.shift = map(float, w)
 
 
 def _with_evidence(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
@@ -240,17 +261,19 @@ def _with_evidence(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFr
 
         machine = grammar.machine()
         for batch in batches:
-            found = [evidence(t, machine) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*keep, "evidence"])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            found = pa.array([evidence(t, machine) for t in texts], pa.float64())
+            sizes = pa.array([len(t or "") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found, sizes], [*keep, "evidence", "n_chars"])
 
-    schema = T.StructType([docs.schema[c] for c in keep]).add("evidence", "double")
+    schema = T.StructType([docs.schema[c] for c in keep]).add("evidence", "double").add("n_chars", "long")
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs`` (doc_id, text)."""
     grammar = learn(docs, labels)
-    score = 1 / (1 + F.exp(-(F.lit(grammar.slope) * F.log1p("evidence") + F.lit(grammar.shift))))
+    score = grammar.score(F.col("evidence"), F.col("n_chars"))
     return _with_evidence(docs, grammar, ["doc_id"]).select(
         "doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "evidence"
     )
