@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .tokens import encoder
+from .tokens import encoder, row_slices
 
 CAPACITY = 2048
 OPEN_BINS = 8192
@@ -71,8 +71,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
-            for lo in range(0, len(ids), 512):
-                for doc, got in zip(ids[lo : lo + 512], encode(batch.column(1).slice(lo, 512).to_pylist()), strict=True):
+            for lo, hi in row_slices(batch.column(1)):
+                for doc, got in zip(ids[lo:hi], encode(batch.column(1).slice(lo, hi - lo)), strict=True):
                     got += tail
                     n = len(got) // 4
                     first = n % capacity or capacity

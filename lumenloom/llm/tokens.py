@@ -1,7 +1,14 @@
 """Tokenizer ids of whole texts, with a memo over white-space separated pieces.
 
-Both supported vocabularies never merge across the pieces used here, so encoding each distinct
-piece once with the tokenizers library gives the ids of the whole text. The memo is bounded.
+Neither vocabulary merges across the pieces used here, so encoding each distinct piece once
+with the tokenizers library gives the ids of the whole text. Splitting, counting distinct pieces
+and gathering ids are Arrow kernels; the memo is bounded.
+
+``word`` vocabularies drop white space and case: pieces are what ASCII white space separates,
+with A-Z lower-cased. ``byte`` vocabularies keep both: in a text whose white space is single
+spaces and line feeds, pieces are words with the space before them, and line feeds; any other
+text is cut by ``KEPT``. Full stops and commas that end a piece behind a letter are pieces of
+their own.
 """
 
 from __future__ import annotations
@@ -9,51 +16,125 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode White_Space, as the tokenizers' patterns see it.
-_S = r"\t-\r \x85\xa0  -     　"
-#: White space is dropped: pieces are runs of other characters.
-DROPPED = re.compile(f"[^{_S}]+")
+_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space is kept: one space joins the word behind it, the rest of a run stands alone.
 KEPT = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
-MEMO_PIECES = 600_000
+#: What a text must not hold for the plain cut at spaces and line feeds (RE2).
+UNEVEN = r"[\x00\t\x{0b}\x{0c}\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
+#: Pieces remembered in each of two generations; a piece in use moves to the younger one.
+MEMO_PIECES = 250_000
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    A batch's pieces are dictionary-encoded first, so each distinct one is looked up or encoded
+    once a batch, and the ids of all pieces are gathered in one step.
+    """
 
-    def __init__(self, path: str, pieces: re.Pattern) -> None:
+    def __init__(self, path: str, keeps_space: bool) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = pieces.findall
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            pieces = self.split(text or "")
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
-            except KeyError:
-                self._learn(pieces)
-                out.append(b"".join(map(self.memo.__getitem__, pieces)))
+        self.keeps_space = keeps_space
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts) -> list[bytes]:
+        """``texts``: an Arrow string array; a null is empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # taking every row also copies a slice: the lower-casing kernel reads slices wrongly
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+        if self.keeps_space:
+            uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN))
+            plain = pc.if_else(pa.array(~uneven), texts, pa.scalar("", pa.large_string()))
+            marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+            split = pc.split_pattern(marked, "\0")
+        else:
+            uneven = np.zeros(len(texts), dtype=bool)
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        out = self._gather(split.flatten(), np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py())
+        for i in np.flatnonzero(uneven):
+            pieces = KEPT.findall(texts[int(i)].as_py())
+            out[i] = self._gather(pa.array(pieces, pa.large_string()), np.array([0, len(pieces)]))[0]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _gather(self, flat, ends) -> list[bytes]:
+        """The ids of each run of pieces ``flat[ends[i]:ends[i + 1]]``."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not len(flat):
+            return [b""] * (len(ends) - 1)
+        coded = flat.dictionary_encode()
+        ids = self._encode(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        offsets = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=offsets[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<u4")))
+        blob = np.asarray(lists.take(coded.indices).flatten()).tobytes()
+        at = np.zeros(len(flat) + 1, dtype=np.int64)
+        np.cumsum(sizes[np.asarray(coded.indices)], out=at[1:])
+        cuts = (4 * at[ends]).tolist()
+        return [blob[a:b] for a, b in pairwise(cuts)]
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, with the stops at their ends looked up apart."""
+        bases, stops = [], {}
+        for i, p in enumerate(pieces):
+            if p and p[-1] in ".,":
+                base = p.rstrip(".,")
+                if base and base[-1].isalpha():
+                    stops[i] = p[len(base) :]
+                    p = base
+            bases.append(p)
+        known = self._lookup(dict.fromkeys([*bases, *stops.values()]))
+        return [known[p] + known[stops[i]] if i in stops else known[p] for i, p in enumerate(bases)]
+
+    def _lookup(self, pieces: dict[str, None]) -> dict[str, bytes]:
         import numpy as np
 
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
-        for piece, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[piece] = np.array(got.ids, dtype="<u4").tobytes()
+        if len(self.young) > MEMO_PIECES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for p in pieces:
+            if p not in young:
+                got = old.get(p)
+                if got is None:
+                    new.append(p)
+                else:
+                    young[p] = got
+        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            young[piece] = np.array(got.ids, dtype="<u4").tobytes()
+        return young
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """One encoder a Python worker for each vocabulary."""
-    return Encoder(path, KEPT if keeps_space else DROPPED)
+    return Encoder(path, keeps_space)
+
+
+def row_slices(column, most: int = 4 << 20):
+    """(first, stop) rows of an Arrow string column of about ``most`` bytes together."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right"))
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
