@@ -1,4 +1,6 @@
 """Registered queries over the driver tables and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import corpus_queries, eval_queries, stream_queries
+
+QUERIES = {**corpus_queries.QUERIES, **eval_queries.QUERIES, **stream_queries.QUERIES}
+ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **eval_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL}
