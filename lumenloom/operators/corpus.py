@@ -78,6 +78,12 @@ def top_label(probs: Column) -> Column:
     return F.coalesce(best["k"], F.lit("unknown"))
 
 
+def three_places(x: Column) -> Column:
+    """``x`` to three places, ties to even: only odd sixteenths are ties that a double holds exactly."""
+    tie = (x * 16 == F.floor(x * 16)) & (F.floor(x * 16) % 2 == 1)
+    return F.format_string("%.3f", F.when(tie, F.bround(x, 3)).otherwise(x))
+
+
 def lid_result(
     probs: Column, id_ratio: Column, my_ratio: Column, min_malay: float = 0.7, max_indo: float = 0.2, min_english: float = 0.8, max_marker: float = 0.02
 ) -> Column:
@@ -105,7 +111,7 @@ def lid_result(
                     v.isin("malay", "manglish", "rojak"),
                     F.when(malay < min_malay, f"fasttext_malay_prob<{min_malay}")
                     .when(indo > max_indo, f"fasttext_indonesian_prob>{max_indo}")
-                    .when((s["id"] > max_marker) & (s["id"] > s["my"]), F.concat(F.lit("lexicon_indonesian_markers="), F.format_string("%.3f", s["id"]), F.lit(f">{max_marker}"))),
+                    .when((s["id"] > max_marker) & (s["id"] > s["my"]), F.concat(F.lit("lexicon_indonesian_markers="), three_places(s["id"]), F.lit(f">{max_marker}"))),
                 ).alias("rejected_by"),
             ),
         )
