@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
-from .tokens import encoder
+from .common import shared_dir, trimmed
+from .tokens import encoder, row_slices
 
 STRIDE = 10_000
 STRIPE = 64 << 20
@@ -68,10 +68,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bo
         now, start = None, 0
         for batch in batches:
             parts = batch.column(2).to_pylist()
-            for lo in range(0, len(parts), 512):
-                got = [b + tail for b in encode(batch.column(1).slice(lo, 512).to_pylist())]
+            for lo, hi in row_slices(batch.column(1)):
+                got = [b + tail for b in encode(batch.column(1).slice(lo, hi - lo))]
                 starts = []
-                for p, b in zip(parts[lo : lo + 512], got, strict=True):
+                for p, b in zip(parts[lo:hi], got, strict=True):
                     if p != now:
                         now, start = p, 0
                     starts.append(start)
@@ -82,8 +82,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bo
                 np.cumsum(sizes, out=offsets[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(2).slice(lo, 512),
-                        batch.column(0).slice(lo, 512),
+                        batch.column(2).slice(lo, hi - lo),
+                        batch.column(0).slice(lo, hi - lo),
                         pa.array(starts, pa.int64()),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
@@ -94,7 +94,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bo
     schema = T.StructType([T.StructField("part", T.IntegerType()), id_type])
     schema = schema.add("local_start", "long").add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
     (
-        dealt.mapInArrow(run, schema)
+        dealt.mapInArrow(trimmed(run), schema)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
@@ -145,7 +145,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             )
 
     schema = T.StructType([tokens.schema["doc_id"]]).add("start", "long").add("n_tokens", "long").add("ids_crc32", "long")
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, schema)
+    return tokens.select("doc_id", "start", "ids").mapInArrow(trimmed(run), schema)
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -17,6 +17,7 @@ import os
 import re
 from functools import lru_cache
 from itertools import pairwise
+from struct import pack
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -26,6 +27,8 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 KEPT = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
 #: What a text must not hold for the plain cut at spaces and line feeds (RE2).
 UNEVEN = r"[\x00\t\x{0b}\x{0c}\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
+#: A stop behind anything but a letter, digit or ASCII white space may belong to a longer run.
+CLUSTER = r"[^\p{L}\p{N} \t\n\r][.,]"
 #: Pieces remembered in each of two generations; a piece in use moves to the younger one.
 MEMO_PIECES = 250_000
 
@@ -55,19 +58,30 @@ class Encoder:
         # taking every row also copies a slice: the lower-casing kernel reads slices wrongly
         texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
         if self.keeps_space:
-            uneven = np.asarray(pc.match_substring_regex(texts, UNEVEN))
+            uneven = np.asarray(pc.match_substring_regex(texts, f"{UNEVEN}|{CLUSTER}"))
             plain = pc.if_else(pa.array(~uneven), texts, pa.scalar("", pa.large_string()))
+            plain = self._part_stops(plain, "\0")
             marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
             split = pc.split_pattern(marked, "\0")
         else:
             uneven = np.zeros(len(texts), dtype=bool)
-            split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            low = pc.ascii_lower(texts)
+            split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, CLUSTER), low, self._part_stops(low, " ")))
         out = self._gather(split.flatten(), np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py())
         for i in np.flatnonzero(uneven):
             pieces = KEPT.findall(texts[int(i)].as_py())
             out[i] = self._gather(pa.array(pieces, pa.large_string()), np.array([0, len(pieces)]))[0]
         return out
 
+    @staticmethod
+    def _part_stops(texts, mark: str):
+        """Set the stops before white space apart, so words with and without them are one piece."""
+        import pyarrow.compute as pc
+
+        for stop in (". ", ", ", ".\n", ",\n"):
+            texts = pc.replace_substring(texts, stop, mark + stop)
+        return texts
+
     def _gather(self, flat, ends) -> list[bytes]:
         """The ids of each run of pieces ``flat[ends[i]:ends[i + 1]]``."""
         import numpy as np
@@ -89,20 +103,20 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, with the stops at their ends looked up apart."""
-        bases, stops = [], {}
+        stops = {}
         for i, p in enumerate(pieces):
-            if p and p[-1] in ".,":
+            if p[-1:] in (".", ","):
                 base = p.rstrip(".,")
-                if base and base[-1].isalpha():
+                if base[-1:].isalpha():
                     stops[i] = p[len(base) :]
-                    p = base
-            bases.append(p)
-        known = self._lookup(dict.fromkeys([*bases, *stops.values()]))
-        return [known[p] + known[stops[i]] if i in stops else known[p] for i, p in enumerate(bases)]
+                    pieces[i] = base
+        known = self._lookup(dict.fromkeys([*pieces, *stops.values()]))
+        out = list(map(known.__getitem__, pieces))
+        for i, stop in stops.items():
+            out[i] += known[stop]
+        return out
 
     def _lookup(self, pieces: dict[str, None]) -> dict[str, bytes]:
-        import numpy as np
-
         if len(self.young) > MEMO_PIECES:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
@@ -115,7 +129,8 @@ class Encoder:
                 else:
                     young[p] = got
         for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            young[piece] = np.array(got.ids, dtype="<u4").tobytes()
+            ids = got.ids
+            young[piece] = pack(f"<{len(ids)}I", *ids)
         return young
 
 
@@ -125,7 +140,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def row_slices(column, most: int = 4 << 20):
+def row_slices(column, most: int = 6 << 20):
     """(first, stop) rows of an Arrow string column of about ``most`` bytes together."""
     import numpy as np
     import pyarrow.compute as pc
