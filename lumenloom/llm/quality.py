@@ -68,7 +68,9 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
         docs.select("doc_id", "text")
         .join(F.broadcast(trusted), "doc_id", "left")  # at most trusted_rows ids
         .select("_trusted", word_shapes(F.col("text")).alias("_shapes"))
-        .select("_trusted", F.explode(grams(F.col("_shapes"), buckets)).alias("bucket"))
+        # the outer form: for the inner one the optimizer would test the array's size by computing it again
+        .select("_trusted", F.explode_outer(grams(F.col("_shapes"), buckets)).alias("bucket"))
+        .where("bucket is not null")
         .groupBy("bucket")
         .agg(F.count("*").alias("n"), F.count("_trusted").alias("t"))
     )
