@@ -22,6 +22,12 @@ def identity_hash(recipe: dict) -> str:
     return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def fingerprint(config: dict) -> str:
+    """16 hex digits of a configuration, whether it is a dry run or profiled apart."""
+    kept = {k: v for k, v in config.items() if k not in ("dry_run", "profiling")}
+    return hashlib.sha256(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 def assert_same_identity(recipes: list[dict]) -> str:
     found = {identity_hash(r) for r in recipes}
     if len(found) != 1:

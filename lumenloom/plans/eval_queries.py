@@ -520,3 +520,85 @@ def run_matrix(spark, sf_dir):  # R1
 def scalar_formats(spark, sf_dir):  # T30 T31 T32
     name = F.concat("event_type", F.lit(" (ms) #"), F.col("user_id").cast("string"))
     return table(spark, sf_dir, "events").select("event_id", tx.format_scalar(F.col("value")).alias("shown"), tx.slug(name).alias("slug"))
+
+
+# ------------------------------------------------------------------------- smaller operators
+
+
+@register(
+    "classifier_input",
+    "SELECT doc_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 2000) AS cleaned, left(text, 64) AS head, ('0x' || substr(md5(left(text, 8)), 1, 8))::BIGINT & 2147483647 AS token_id FROM documents",
+)
+def classifier_input(spark, sf_dir):  # T13 T28 T34
+    from ..functions.hashing import token_id
+
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tx.classifier_input(t).alias("cleaned"), F.substring(t, 1, 64).alias("head"), token_id(F.substring(t, 1, 8)).alias("token_id")
+    )
+
+
+@register("router_width_filter", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 2 AND 1024 AND (p_size = 16 OR NOT EXISTS (SELECT 1 FROM part WHERE p_size = 16))")
+def router_width_filter(spark, sf_dir):  # F10 B1
+    return rc.exact_width(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", 16)
+
+
+@register(
+    "context_clamp",
+    "SELECT p_partkey, least(4096, CASE WHEN p_size * 100 - 500 > 0 THEN p_size * 100 - 500 ELSE 4096 END) AS context, coalesce(CASE WHEN p_size % 4 > 1 THEN p_size % 4 END, CASE WHEN p_size > 1 THEN p_size END, 8) AS experts FROM part",
+)
+def context_clamp(spark, sf_dir):  # M15 M17
+    s = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", rc.context_length(F.lit(4096), s * 100 - 500).alias("context"), rc.first_valid([s % 4, s], 2, 8).alias("experts")
+    )
+
+
+@register(
+    "checkpoint_staleness",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no_record' WHEN o_orderkey % 5 = 0 THEN 'error' WHEN o_orderstatus <> 'O' THEN 'other_recipe' WHEN o_custkey % 3 = 0 THEN 'no_experts_quantized' END AS stale_reason FROM orders""",
+)
+def checkpoint_staleness(spark, sf_dir):  # G10
+    runs = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "if(o_orderkey % 7 = 0, null, 'p') as checkpoint_path", "if(o_orderkey % 5 = 0, 'failed', null) as error", "o_orderstatus as recipe_hash", "o_custkey % 3 as experts_quantized"
+    )
+    return rc.staleness(runs, "O").select("o_orderkey", "stale_reason")
+
+
+@register(
+    "parallel_unpivot",
+    "SELECT item_id, 'english' AS language, left(text, 20) AS question FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT item_id, 'malay', right(text, 20) FROM benchmark WHERE text IS NOT NULL",
+)
+def parallel_unpivot(spark, sf_dir):  # S19 S20
+    wide = table(spark, sf_dir, "benchmark").selectExpr("item_id", "named_struct('question', left(text, 20)) as english", "named_struct('question', right(text, 20)) as malay")
+    long = wide.unpivot("item_id", ["english", "malay"], "language", "cell")
+    return long.where("cell.question is not null").select("item_id", "language", "cell.question")
+
+
+@register("ids_except", "SELECT DISTINCT o_custkey AS id FROM orders EXCEPT SELECT user_id FROM events")
+def ids_except(spark, sf_dir):  # X2 X3
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).subtract(table(spark, sf_dir, "events").select("user_id"))
+
+
+@register("existing_columns", "SELECT side, n_tokens, kl_mean FROM (WITH " + KL + " SELECT side, " + SUMMARY + " FROM kl GROUP BY side)")
+def existing_columns(spark, sf_dir):  # O7 R6
+    summary = rounded(ev.kl_summary(kl_rows(spark, sf_dir), ["side"]))
+    return summary.select([c for c in ("side", "variant", "n_tokens", "kl_mean") if c in summary.columns])
+
+
+@register("first_pairs", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 100")
+def first_pairs(spark, sf_dir):  # S29 O5
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").orderBy("conv_id", "turn").limit(100)
+
+
+@register(
+    "calibration_scan",
+    "SELECT count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS n_empty, bool_and(('<|user|>' || coalesce(text, '')) LIKE '<|%') AS prefixed FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 64)",
+)
+def calibration_scan(spark, sf_dir):  # S14 S18 G5
+    some = table(spark, sf_dir, "documents").orderBy("doc_id").limit(64)
+    return some.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.coalesce("text", F.lit("")) == "").alias("n_empty"),
+        F.bool_and(F.startswith(F.concat(F.lit("<|user|>"), F.coalesce("text", F.lit(""))), F.lit("<|"))).alias("prefixed"),
+    )

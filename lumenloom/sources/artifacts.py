@@ -123,6 +123,41 @@ def flatten_json(df: DataFrame, column: str, keys: list[str], depth: int = 3) ->
     return out.where("value is not null")
 
 
+def discover_metrics(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(metric, value) of the first load-test export that names a throughput: JSON, JSON lines, then CSV; raw logs are skipped."""
+    for kind, pattern in (("json", "*.json"), ("jsonl", "*.jsonl"), ("csv", "*.csv")):
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        if kind == "csv":
+            rows = reader.option("header", True).csv(folder) if _any_file(spark, folder, ".csv") else None
+            found = csv_metrics(rows, rows.columns[0]) if rows is not None else None
+        else:
+            if not _any_file(spark, folder, f".{kind}"):
+                continue
+            text = reader.option("wholetext", kind == "json").text(folder).withColumn("f", F.col("_metadata.file_path")).where(~F.endswith("f", F.lit("_raw.jsonl")))
+            found = flatten_json(text.dropDuplicates(["f"]), "value", ["f"]).select("metric", "value")
+        if found is not None and not found.where(F.contains("metric", F.lit("throughput"))).isEmpty():
+            return found
+    return None
+
+
+def _any_file(spark: SparkSession, folder: str, ending: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)  # noqa: SLF001
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(ending):
+            return True
+    return False
+
+
+def track(df: DataFrame, path: str, run: str) -> bool:
+    """Append finite (metric, value) rows of a run to a table; a tracker that fails does not fail the run."""
+    try:
+        finite_metrics(df).withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 def finite_metrics(df: DataFrame) -> DataFrame:
     return df.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
 

@@ -190,6 +190,7 @@ def test_recipes():
     a = {"name": "a", "algorithm": "x", "calibration": {"n": 1}}
     assert recipes.identity_hash(a) == recipes.identity_hash({**a, "name": "b", "calibration": {"n": 2}})
     assert recipes.materialise(a, n=5)["calibration"] == {"n": 5}
+    assert recipes.fingerprint({"x": 1, "dry_run": True}) == recipes.fingerprint({"x": 1, "dry_run": False}) != recipes.fingerprint({"x": 2})
     with pytest.raises(recipes.RecipeError):
         recipes.assert_same_identity([a, {**a, "algorithm": "y"}])
 

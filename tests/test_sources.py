@@ -62,3 +62,13 @@ def test_stream_quota(spark, tmp_path):
     stream = cs.document_stream(spark, str(tmp_path))
     got = {r.c: r["count"] for r in cs.drain(cs.class_quota(stream, "c", 5), "append").groupBy("c").count().collect()}
     assert got == {"a": 5, "b": 3}
+
+
+def test_discovery_and_tracking(spark, tmp_path):
+    (tmp_path / "a_raw.jsonl").write_text('{"request_throughput": 1}\n')
+    (tmp_path / "m.json").write_text('{"request_throughput": {"avg": 2.5}, "other": 1}')
+    found = artifacts.discover_metrics(spark, str(tmp_path))
+    assert sorted((r.metric, r.value) for r in found.collect()) == [("other", 1.0), ("request_throughput_avg", 2.5)]
+    assert artifacts.track(found, str(tmp_path / "runs"), "r1") and spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    (tmp_path / "empty").mkdir()
+    assert artifacts.discover_metrics(spark, str(tmp_path / "empty")) is None
