@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, trimmed
 
 #: Documented bounds of what is learned from.
 TOXIC_ROWS, CLEAN_ROWS, ARCS, FEATURES = 6_000, 14_000, 4_096, 60_000
 LEAST_ROWS = 4
 LEAST_ODDS = 1.5
-#: Least likelihood-ratio statistic of an arc against chance.
-LEAST_RATIO = 15.0
+#: An arc's likelihood-ratio statistic passes twice the log of the number of features tested by this.
+LEAST_RATIO = 1.0
 #: A longer arc with this share of an arc's toxic documents replaces it.
 SPECIFIC = 0.95
 NEGATED, REPORTED, TARGETED, REACH = 0.5, 0.6, 1.25, 3
@@ -127,7 +127,7 @@ def evidence(text: str | None, machine) -> float:
         if first and low[first - 1].isalpha():
             continue
         ends = stop + 1 == len(low) or not low[stop + 1].isalpha()
-        weight = max(prefix, whole if ends else 0.0)
+        weight = whole if ends else prefix  # a word start is learned from longer words only
         if weight or (ends and start in THREATS):
             hits[first] = max(weight, hits.get(first, 0.0))
     if not hits:
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
                 if features:
                     yield pa.RecordBatch.from_arrays([pa.array(features)], ["arc"])
 
-    toxic = rows.where("toxic = 1").select("text").mapInArrow(shares, "arc string").groupBy("arc").agg(F.count("*").alias("n"))
+    toxic = rows.where("toxic = 1").select("text").mapInArrow(trimmed(shares), "arc string").groupBy("arc").agg(F.count("*").alias("n"))
     often = toxic.where(F.col("n") >= LEAST_ROWS).orderBy(F.col("n").desc(), "arc").limit(FEATURES)
     bad = {r.arc: r.n for r in often.collect()}  # at most FEATURES
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -203,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
                 seen.update(f for f in word_features(text) if f in bad)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["arc", "n"])
 
-    counted = rows.where("toxic = 0").select("text").mapInArrow(clean_shares, "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n"))
+    counted = rows.where("toxic = 0").select("text").mapInArrow(trimmed(clean_shares), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n"))
     clean = {r.arc: r.n for r in counted.collect()}  # at most FEATURES
     arcs = choose_arcs(bad, clean, n_bad, n_clean)
     grammar = Grammar(dict(sorted(arcs.items(), key=lambda x: (-x[1], x[0]))[:ARCS]))
@@ -220,13 +220,13 @@ def choose_arcs(bad: dict[str, int], clean: dict[str, int], n_bad: int, n_clean:
     for arc in sorted(bad, key=lambda a: (-len(a.rstrip("*")), a)):
         start, (n_in, other_in) = arc.rstrip("*"), inner.get(arc, (0, 0))
         n, other = bad[arc], clean.get(arc, 0)
-        odds = math.log((n + 0.5) / (n_bad + 1)) - math.log((other + 0.5) / (n_clean + 1))
         rest, other_rest = n - n_in, max(other - other_in, 0)  # what the longer arc leaves
         both = rest + other_rest
-        if n_in >= SPECIFIC * n or not rest or odds < LEAST_ODDS:
+        if n_in >= SPECIFIC * n or not rest:
             continue
+        odds = math.log((rest + 0.5) / (n_bad + 1)) - math.log((other_rest + 0.5) / (n_clean + 1))
         ratio = 2 * (rest * math.log(rest / (both * share)) + (other_rest * math.log(other_rest / (both * (1 - share))) if other_rest else 0.0))
-        if rest > both * share and ratio >= LEAST_RATIO:
+        if odds >= LEAST_ODDS and rest > both * share and ratio >= LEAST_RATIO + 2 * math.log(max(len(bad), 1)):
             arcs[arc] = odds
             for k in range(3, len(start) + (arc != start)):
                 short = start[:k] + "*"
@@ -267,7 +267,7 @@ def _with_evidence(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found, sizes], [*keep, "evidence", "n_chars"])
 
     schema = T.StructType([docs.schema[c] for c in keep]).add("evidence", "double").add("n_chars", "long")
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(trimmed(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
