@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,31 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
+def trimmed(run):
+    """``run`` over Arrow batches, giving freed memory back to the system when a task ends.
+
+    Workers outlive their tasks, so what the allocators keep would count against the next stage.
+    """
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -211,7 +237,7 @@ def _fold(words: np.ndarray) -> np.uint64:
     return value
 
 
-def text_chunks(column, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Split an Arrow string or binary column into (first row, bytes, offsets) of about ``most`` bytes.
 
     Nulls count as empty. A longer text is a chunk of its own.

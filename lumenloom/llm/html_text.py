@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_side
+from .common import materialize, small_side, trimmed
 from .url_filter import host_of
 
 #: Paths a page votes for.
@@ -228,7 +228,7 @@ def path_votes(pages: DataFrame) -> DataFrame:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["host", "path", "share"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share double")
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(trimmed(run), "host string, path string, share double")
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -255,4 +255,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             )
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"]]).add("text", "string").add("n_chars", "long").add("path", "string")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "html", "path").mapInArrow(trimmed(run), schema)

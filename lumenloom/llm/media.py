@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 CHUNK = 1 << 20
 PAD = 64
 
@@ -47,7 +49,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                 )
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n_bytes", "long").add("media", "binary")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def read_features(media: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def read_features(media: DataFrame) -> DataFrame:
         ("feature", "string"),
     ]:
         schema = schema.add(name, kind)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(trimmed(run), schema)
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -132,4 +134,4 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     )
 
     schema = T.StructType([media.schema["doc_id"]]).add("first_sample", "long").add("n_samples", "long").add("pcm", "binary")
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "media").mapInArrow(trimmed(run), schema)

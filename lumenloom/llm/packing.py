@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, trimmed
 from .tokens import encoder, row_slices
 
 CAPACITY = 2048
@@ -88,7 +88,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 )
 
     schema = T.StructType([docs.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -128,7 +128,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
                 [*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

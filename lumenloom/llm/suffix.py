@@ -35,13 +35,14 @@ import hashlib
 import os
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, materialize, text_chunks
+from .common import materialize, Rolling, text_chunks, trimmed
 
 LENGTH = 400
 GRAM = 50
@@ -174,7 +175,7 @@ def _pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row, data, offsets in text_chunks(batch.column(1), 2 << 20):
+            for row, data, offsets in text_chunks(batch.column(1)):
                 text, anchor, place, first, last = anchors(data, offsets, length, gram)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
@@ -182,7 +183,7 @@ def _pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         ["fp", "anchor", "place", "first", "last"],
                     )
 
-    return texts.select("fp", "data").mapInArrow(run, "fp binary, anchor long, place long, first long, last long")
+    return texts.select("fp", "data").mapInArrow(trimmed(run), "fp binary, anchor long, place long, first long, last long")
 
 
 def _repeated_runs(segments: DataFrame, length: int) -> DataFrame:
@@ -218,7 +219,7 @@ def _repeated_runs(segments: DataFrame, length: int) -> DataFrame:
         if done:
             yield from solve(done)
 
-    return segments.select("anchor", "fp", "place", "first", "last", "piece").mapInArrow(run, "fp binary, a long, b long")
+    return segments.select("anchor", "fp", "place", "first", "last", "piece").mapInArrow(trimmed(run), "fp binary, a long, b long")
 
 
 def _counted_runs(segments: DataFrame, length: int) -> DataFrame:
@@ -268,7 +269,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
         for batch in batches:
             rows = []
-            for fp, data, copies, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            parts = (batch.slice(lo, 500) for lo in range(0, batch.num_rows, 500))
+            for fp, data, copies, spans in chain.from_iterable(zip(*(p.column(i).to_pylist() for i in range(4)), strict=True) for p in parts):
                 if copies > 1 and len(data) >= length:
                     merged = [(0, len(data))]
                 else:
@@ -287,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 rest = b"".join(kept)
                 row = (fp, len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest())
                 rows.append((*row, rest.decode("utf-8", "ignore")) if with_kept else row)
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
                     rows = []
             if rows:
@@ -301,7 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         fields.append(("kept", pa.string()))
         schema += ", kept string"
     names, kinds = [f[0] for f in fields], pa.schema(fields)
-    return texts.select("fp", "data", "copies").join(spans, "fp", "left").select("fp", "data", "copies", "spans").mapInArrow(judge, schema)
+    return texts.select("fp", "data", "copies").join(spans, "fp", "left").select("fp", "data", "copies", "spans").mapInArrow(trimmed(judge), schema)
 
 
 def judge_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
