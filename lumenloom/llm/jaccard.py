@@ -6,11 +6,13 @@ range of the order, and a document's set into one segment a fragment.
 Candidates. Sizes fall into classes such that two sets within the threshold lie in the same or
 neighbouring classes. Two such sets differ in at most H elements (H follows from the class), so
 of H + s fragments at least s hold equal segments. A set therefore announces a digest of each
-non-empty segment, for its class and the one below; sets with s or more empty segments also
-announce their first elements in the global order (a prefix filter), which settles the pairs
-whose equal segments are all empty. No qualifying pair is missed, and a shared passage or a
-frequent n-gram alone makes no candidate. Sets sharing a digest are tied to the least of them
-(a star, not all pairs), and the connected groups of stars are the units of counting.
+non-empty segment, for its class and the one below, with its need: s less its empty segments. A
+set stays while at least that many of its digests have another holder, checked twice; so a
+shared passage or a frequent n-gram makes no candidate, and no qualifying pair is missed. Sets
+with s or more empty segments also announce their first elements in the global order (a
+prefix filter) and need one holder, which settles pairs whose equal segments are all empty.
+Sets sharing a digest are tied to the least of them (a star, not all pairs), and the connected
+groups of stars are the units of counting.
 
 Counting. A unit's sets are cut into blocks, bounded in documents and in elements, and every
 pair of blocks is one task's run: it counts partial overlaps fragment by fragment, sums them
@@ -30,14 +32,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, mix64, shingle_hashes, small_side, text_chunks
+from .common import connected_components, materialize, mix64, shingle_hashes, small_side, text_chunks, trimmed
 
-BLOCK_DOCS = 1024
-BLOCK_ELEMENTS = 2 << 20
+BLOCK_DOCS = 512
+BLOCK_ELEMENTS = 1 << 20
 #: Shared elements counted at once; bounds the memory of one fragment's incidence matrix.
 FRAGMENT_ELEMENTS = 4096
 #: A candidate list of at most this many rows is broadcast; a larger one is shuffled.
@@ -53,22 +55,26 @@ def size_classes(percent: int, most: int = 1 << 34) -> tuple[np.ndarray, np.ndar
         low.append(low[-1] * 100 // percent + 1)
         differ = (low[-1] - 1) * (100 - percent) // percent
         s = 2
-        for _ in range(4):  # as many spare fragments as a set of the class usually leaves empty
+        for _ in range(4):  # a quarter, and as many spare fragments as a set of the class usually leaves empty
             f = differ + s
-            s = 2 + int(round(1.5 * f * np.exp(-low[-2] / f)))
+            s = 2 + differ // 4 + int(round(1.5 * f * np.exp(-low[-2] / f)))
         frag.append(differ + s)
         spare.append(s)
     return np.array(low[:-1]), np.array(frag), np.array(spare)
 
 
-def segment_digests(hashes: np.ndarray, owner: np.ndarray, docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, document) rows announced by sets given as sorted (document, hash) arrays."""
+#: Bits of a digest and of a set's number in an announcement; clashes only add candidates.
+DIGEST_BITS, NODE_BITS, NEED_BITS = 48, 47, 15
+
+
+def segment_digests(hashes: np.ndarray, owner: np.ndarray, docs: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(digest, document, role, need) rows announced by sets given as sorted (document, hash) arrays."""
     low, frag, spare = size_classes(percent)
     n = np.bincount(owner, minlength=docs)
     first = np.cumsum(n) - n
     own = np.searchsorted(low, n, side="right") - 1
     value = mix64(hashes)
-    out, docs_out = [], []
+    out, docs_out, roles, needs = [], [], [], []
     for role in (0, 1):
         c = own - role
         live = (c >= 0) & (n > 0)
@@ -76,16 +82,18 @@ def segment_digests(hashes: np.ndarray, owner: np.ndarray, docs: int, percent: i
         h, d, v = hashes[take], owner[take], value[take]
         if not len(h):
             continue
-        f = frag[np.maximum(c, 0)]
-        at = ((h >> _U(32)) * f[d].astype(np.uint64)) >> _U(32)
+        at = ((h >> _U(32)) * frag[np.maximum(c, 0)][d].astype(np.uint64)) >> _U(32)
         fresh = np.ones(len(h), dtype=bool)
         fresh[1:] = (at[1:] != at[:-1]) | (d[1:] != d[:-1])
         begin = np.flatnonzero(fresh)
         total = np.add.reduceat(v, begin)
         tag = (c[d[begin]].astype(np.uint64) << _U(40)) + at[begin]
+        empty = frag[np.maximum(c, 0)] - np.bincount(d[begin], minlength=docs)
+        need = np.maximum(spare[np.maximum(c, 0)] - empty, 1)
         out.append(mix64(total + mix64(tag)))
         docs_out.append(d[begin])
-        empty = f - np.bincount(d[begin], minlength=docs)
+        roles.append(np.full(len(begin), role))
+        needs.append(need[d[begin]])
         sparse = np.flatnonzero(live & (empty >= spare[np.maximum(c, 0)]))
         if len(sparse):
             prefix = n[sparse] - -(-n[sparse] * percent // 100) + 1
@@ -93,9 +101,12 @@ def segment_digests(hashes: np.ndarray, owner: np.ndarray, docs: int, percent: i
             tag = (c[owner[index]].astype(np.uint64) << _U(40)) + _U((1 << 40) - 1)
             out.append(mix64(hashes[index] ^ mix64(tag)))
             docs_out.append(owner[index])
+            roles.append(np.full(len(index), role))
+            needs.append(np.ones(len(index), dtype=np.int64))
     if not out:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out), np.concatenate(docs_out)
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, none
+    return tuple(np.concatenate(c) for c in (out, docs_out, roles, needs))
 
 
 def set_digests(hashes: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +133,19 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                 n, high, low = set_digests(*shingle_hashes(data, offsets, words), rows)
                 fp = [f"{a:016x}{b:016x}" if k else None for a, b, k in zip(high.tolist(), low.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(high.view(np.int64), mask=n == 0), pa.array(fp, pa.string())],
+                    [batch.column(0).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(short_node(high), mask=n == 0), pa.array(fp, pa.string())],
                     ["doc_id", "n_shingles", "node", "fp"],
                 )
 
     schema = T.StructType([docs.schema["doc_id"]]).add("n_shingles", "long").add("node", "long").add("fp", "string")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def announce(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(digest, node) rows of all sets; equal sets that meet in one chunk of input announce once."""
+    """(digest, key) rows of all sets; ``key`` packs node, role and need into one number.
+
+    Equal sets that meet in one task announce once.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -150,22 +164,40 @@ def announce(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(seen) > 1_000_000:  # only saves repeats
                     seen.clear()
                 keep = fresh[owner]
-                digest, d = segment_digests(hashes[keep], owner[keep], rows, percent)
+                digest, d, role, need = segment_digests(hashes[keep], owner[keep], rows, percent)
+                digest = (digest >> _U(64 - DIGEST_BITS)).astype(np.int64)
+                need = np.minimum(need, (1 << NEED_BITS) - 1)
+                key = (short_node(high[d]) << (NEED_BITS + 1)) | (role << NEED_BITS) | need
                 for lo in range(0, len(digest), 1 << 18):
                     part = slice(lo, lo + (1 << 18))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(digest[part].view(np.int64)), pa.array(high[d[part]].view(np.int64))], ["digest", "node"]
+                        [pa.array(digest[part]), pa.array(key[part])], ["digest", "key"]
                     )
 
-    return docs.select("text").mapInArrow(run, "digest long, node long")
+    return docs.select("text").mapInArrow(trimmed(run), "digest long, key long")
+
+
+def short_node(high: np.ndarray) -> np.ndarray:
+    return (high >> _U(64 - NODE_BITS)).astype(np.int64)
 
 
 def candidate_units(announced: DataFrame) -> DataFrame:
     """(node, unit): groups of sets connected by shared digests; sets without a partner are left out."""
-    from pyspark.sql import Window
-
-    least = F.min("node").over(Window.partitionBy("digest"))
-    stars = announced.select(F.col("node").alias("src"), least.alias("dst")).where("src != dst").distinct()
+    node = F.shiftright("key", NEED_BITS + 1)
+    need = F.col("key").bitwiseAND((1 << NEED_BITS) - 1)
+    held = Window.partitionBy("digest")
+    rows = announced
+    for _ in range(2):
+        shared = materialize(
+            rows.withColumns({"node": node, "least": F.min(node).over(held), "most": F.max(node).over(held)})
+            .where("least != most")
+            .select("digest", "key", "least")
+            .distinct(),
+            "shared",
+        )
+        enough = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("key")
+        rows = shared.join(enough, "key", "left_semi").select("digest", "key")
+    stars = rows.select(node.alias("src"), F.min(node).over(held).alias("dst")).where("src != dst").distinct()
     return connected_components(stars, "candidates").withColumnRenamed("component", "unit")
 
 
@@ -209,7 +241,7 @@ def count_blocks(units: DataFrame, docs: DataFrame, sets: DataFrame, words: int,
                     kept = batch.select(range(5)).take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(blobs, pa.binary())], [*kept.schema.names, "items"])
 
-    with_sets = found.mapInArrow(read_sets, "fp string, unit long, copies long, blocks int, block int, items binary")
+    with_sets = found.mapInArrow(trimmed(read_sets), "fp string, unit long, copies long, blocks int, block int, items binary")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "unit", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "fp", "copies", "items"
     )
@@ -239,7 +271,7 @@ def count_blocks(units: DataFrame, docs: DataFrame, sets: DataFrame, words: int,
                 out = []
         yield from emit(out + _links(now, run_rows, percent))
 
-    return dealt.mapInArrow(run, "src string, dst string, links long")
+    return dealt.mapInArrow(trimmed(run), "src string, dst string, links long")
 
 
 def fragment_overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -349,8 +381,6 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     Of rows that repeat that id, one stays for each component. Rows with a null id go if their
     component has another row, and stay otherwise.
     """
-    from pyspark.sql import Window
-
     judged = materialize(jaccard_components(docs, words, percent), "judged")
     go = judged.where(
         (F.col("n_links") > 0) & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
