@@ -11,7 +11,8 @@ clauses, and a two-parameter logistic curve turns it into a score.
 Learning. Insult arcs are words and word starts of 3 to 7 letters that toxic training
 documents share and others lack; weights are log odds. The curve is fitted on the same rows.
 At most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled rows are used (lowest CRC-32 of
-the id first), near copies once; at most ``ARCS`` arcs are kept. Rows whose
+the id first), near copies once (five-word shingles at a
+verified similarity of 0.8, as in ``jaccard``); at most ``ARCS`` arcs are kept. Rows whose
 crc32(doc_id) mod 4 is 2 are held out. Only ``text`` and ``toxic`` are learned from.
 
 Defined results: null or empty text has no evidence and gets the curve's lowest score.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, trimmed
+from .jaccard import keep_one_of_each
 
 #: Documented bounds of what is learned from.
 TOXIC_ROWS, CLEAN_ROWS, ARCS, FEATURES = 6_000, 14_000, 4_096, 60_000
@@ -159,18 +161,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the bounded labelled sample, near copies once."""
+    """(text, toxic) of the bounded labelled sample, near copies of one label once (the lowest doc_id)."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic").distinct()
     order = [F.crc32(F.concat(F.lit("toxic"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     picked = rows.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).union(
         rows.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS)
     )
     # at most TOXIC_ROWS + CLEAN_ROWS ids
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    least = F.array_min(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
-    most = F.array_max(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
-    once = found.withColumns({"_least": least, "_most": most}).dropDuplicates(["_least", "toxic"])
-    return once.dropDuplicates(["_most", "toxic"]).drop("_least", "_most")
+    found = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
+    once = [keep_one_of_each(found.where(F.col("toxic") == label), words=5, percent=80) for label in (1, 0)]
+    return once[0].union(once[1]).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:

@@ -374,6 +374,27 @@ def test_toxicity_learns(spark):
     assert toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(rows)
 
 
+def test_toxicity_training_rows(spark):
+    """Rows that share words stay; near copies of one label go, all but the lowest id."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    common = ["the", "of", "and", "to", "in"]
+    rows = [(i, " ".join(common + [word() for _ in range(60)])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 20)] + [(300, rows[30][1]), (31, rows[32][1] + " again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxic = lambda i: int(i % 4 == 0)
+    labels = spark.createDataFrame([(i, toxic(i)) for i in sorted({r[0] for r in rows})], "doc_id long, toxic int")
+    got = collections.Counter((r.text, r.toxic) for r in toxicity.training_rows(docs, labels).collect())
+    left = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want, sets = collections.Counter(), {}
+    for i, text in sorted(left):
+        s = shingle_set(text, 5)
+        if not any(100 * len(s & t) >= 80 * len(s | t) for t in sets.setdefault(toxic(i), [])):
+            want[(text, toxic(i))] += 1
+        sets[toxic(i)].append(s)
+    assert got == want and len(left) - 24 < want.total() < len(left)
+
+
 def test_html():
     page = """<html><head><title>t</title><script>var a="</p><article>";</script><style>p{}</style></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a href=/a>menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
