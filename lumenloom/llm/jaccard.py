@@ -345,11 +345,8 @@ def _links(key, rows: list, percent: int) -> list[tuple[str, str | None, int]]:
     return out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text).
-
-    ``n_links`` counts the other documents a document is linked with, copies included.
-    """
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, fp, component, component_id, n_links) for every row; ``component`` is null for an empty set."""
     sets = materialize(document_sets(docs, words), "sets")
     units = materialize(candidate_units(announce(docs, words, percent)), "units")
     links = materialize(count_blocks(units, docs, sets, words, percent), "links")
@@ -365,32 +362,85 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     )
     named = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     by_set = classes.join(named, "component").select(
-        "fp", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "fp", "component", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return sets.join(by_set, "fp", "left").select(
         "doc_id",
         "n_shingles",
+        "fp",
+        "component",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text).
+
+    ``n_links`` counts the other documents a document is linked with, copies included.
+    """
+    return _judged(docs, words, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _with_set(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the digest ``_fp`` of each row's set."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, data, offsets in text_chunks(batch.column(at)):
+                n, high, low = set_digests(*shingle_hashes(data, offsets, words), len(offsets) - 1)
+                fp = [f"{a:016x}{b:016x}" if k else None for a, b, k in zip(high.tolist(), low.tolist(), n.tolist(), strict=True)]
+                part = batch.slice(lo, len(fp))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp, pa.string())], [*part.schema.names, "_fp"])
+
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields]).add("_fp", "string"))
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near copies: of each component the row with the smallest doc_id stays.
+    """``docs`` without near copies: of each component one row stays, that with the smallest doc_id.
 
-    Of rows that repeat that id, one stays for each component. Rows with a null id go if their
-    component has another row, and stay otherwise.
+    Null ids come last; of rows that repeat the id, or have none, the one with the smallest set
+    digest stays, then that with the smallest text. Rows without a near copy stay, whatever their id.
     """
-    judged = materialize(jaccard_components(docs, words, percent), "judged")
-    go = judged.where(
-        (F.col("n_links") > 0) & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    ).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(small_side(materialize(go, "go")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    again = judged.where("n_links > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    if again.isEmpty():
+    judged = materialize(_judged(docs, words, percent), "judged")
+    linked = judged.where("n_links > 0")
+    ids = (
+        judged.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n"), F.max("n_links").alias("links"), F.max("component_id").alias("low"))
+        .where("links > 0")
+    )
+    # an id of one row decides by itself
+    go = ids.where("n = 1 and doc_id != low").select(F.col("doc_id").alias("_id"))
+    again = materialize(ids.where("n > 1").select(F.col("doc_id").alias("_id")), "again")
+    rows = docs.join(small_side(materialize(go, "go")), docs["doc_id"] == F.col("_id"), "left_anti")
+    if again.isEmpty() and linked.where("doc_id is null").isEmpty():
         return rows
-    # only rows whose id repeats need a second look
-    same = Window.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy(F.lit(0))
-    test = docs["doc_id"].eqNullSafe(F.col("_id"))
-    one = rows.join(again, test, "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
-    return rows.join(again, test, "left_anti").union(one)
+    # rows whose id repeats or is null are told apart by their sets
+    again = small_side(again)
+    plain = docs["doc_id"] == F.col("_id")
+    look = _with_set(docs.where("doc_id is null").union(docs.join(again, plain, "left_semi")), words)
+    first = (
+        linked.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component")
+        .agg(F.min("fp").alias("_set"), F.first("doc_id").alias("_id"))
+        .select("_set", "_id", F.lit(True).alias("_first"))
+    )
+    verdicts = (
+        linked.where("doc_id is null")
+        .select("doc_id", "fp")
+        .union(linked.join(again, linked["doc_id"] == F.col("_id"), "left_semi").select("doc_id", "fp"))
+        .distinct()
+        .join(first, F.col("fp").eqNullSafe(F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        .select(F.col("doc_id").alias("_of"), F.col("fp").alias("_set"), F.coalesce("_first", F.lit(False)).alias("_stays"))
+    )
+    side = small_side(materialize(verdicts, "verdicts"))
+    met = look.join(side, (F.col("_fp") == F.col("_set")) & look["doc_id"].eqNullSafe(F.col("_of")), "left")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    # combined before the shuffle, so very many copies meet no single task
+    one = met.where("_stays").groupBy("_of", "_fp").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    alone = rows.where("doc_id is not null").join(again, plain, "left_anti")
+    return alone.union(met.where("_stays is null").select(docs.columns)).union(one)

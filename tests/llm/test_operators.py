@@ -124,6 +124,29 @@ def test_keep_one(spark):
     assert not [k for k in kept if k is not None and k not in groups and k not in {r.doc_id for r in judged if not r.n_shingles}]
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    fresh = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    near = lambda t: t + " end"
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    lone = [fresh() for _ in range(5)]
+    rows = [(1, a), (None, near(a)), (None, lone[0]), (None, lone[1]), (None, None), (None, ""), (None, None)]  # a null row with a near copy
+    rows += [(None, b), (None, near(b)), (None, b.upper())]  # a component of null ids only
+    rows += [(2, c), (5, near(c)), (5, lone[2]), (5, d), (6, near(d))]  # an id that goes, stays alone and keeps a component
+    rows += [(7, e), (7, near(e)), (7, e), (7, lone[3]), (7, lone[3])]  # a component of one id
+    rows += [(8, f), (9, near(f)), (9, None), (10, lone[4])]
+    docs = spark.createDataFrame([(i, "x", t) for i, t in rows], "doc_id long, source string, text string")
+    for parts in (1, 5):
+        out = jaccard.keep_one_of_each(docs.repartition(parts), 5, 80)
+        assert out.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+        free = [(1, a), (None, lone[0]), (None, lone[1]), (None, None), (None, ""), (None, None), (2, c), (5, lone[2]), (5, d), (7, lone[3]), (8, f), (9, None), (10, lone[4])]
+        rest = got - collections.Counter(free)
+        assert not collections.Counter(free) - got
+        assert rest.total() == 2
+        assert {(i, t.lower().removesuffix(" end")) for i, t in rest} == {(None, b), (7, e)}
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.jaccard_components(frame(spark, []), 3, 90).count() == 0
 
