@@ -74,28 +74,36 @@ def pairwise_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least:
     )
 
 
-def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8, rounds: int = 100) -> DataFrame:
+def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, duplicate) as arrivals decide one after another: only kept documents make later ones duplicates.
 
     A copy's fate is its representative's: either that is kept, or what made it a duplicate
     does the same to the copy. Each round settles every representative whose earlier neighbours
-    are all settled.
+    are all settled, so at least the lowest open one; rounds go on until none is open, as many as
+    the longest chain has links. Raises if a round settles nothing, which needs pairs that are
+    not in arrival order (doc_a < doc_b).
     """
-    edges = pairs.where(F.col("agreement") >= least).select("doc_a", "doc_b").cache()
+    edges = pairs.where(F.col("agreement") >= least).select("doc_a", "doc_b").localCheckpoint()
     state = docs.select("doc_id").join(edges.select(F.col("doc_b").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("gone", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    last = None
+    while True:
         known = edges.join(state.select(F.col("doc_id").alias("doc_a"), "gone", F.lit(True).alias("listed")), "doc_a", "left").withColumn(
             "kept", F.when(F.col("listed").isNull(), True).otherwise(~F.col("gone"))
         )
         view = known.groupBy(F.col("doc_b").alias("doc_id")).agg(
             F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open")
         )
+        # the checkpoint cuts the lineage, which would otherwise grow with the rounds
         state = (
             state.join(view, "doc_id")
             .select("doc_id", F.coalesce("gone", F.when(F.col("hit"), True).when(F.col("open") == 0, False)).alias("gone"))
-            .cache()
+            .localCheckpoint()
         )
-        if state.where("gone is null").isEmpty():
+        undecided = state.where("gone is null").count()
+        if not undecided:
             break
+        if undecided == last:
+            raise RuntimeError(f"{undecided} documents cannot be settled in arrival order")
+        last = undecided
     found = docs.select("doc_id").join(state, "doc_id", "left").join(_copies(sigs), "doc_id", "left")
     return found.select("doc_id", F.coalesce("copy", "gone", F.lit(False)).alias("duplicate"))

@@ -186,6 +186,16 @@ def test_faithful_duplicates_follow_arrival(spark):
     assert {r.doc_id for r in dedup.pairwise_verdict(docs, sigs, pairs).where("duplicate").collect()} == {1, 2, 3}
 
 
+def test_faithful_duplicates_of_a_long_chain(spark):
+    docs = spark.range(106).toDF("doc_id")
+    pairs = spark.createDataFrame([(i, i + 1, 0.9) for i in range(105)], "doc_a long, doc_b long, agreement double")
+    sigs = spark.createDataFrame([(i, [i]) for i in range(106)], "doc_id long, signature array<long>")
+    gone = {r.doc_id for r in dedup.arrival_verdict(docs.coalesce(1), sigs.coalesce(1), pairs.coalesce(1)).where("duplicate").collect()}
+    assert gone == set(range(1, 106, 2))
+    with pytest.raises(RuntimeError):
+        dedup.arrival_verdict(docs, sigs, spark.createDataFrame([(3, 2, 0.9), (2, 3, 0.9)], pairs.schema))
+
+
 def test_recipes():
     a = {"name": "a", "algorithm": "x", "calibration": {"n": 1}}
     assert recipes.identity_hash(a) == recipes.identity_hash({**a, "name": "b", "calibration": {"n": 2}})
