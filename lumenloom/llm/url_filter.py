@@ -109,22 +109,53 @@ def match_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+def resolve(url: Column, target: Column) -> Column:
+    """``target`` as an address with scheme and host, read from the page at ``url``; as it is if it names a scheme."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    top = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(url)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = (
+        F.when(own.startswith("/"), own)
+        .when(own == "", path)
+        .otherwise(F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/?(.*/)?", 1), own))
+    )
+    steps = F.aggregate(
+        F.split(F.regexp_replace(full, "^/", ""), "/", -1),
+        F.array().cast("array<string>"),
+        lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when(x == ".", kept)
+        .otherwise(F.concat(kept, F.array(x))),
+    )
+    return (
+        F.when(target.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .otherwise(F.concat(top, F.lit("/"), F.array_join(steps, "/"), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) addresses of canonical links and refresh redirects found in ``html``.
+    """(src, dst) addresses of all canonical links and refresh redirects found in ``html``.
 
-    Only absolute targets count; both ends are folded by ``address_of``.
+    Relative targets are resolved against the page's ``<base href>``, or else its own url; both
+    ends are folded by ``address_of``.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     tag = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+    root = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     # the cheap test keeps pages without such tags away from the patterns
     low = F.lower(html)
-    target = F.when(low.contains("canonical"), F.regexp_extract(html, tag, 1))
-    moved = F.when(low.contains("http-equiv"), F.regexp_extract(html, refresh, 1))
-    found = pages.select("url", F.explode(F.array(target, moved)).alias("to")).where(
-        F.col("to").contains("://")
+    none = F.array().cast("array<string>")
+    target = F.when(low.contains("canonical"), F.regexp_extract_all(html, F.lit(tag), F.lit(1))).otherwise(none)
+    moved = F.when(low.contains("http-equiv"), F.regexp_extract_all(html, F.lit(refresh), F.lit(1))).otherwise(none)
+    base = F.when(low.contains("<base"), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
+    # the outer form: for the inner one the optimizer would test the array's size by computing it again
+    found = pages.select("url", base.alias("base"), F.explode_outer(F.concat(target, moved)).alias("to")).where("to is not null")
+    full = found.select("url", F.when(F.col("base") == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("base"))).alias("at"), "to").select(
+        "url", resolve(F.col("at"), F.col("to")).alias("to")
     )
-    at = found.select(
+    at = full.select(
         address_of(host_of(F.col("url")), path_of(F.col("url"))).alias("src"),
         address_of(host_of(F.col("to")), path_of(F.col("to"))).alias("dst"),
     )

@@ -334,6 +334,31 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_targets(spark):
+    """Relative targets, and all tags of a page."""
+    canonical = lambda *to: "".join(f"<link rel='canonical' href='{t}'>" for t in to)
+    rows = [
+        ("https://a.org/x/y.html", canonical("/en/7")),
+        ("https://a.org/x/y", "<META http-equiv=refresh content='0;url=//B.org/p/'>"),
+        ("https://a.org/x/y", canonical("z?q", "../up/./w", "?page=2", "../../../top", "/go?u=http://c.org/")),
+        ("http://d.org", canonical("one", "https://e.org/abs") + '<meta http-equiv="refresh" content="5; url=two"><meta http-equiv="refresh" content="5; url=\'/three\'">'),
+        ("http://f.org/a/b", "<base href='/deep/er/'>" + canonical("leaf")),
+        ("no scheme", canonical("/en/7", "//h.org/x")),
+        ("http://g.org/", canonical("mailto:x", "#top") + "<link rel=stylesheet href=/css>"),
+        ("http://h.org/", None),
+    ]
+    want = {
+        ("a.org/x/y", t) for t in ("a.org/en/7", "b.org/p", "a.org/x/z", "a.org/up/w", "a.org/x/y", "a.org/top", "a.org/go")
+    } | {("d.org", t) for t in ("d.org/one", "e.org/abs", "d.org/two", "d.org/three")} | {("f.org/a/b", "f.org/deep/er/leaf"), ("g.org", "g.org")}
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {tuple(r) for r in url_filter.link_edges(pages).collect()} == want
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [url_filter.Rule("block", "f.org/deep/"), url_filter.Rule("block", "d.org/three")]).collect()}
+    assert got[3] == "allow" and got[7] == "allow"  # no page has the blocked address
+    more = pages.union(spark.createDataFrame([(20, "http://f.org/deep/er/leaf", None), (21, "http://d.org/three", None)], pages.schema))
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(more, [url_filter.Rule("block", "f.org/deep/"), url_filter.Rule("block", "d.org/three")]).collect()}
+    assert got[3] == got[4] == "block" and got[7] == "allow"
+
+
 def test_quality_counts(spark):
     rng = random.Random(3)
     texts = [None, "", "a b c a b c", "a b", "x\n\nx\nx \n y", "## a|b <c> $%&*", " ".join(rng.choice("abc") for _ in range(60))]
