@@ -169,27 +169,76 @@ def strip_brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(400, 50), (60, 10), (12, 4)])
-def test_repeats(spark, length, gram):
+def runs_brute(rows, length, words):
+    """Per row: maximal runs of repeated strings that hold at least ``words`` whole words."""
+    data = [(r[1] or "").encode() for r in rows]
+    seen = collections.Counter(b[s : s + length] for b in data for s in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = [False] * len(b)
+        for s in range(len(b) - length + 1):
+            if seen[b[s : s + length]] > 1:
+                gone[s : s + length] = [True] * length
+        runs, s = [], 0
+        while s < len(b):
+            e = s
+            while e < len(b) and gone[e]:
+                e += 1
+            if e > s:
+                whole = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", b) if m.start() >= s and m.end() <= e]
+                if len(whole) >= words:
+                    runs.append((s, e))
+            s = max(e, s + 1)
+        out.append(runs)
+    return out
+
+
+null_last = lambda t: (t[0] is None, str(t))
+
+
+@pytest.mark.parametrize("length,gram,passage", [(400, 50, (200, 50)), (60, 10, (30, 7)), (12, 4, (12, 0)), (30, 6, (60, 3))])
+def test_repeats(spark, length, gram, passage):
     rows = made_up(4) + [(900, "ab" * 400, None, 1, "x", 2), (901, "é" * 500, None, 1, "x", 2)]
-    got = [tuple(r) for r in suffix.judge_repeats(frame(spark, rows), length, gram).collect()]
-    key = lambda t: (t[0] is None, t)
-    assert sorted(got, key=lambda t: (t[0] is None, str(t))) == sorted(strip_brute(rows, length), key=lambda t: (t[0] is None, str(t)))
+    got = [tuple(r) for r in suffix.judge_repeats(frame(spark, rows), length, gram, passage).collect()]
+    told = [(len(x), sum(b - a for a, b in x)) for x in runs_brute(rows, *passage)]
+    want = [(*w, *t) for w, t in zip(strip_brute(rows, length), told, strict=True)]
+    assert sorted(got, key=null_last) == sorted(want, key=null_last)
 
 
-def test_repeats_in_large_groups_and_files(spark, monkeypatch):
-    rows = made_up(5)
+@pytest.mark.parametrize("bound", [2, 5])
+def test_repeats_in_hot_groups(spark, bound):
+    hot = " ".join(["license"] * 3 + [f"w{i}" for i in range(40)])
+    rows = made_up(5) + [(1000 + i, f"{'x' * (i % 7)}{i} {hot} {i * i}", None, 1, "x", 2) for i in range(40)]
     docs = frame(spark, rows)
-    key = lambda t: (t[0] is None, str(t))
-    want = sorted(strip_brute(rows, 60), key=key)
-    found = suffix.repeated_spans(docs, 60, 10, group_segments=2)
-    got = docs.select("doc_id", suffix.text_key(F.col("text")).alias("fp")).join(found, "fp").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert sorted(map(tuple, got.collect()), key=key) == want
+    found = suffix.repeated_spans(docs, 60, 10, passage=(40, 5), group_segments=bound)
+    got = docs.select("doc_id", suffix.text_key(F.col("text")).alias("fp")).join(found, "fp").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes")
+    told = [(len(x), sum(b - a for a, b in x)) for x in runs_brute(rows, 40, 5)]
+    want = [(*w, *t) for w, t in zip(strip_brute(rows, 60), told, strict=True)]
+    assert sorted(map(tuple, got.collect()), key=null_last) == sorted(want, key=null_last)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lumenloom_texts")]
+
+
+def test_columns_in_files(monkeypatch):
     segments = [b"x" * 10 + bytes([65 + i % 3]) * 70 for i in range(50)]
-    args = (np.zeros(50, dtype=np.int64), np.full(50, -10), np.full(50, 10), segments, 60)
+    args = (np.zeros(50, dtype=np.int64), np.full(50, -10), np.full(50, 10), segments, (60, 70))
     plain = suffix.repeats(*args)
     monkeypatch.setattr(suffix, "FILE_BYTES", 0)
-    assert all((a == b).all() for a, b in zip(plain, suffix.repeats(*args), strict=True))
+    for x, y in zip(plain, suffix.repeats(*args), strict=True):
+        assert all((a == b).all() for a, b in zip(x, y, strict=True))
+
+
+@pytest.mark.parametrize("words", [51, 55, 60, 70])
+def test_planted_passages_go(spark, words):
+    """Passages of just over 50 short words go from every document, everything else stays."""
+    rng = random.Random(words)
+    word = lambda k: "".join(rng.choice("abcdefghij") for _ in range(k))
+    passage = " ".join(word(rng.randint(2, 6)) for _ in range(words))
+    own = [(" ".join(word(5) for _ in range(80)), " ".join(word(5) for _ in range(30))) for _ in range(12)]
+    rows = [(i, f"{a} {passage} {b}" if i % 2 else f"{a} {b}", "s", 1, "x", 2) for i, (a, b) in enumerate(own)]
+    for r in suffix.strip_repeats(frame(spark, rows)).collect():
+        a, b = own[r.doc_id]
+        # beside the passage only what happens to agree around it goes: the spaces and perhaps a letter
+        assert r.text == f"{a} {b}" if r.doc_id % 2 == 0 else (passage[2:-2] not in r.text and len(a) + len(b) - 8 <= len(r.text) <= len(a) + len(b) + 2)
 
 
 def test_tiles(monkeypatch):
@@ -203,9 +252,15 @@ def test_tiles(monkeypatch):
 
 
 def test_strip_keeps_columns(spark):
-    docs = frame(spark, made_up(4))
-    out = suffix.strip_repeats(docs, 60, 10)
+    rows = made_up(4)
+    docs = frame(spark, rows).withColumns({"cuts": F.lit(1), "c0": F.lit("y"), "n_chars": F.length("text").cast("long"), "_fp": F.lit(2)})
+    out = suffix.strip_repeats(docs, 60, 10, 0)
     assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("cuts != 1 or c0 != 'y' or fp != 'x' or _fp != 2 or n_chars != length(text)").isEmpty()
+    want = collections.Counter((r[0], w[4]) for r, w in zip(rows, strip_brute(rows, 60), strict=True) if (r[1] or "").isascii())
+    got = collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect())
+    assert not want - got
+    assert suffix.strip_repeats(docs.limit(0)).count() == 0 and suffix.judge_repeats(docs.limit(0)).count() == 0
 
 
 # ----------------------------------------------------------------------------------- tokens

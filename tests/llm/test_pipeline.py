@@ -3,7 +3,7 @@ import collections
 import corpus_pipeline
 from lumenloom.llm import jaccard, suffix
 from tests.compare import DATA
-from tests.llm.test_operators import WORDS, shingle_set
+from tests.llm.test_operators import WORDS, runs_brute, shingle_set
 
 
 def test_stages(spark):
@@ -28,11 +28,15 @@ def test_stages(spark):
     for gone in set(sets) - set(left):
         assert any(100 * len(sets[gone] & s) >= 80 * len(sets[gone] | s) for d, s in sets.items() if d != gone)
     _, after = seen["suffix-array dedup"]
-    strings = collections.Counter(r.text.encode()[i : i + 400] for r in seen["n-gram Jaccard join"][1] for i in range(len(r.text.encode()) - 399))
-    repeated = {s for s, n in strings.items() if n > 1}
-    assert len(after) == len(seen["n-gram Jaccard join"][1])
-    assert not repeated & {r.text.encode()[i : i + 400] for r in after for i in range(len(r.text.encode()) - 399)}
-    assert suffix.LENGTH == 400
+    before, after = seen["suffix-array dedup"]
+    runs = dict(zip([r.doc_id for r in before], runs_brute([tuple(r) for r in before], suffix.PASSAGE_BYTES, suffix.PASSAGE_WORDS), strict=True))
+    assert len(after) == len(before)
+    texts = {r.doc_id: (r.text or "").encode() for r in before}
+    for r in after:
+        data, at, kept = texts[r.doc_id], 0, b""
+        for a, b in runs[r.doc_id]:
+            kept, at = kept + data[at:a], b
+        assert r.text == (kept + data[at:]).decode("utf-8", "ignore") and r.n_chars == len(r.text)
     before, after = seen["source mix"]
     size = {r.doc_id: len(WORDS.findall(r.text)) for r in before}
     taken = collections.Counter()
