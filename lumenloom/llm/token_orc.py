@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import uuid
 from itertools import pairwise
+from math import isqrt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,29 +29,35 @@ from .tokens import encoder, row_slices
 
 STRIDE = 10_000
 STRIPE = 64 << 20
-#: Documents a part is aimed at; parts grow in number, not in size, with the input.
+#: Least documents of a part. Beyond its square, parts grow in number and in size alike, by the
+#: square root of the rows: a part is sorted with spilling and streamed, the bounds stay small.
 PART_ROWS = 8_000
-MOST_PARTS = 20_000
 
 
 def id_ranges(docs: DataFrame, part_rows: int = PART_ROWS) -> list[int]:
     """Upper bounds (inclusive) of all but the last range of doc_id; reads that column only."""
     rows = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    parts = min(MOST_PARTS, -(-rows.count() // part_rows))
+    n = rows.count()
+    parts = -(-n // max(part_rows, isqrt(n)))
     if parts < 2:
         return []
     cuts = rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))
     return sorted({int(c) for c in cuts})
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` lie below ``value``, by binary search; 0 for null."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    table = F.lit(bounds).cast("array<bigint>")
+    return F.aggregate(
+        F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < value, at + step).otherwise(at)
+    )
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bounds: list[int] | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC rows (part, doc_id, local_start, n_tokens, ids)."""
     bounds = id_ranges(docs) if bounds is None else bounds
-    part = F.lit(0)
-    if bounds:
-        # null ids and those up to the first bound go to part 0
-        part = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
+    part = range_of(F.col("doc_id"), bounds) if bounds else F.lit(0)
     dealt = (
         docs.select("doc_id", "text")
         .withColumn("part", part.cast("int"))
@@ -100,7 +107,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, bo
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(STRIDE))
         .option("orc.stripe.size", str(STRIPE))
-        .option("compression", "zstd")
+        .option("compression", "lz4")  # the run-length bits are dense already
         .orc(path)
     )
 
@@ -110,7 +117,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     rows = spark.read.orc(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     at = F.lit(0).cast("long")
-    # at most MOST_PARTS sums reach the driver, whatever the input
+    # one sum a part: about the square root of the rows
     total, before = 0, []
     for part, n in sorted((r.part, r.n) for r in sums.collect()):
         before.append((part, total))

@@ -7,8 +7,9 @@ and gathering ids are Arrow kernels; the memo is bounded.
 ``word`` vocabularies drop white space and case: pieces are what ASCII white space separates,
 with A-Z lower-cased. ``byte`` vocabularies keep both: in a text whose white space is single
 spaces and line feeds, pieces are words with the space before them, and line feeds; any other
-text is cut by ``KEPT``. Full stops and commas that end a piece behind a letter are pieces of
-their own.
+text is cut by ``KEPT``. Full stops and commas behind a word are pieces of their own. A text
+that holds the string of a special token, which the library turns into that token's id wherever
+it stands, is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import os
 import re
 from functools import lru_cache
 from itertools import pairwise
-from struct import pack
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -31,6 +31,8 @@ UNEVEN = r"[\x00\t\x{0b}\x{0c}\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 CLUSTER = r"[^\p{L}\p{N} \t\n\r][.,]"
 #: Pieces remembered in each of two generations; a piece in use moves to the younger one.
 MEMO_PIECES = 250_000
+#: New pieces encoded in one call.
+JOINED = 4096
 
 
 class Encoder:
@@ -44,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.keeps_space = keeps_space
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -57,20 +59,26 @@ class Encoder:
 
         # taking every row also copies a slice: the lower-casing kernel reads slices wrongly
         texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+        whole = np.asarray(pc.match_substring_regex(texts, self.special)) if self.special else np.zeros(len(texts), dtype=bool)
+        apart = whole.copy()
+        if self.keeps_space:
+            apart |= np.asarray(pc.match_substring_regex(texts, f"{UNEVEN}|{CLUSTER}"))
+        plain = pc.if_else(pa.array(~apart), texts, pa.scalar("", pa.large_string())) if apart.any() else texts
         if self.keeps_space:
-            uneven = np.asarray(pc.match_substring_regex(texts, f"{UNEVEN}|{CLUSTER}"))
-            plain = pc.if_else(pa.array(~uneven), texts, pa.scalar("", pa.large_string()))
             plain = self._part_stops(plain, "\0")
             marked = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
             split = pc.split_pattern(marked, "\0")
         else:
-            uneven = np.zeros(len(texts), dtype=bool)
-            low = pc.ascii_lower(texts)
+            low = pc.ascii_lower(plain)
             split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, CLUSTER), low, self._part_stops(low, " ")))
         out = self._gather(split.flatten(), np.asarray(split.offsets).astype(np.int64) - split.offsets[0].as_py())
-        for i in np.flatnonzero(uneven):
-            pieces = KEPT.findall(texts[int(i)].as_py())
-            out[i] = self._gather(pa.array(pieces, pa.large_string()), np.array([0, len(pieces)]))[0]
+        for i in np.flatnonzero(apart):
+            text = texts[int(i)].as_py()
+            if whole[i]:
+                out[i] = _bytes(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            else:
+                pieces = KEPT.findall(text)
+                out[i] = self._gather(pa.array(pieces, pa.large_string()), np.array([0, len(pieces)]))[0]
         return out
 
     @staticmethod
@@ -90,48 +98,51 @@ class Encoder:
         if not len(flat):
             return [b""] * (len(ends) - 1)
         coded = flat.dictionary_encode()
-        ids = self._encode(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        ids = self._encode(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         offsets = np.zeros(len(ids) + 1, dtype=np.int64)
-        np.cumsum(sizes, out=offsets[1:])
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<u4")))
-        blob = np.asarray(lists.take(coded.indices).flatten()).tobytes()
-        at = np.zeros(len(flat) + 1, dtype=np.int64)
-        np.cumsum(sizes[np.asarray(coded.indices)], out=at[1:])
-        cuts = (4 * at[ends]).tolist()
-        return [blob[a:b] for a, b in pairwise(cuts)]
+        np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)), out=offsets[1:])
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(ids))])
+        _, where, blob = known.take(coded.indices).buffers()
+        at = np.frombuffer(where, dtype=np.int64)
+        blob = memoryview(blob) if blob is not None else memoryview(b"")
+        return [bytes(blob[a:b]) for a, b in pairwise(at[ends].tolist())]
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, with the stops at their ends looked up apart."""
-        stops = {}
-        for i, p in enumerate(pieces):
-            if p[-1:] in (".", ","):
-                base = p.rstrip(".,")
-                if base[-1:].isalpha():
-                    stops[i] = p[len(base) :]
-                    pieces[i] = base
-        known = self._lookup(dict.fromkeys([*pieces, *stops.values()]))
-        out = list(map(known.__getitem__, pieces))
-        for i, stop in stops.items():
-            out[i] += known[stop]
-        return out
-
-    def _lookup(self, pieces: dict[str, None]) -> dict[str, bytes]:
+        """Ids of distinct pieces."""
         if len(self.young) > MEMO_PIECES:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
+        out = list(map(young.get, pieces))
         new = []
-        for p in pieces:
-            if p not in young:
+        for i, got in enumerate(out):
+            if got is None:
+                p = pieces[i]
                 got = old.get(p)
                 if got is None:
-                    new.append(p)
+                    new.append(i)
                 else:
-                    young[p] = got
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = got.ids
-            young[piece] = pack(f"<{len(ids)}I", *ids)
-        return young
+                    young[p] = out[i] = got
+        for lo in range(0, len(new), JOINED):
+            part = new[lo : lo + JOINED]
+            for i, got in zip(part, self._encode_new([pieces[i] for i in part]), strict=True):
+                young[pieces[i]] = out[i] = got
+        return out
+
+    def _encode_new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, none of which holds a special token's string: one call, cut at a special token between them."""
+        import numpy as np
+
+        if not self.special:
+            return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        mark, text = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
+        ids = np.array(self.tokenizer.encode_batch_fast([text.content.join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * np.flatnonzero(ids == mark)).tolist()
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip([0, *(x + 4 for x in stops)], [*stops, len(blob)], strict=True)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return b"".join(x.to_bytes(4, "little") for x in ids)
 
 
 @lru_cache(maxsize=4)

@@ -270,9 +270,8 @@ def test_strip_keeps_columns(spark):
 def test_ids_are_the_tokenizers(file, keeps):
     from tokenizers import Tokenizer
 
-    texts = [r[1] for r in made_up(6)] + ["a.b.", "Ab, cD.. e,f", "x .y ,", "\n Word. \n\nWord,", "don't. it's,", "  lead\t\tc  \n", "\x00 x", "Σ ΑΣ İ é́.", "日本 語. 12.5,", "<|endoftext|> a", "a b c 　d"]
+    texts = [r[1] for r in made_up(6)] + ["a.b.", "Ab, cD.. e,f", "x .y ,", "\n Word. \n\nWord,", "don't. it's,", "  lead\t\tc  \n", "\x00 x", "Σ ΑΣ İ é́.", "日本 語. 12.5,", "<|endoftext|> a", "a <|endoftext|>b. <|startoftext|>", "x<|endoftext|", "a b c 　d"]
     plain = Tokenizer.from_file(tokenizer_file(file))
-    plain.encode_special_tokens = True
     want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     encode = tokens.encoder(tokenizer_file(file), keeps)
     assert encode(pa.array(texts)) == want
@@ -299,6 +298,48 @@ def test_orc(spark, tmp_path):
     assert token_orc.read_tokens(spark, path + "-none").count() == 0
 
 
+def test_range_of(spark):
+    bounds = sorted(random.Random(3).sample(range(1000), 77))
+    got = spark.range(-2, 1003).select("id", token_orc.range_of(F.col("id"), bounds).alias("n")).collect()
+    assert all(r.n == sum(b < r.id for b in bounds) for r in got)
+    assert spark.range(1).select(token_orc.range_of(F.lit(None).cast("long"), bounds)).first()[0] == 0
+
+
+def whole_ids(name, texts, end):
+    """Ids of whole texts from the untouched library, each with its end id."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file(name))
+    return [np.array([*plain.encode(t or "", add_special_tokens=False).ids, end], dtype="<u4") for t in texts]
+
+
+def test_ids_of_both_queries(spark, tmp_path):
+    """op2 and op8 over the whole of the smallest documents, with special tokens' strings put in."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    docs[3]["text"] = "see <|endoftext|> and <|startoftext|>, done."
+    docs[5]["text"] = None
+    pq.write_table(pa.Table.from_pylist(docs), tmp_path / "documents.parquet")
+    docs.sort(key=lambda r: r["doc_id"])
+    at, want = 0, []
+    for d, ids in zip(docs, whole_ids("word_bpe_49k.json", [d["text"] for d in docs], 1), strict=True):
+        want.append((d["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = queries.QUERIES["op2_token_orc"](spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+    want = []
+    for d, ids in zip(docs, whole_ids("byte_bpe_50k.json", [d["text"] for d in docs], 0), strict=True):
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(d["doc_id"], i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = queries.QUERIES["op8_best_fit"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) * 1.01 + 1
+
+
 def test_best_fit_rules():
     assert list(packing.best_fit([6, 5, 4, 5], 10, 8)) == [(0, 0), (1, 0), (0, 6), (1, 5)]
     # two open bins at most: the fuller one (free 3) closes when a third opens
