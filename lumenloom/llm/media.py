@@ -1,4 +1,8 @@
-"""Media columns: FLAC streams in a binary column, read back as PCM blocks and features.
+"""Media columns: FLAC streams stored in a binary column, read back as PCM blocks and features.
+
+``round_trip`` writes the streams to the shared folder and computes all features from the bytes
+read back. ``write_pcm`` decodes stored streams into a table of PCM blocks by sample offset, of
+which ``read_samples`` reads only the blocks that a range of samples touches.
 
 Defined results: null or empty text gives a payload of 64 zero bytes. Equal texts give equal
 streams. Null ids and repeated rows pass through. An empty table gives no rows; other columns
@@ -11,10 +15,11 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trimmed
+from .common import materialize, trimmed
 
 CHUNK = 1 << 20
 PAD = 64
@@ -135,3 +140,29 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
     schema = T.StructType([media.schema["doc_id"]]).add("first_sample", "long").add("n_samples", "long").add("pcm", "binary")
     return media.select("doc_id", "media").mapInArrow(trimmed(run), schema)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Streams of ``docs`` written to the shared folder, and the features of what is read from there."""
+    return read_features(materialize(encode_texts(docs), "flac"))
+
+
+def write_pcm(media: DataFrame, path: str) -> None:
+    """Decode ``media`` (doc_id, media) and write its PCM blocks as Parquet, indexed by (doc_id, first_sample)."""
+    blocks = pcm_blocks(media)
+    # page and row-group bounds of both columns let a reader skip to the blocks it needs
+    blocks.sortWithinPartitions("doc_id", "first_sample").write.parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, doc_id: int, first: int, count: int) -> bytes:
+    """Samples ``first`` to ``first + count`` of one document, from the blocks that hold them."""
+    from .flac import BLOCK
+
+    stop = first + count
+    rows = (
+        spark.read.parquet(path)
+        .where((F.col("doc_id") == doc_id) & (F.col("first_sample") > first - BLOCK) & (F.col("first_sample") < stop))
+        .orderBy("first_sample")
+        .collect()
+    )
+    return b"".join(bytes(r.pcm[max(0, first - r.first_sample) : max(0, stop - r.first_sample)]) for r in rows)

@@ -21,7 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_features(media.encode_texts(table(spark, sf_dir, "documents")))
+    return media.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

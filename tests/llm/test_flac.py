@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lumenloom.llm import flac, media
+from lumenloom.llm import common, flac, media
 
 
 class Bits:
@@ -139,10 +139,23 @@ def test_damage_is_found(at):
 def test_columns(spark):
     rows = [(1, "hi"), (2, None), (3, ""), (None, "hi"), (1, "hi"), (4, "x" * 70_000)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_bytes int")
-    got = media.read_features(media.encode_texts(docs)).collect()
+    stored = media.round_trip(docs)
+    assert any("flac-" in f for f in stored.inputFiles())  # features come from files
+    got = stored.collect()
     assert len(got) == len(rows)
     assert {r.payload_bytes for r in got if r.n_bytes in (0, 2)} == {64}
     assert len({r.media_sha256 for r in got if r.n_bytes == 2}) == 1
     blocks = media.pcm_blocks(media.encode_texts(docs.where("doc_id = 4"))).orderBy("first_sample").collect()
     assert b"".join(bytes(b.pcm) for b in blocks)[:70_000] == b"x" * 70_000
     assert media.read_features(media.encode_texts(docs.limit(0))).count() == 0
+
+
+def test_stored_blocks_by_sample_offset(spark, tmp_path):
+    texts = {i: "".join(random.Random(i).choice("abc \n") for _ in range(3000 * i)) for i in range(1, 6)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    path = str(tmp_path / "pcm")
+    media.write_pcm(common.materialize(media.encode_texts(docs), "flac"), path)
+    for doc, first, count in ((1, 0, 10), (3, 1000, 3000), (5, 1023, 2), (5, 14_990, 500), (2, 10**6, 5), (9, 0, 5)):
+        want = texts.get(doc, "").encode()
+        want = want + bytes(-len(want) % 64)
+        assert media.read_samples(spark, path, doc, first, count) == want[first : first + count]
