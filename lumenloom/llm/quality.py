@@ -1,19 +1,23 @@
 """Quality rules [native]: hashed n-gram log-likelihood ratio plus base counts of each text.
 
-Model. Every word is reduced to its shape (runs of lower-case letters become ``a``, upper-case
-``A``, digits ``0``, other characters stay), and the shapes of neighbouring words form 2-grams,
-padded at both ends, hashed by CRC-32 into ``buckets``. Two multinomials over the buckets are
-estimated with additive smoothing: one from trusted documents, one from the whole corpus. A
-document's score is the sum of log(trusted / corpus) over its n-grams, in whole millionths,
-divided by the number of n-grams; it is kept when the score is at least ``threshold`` and the
-base rules pass. Sums are integers, so the verdict does not depend on partitioning.
-
-Bounds. The corpus counts cover every document. The trusted sample has at most
-``TRUSTED_ROWS`` ids (lowest CRC-32 of the id first); the model is one array of ``buckets`` integers.
+Model. A text's n-grams are its words and the 2-grams of its words' shapes (runs of lower-case
+letters become ``a``, upper-case ``A``, digits ``0``, other characters stay), padded at both ends;
+all are hashed by CRC-32 into ``buckets``. Words tell what a text is about, shapes tell prose from
+markup in any language. Two multinomials over the buckets are estimated with additive
+smoothing: one from trusted documents, one from the whole corpus. A document's score is the sum
+of log(trusted / corpus) over its n-grams, in whole millionths, divided by the number of
+n-grams; it is kept when the score is at least ``threshold`` and the base rules pass. Sums are
+integers, so the verdict does not depend on partitioning.
+
+Plan. Texts are read once: base counts and bucket numbers are written to the shared folder, then
+counted, then scored against the model, which is one array of ``buckets`` integers. Both counts
+cover every document, and every trusted one.
 
 Defined results: null text has no words, zero counts, base_failed true and kept false. Without
 trusted rows every ratio is zero, so the base rules alone decide. Repeated rows get equal
-results. Null ids are never trusted. Other columns are carried by ``keep_good`` only.
+results. Null ids are never trusted. ``keep_good`` keeps all columns, whatever their names; in
+``judge_quality`` a column of the input that is named like a result gives way to it. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,58 +25,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize, small_side
 
-#: Documented bound of the labelled sample the trusted multinomial is fitted on.
-TRUSTED_ROWS = 20_000
 BUCKETS = 4096
 #: Mean log ratio per n-gram below which a document is rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
+#: Added to each bucket's counts: one with fewer n-grams than that says little either way.
+SMOOTH = 8.0
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
 def word_shapes(text: Column) -> Column:
     """The array of word shapes of ``text``."""
     shaped = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Ll}+", "a")
     shaped = F.regexp_replace(F.regexp_replace(shaped, r"\p{Lu}+", "A"), r"\p{Nd}+", "0")
-    return F.regexp_extract_all(shaped, F.lit(f"({WORD})"), F.lit(1))
+    return words_of(shaped)
 
 
-def grams(shapes: Column, buckets: int) -> Column:
-    """Hash buckets of the padded 2-grams of an array of shapes; none for no shapes."""
-    ends = F.concat(F.array(F.lit("")), shapes, F.array(F.lit("")))
-    pairs = F.zip_with(
-        F.slice(ends, F.lit(1), F.size(shapes) + 1),
-        F.slice(ends, F.lit(2), F.size(shapes) + 1),
-        lambda a, b: F.pmod(F.crc32(F.concat(a, F.lit(" "), b)), F.lit(buckets)).cast("int"),
-    )
-    return F.when(F.size(shapes) > 0, pairs).otherwise(F.array().cast("array<int>"))
-
-
-def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[int]:
-    """log(trusted / corpus) of every bucket in millionths; counts cover all of ``docs``."""
-    trusted = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id")
-        .limit(trusted_rows)
-        .withColumn("_trusted", F.lit(1))
-    )
+def grams(words: Column, shapes: Column, buckets: int) -> Column:
+    """Hash buckets of the words and of the padded 2-grams of their shapes; none for no words."""
+    place = lambda x: F.pmod(F.crc32(x), F.lit(buckets)).cast("int")
+    after = F.concat(F.slice(shapes, F.lit(2), F.size(shapes)), F.array(F.lit("")))
+    first = F.array(place(F.concat(F.lit(" "), F.get(shapes, F.lit(0)))))
+    pairs = F.zip_with(shapes, after, lambda a, b: place(F.concat(a, F.lit(" "), b)))
+    return F.when(F.size(words) > 0, F.concat(F.transform(words, place), first, pairs)).otherwise(F.array().cast("array<int>"))
+
+
+def fit_ratios(counted: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """log(trusted / corpus) of every bucket in millionths, from all rows of ``counted`` (doc_id, grams)."""
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    trusted = small_side(ids).withColumn("trusted", F.lit(1))
     rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(trusted), "doc_id", "left")  # at most trusted_rows ids
-        .select("_trusted", word_shapes(F.col("text")).alias("_shapes"))
+        counted.select("doc_id", "grams")
+        .join(trusted, "doc_id", "left")
         # the outer form: for the inner one the optimizer would test the array's size by computing it again
-        .select("_trusted", F.explode_outer(grams(F.col("_shapes"), buckets)).alias("bucket"))
+        .select("trusted", F.explode_outer("grams").alias("bucket"))
         .where("bucket is not null")
         .groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.count("_trusted").alias("t"))
+        .agg(F.count("*").alias("n"), F.count("trusted").alias("t"))
     )
     counts = rows.agg(
         F.collect_list(F.struct("bucket", "n", "t")).alias("c"), F.sum("n").alias("n"), F.sum("t").alias("t")
@@ -96,95 +92,99 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trust
 
 
 def _ratio(t: Column, ts: Column, n: Column, ns: Column, buckets: int) -> Column:
-    half = F.lit(0.5)
-    return F.round(F.lit(1e6) * F.log(((t + half) / (ts + half * buckets)) / ((n + half) / (ns + half * buckets))))
-
-
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    wide = with_words(docs).withColumns(
-        {
-            "_lines": lines,
-            "_windows": F.when(
-                F.size("_words") >= 3,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("_words") - 3),
-                    lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-        }
-    )
-    ordered = wide.withColumn(
-        "_ordered",
-        F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))),
+    more = F.lit(SMOOTH)
+    return F.round(F.lit(1e6) * F.log(((t + more) / (ts + more * buckets)) / ((n + more) / (ns + more * buckets))))
+
+
+def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``q_words`` and the base columns, each named ``q_`` and its name.
+
+    Window hashes are sorted as they are to see whether any comes twice; only the windows of such
+    texts are sorted again with their places.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
+    windows = F.when(
+        F.size("q_words") >= 3,
+        F.transform(
+            F.sequence(F.lit(0), F.size("q_words") - 3),
+            lambda i: F.xxhash64(F.get("q_words", i), F.get("q_words", i + 1), F.get("q_words", i + 2)),
         ),
-    )
+    ).otherwise(F.array().cast("array<bigint>"))
+    wide = docs.withColumn("q_words", words_of(F.col(text))).withColumns({"q_lines": lines, "q_windows": windows})
+    placed = F.sort_array(F.transform("q_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    wide = wide.withColumn("q_placed", F.when(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), placed))
     twice = F.filter(
-        "_ordered",
-        lambda x, j: (x["w"] == F.get("_ordered", j - 1)["w"]) | (x["w"] == F.get("_ordered", j + 1)["w"]),
+        "q_placed",
+        lambda x, j: (x["w"] == F.get("q_placed", j - 1)["w"]) | (x["w"] == F.get("q_placed", j + 1)["w"]),
     )
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    n_words = F.size("_words")
+    wide = wide.withColumn("q_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    # a window covers three words, less those that the next one covers
+    covered = F.aggregate(
+        F.transform("q_at", lambda x, j: F.least(F.lit(3), F.coalesce(F.get("q_at", j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x
+    )
+    n_words = F.size("q_words")
     return (
-        ordered.withColumns(
+        wide.withColumns(
             {
-                "n_words": n_words.cast("long"),
-                "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": F.when(F.col("_ordered").isNull(), F.lit(0))
-                .otherwise(F.size(F.array_distinct(covered)))
-                .cast("long"),
+                "q_n_words": n_words.cast("long"),
+                "q_word_chars": F.aggregate("q_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+                "q_n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long"),
+                "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+                "q_n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             }
         )
-        .drop("_words", "_lines", "_windows", "_ordered")
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
-        )
+        .drop("q_lines", "q_windows", "q_placed", "q_at")
+        .withColumn("q_base_failed", (F.col("q_n_words") < 50) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * 50))
     )
 
 
-def judge_quality(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS
-) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the base columns, n_grams, llr_micro and kept.
-
-    ``llr_micro`` is the sum of the ratios in millionths of a nat.
-    """
-    ratios = fit_ratios(docs, labels, buckets)
-    table = F.lit(ratios).cast("array<bigint>")
-    scored = base_counts(docs).withColumn("_grams", grams(F.col("_shapes"), buckets)) if "_shapes" in docs.columns else (
-        base_counts(docs)
-        .withColumn("_shapes", word_shapes(F.col("text")))
-        .withColumn("_grams", grams(F.col("_shapes"), buckets))
+def _scored(docs: DataFrame, labels: DataFrame, carry: list[str], threshold: float, buckets: int) -> DataFrame:
+    """The ``carry`` columns of ``docs`` as c0, c1, ... by place, with all results named ``q_`` and their name."""
+    at = [docs.columns.index(c) for c in carry]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    counted = base_counts(plain, text).withColumn("q_shapes", word_shapes(F.col(text)))
+    kept = dict.fromkeys([*(f"c{i}" for i in at), doc_id])
+    written = materialize(
+        counted.select(*kept, *[f"q_{c}" for c in BASE], grams(F.col("q_words"), F.col("q_shapes"), buckets).alias("q_grams")), "quality"
     )
+    ratios = fit_ratios(written.select(F.col(doc_id).alias("doc_id"), F.col("q_grams").alias("grams")), labels, buckets)
+    table = F.lit(ratios).cast("array<bigint>")
+    least = F.lit(int(round(threshold * 1e6)))
     return (
-        scored.withColumns(
+        written.withColumns(
             {
-                "n_grams": F.size("_grams").cast("long"),
-                "llr_micro": F.aggregate(
-                    "_grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g)
-                ),
+                "q_n_grams": F.size("q_grams").cast("long"),
+                "q_llr_micro": F.aggregate("q_grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g)),
             }
         )
-        .drop("_shapes", "_grams")
-        .withColumn(
-            "kept",
-            ~F.col("base_failed") & (F.col("llr_micro") >= F.col("n_grams") * F.lit(int(round(threshold * 1e6)))),
-        )
+        .drop("q_grams")
+        .withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_llr_micro") >= F.col("q_n_grams") * least))
+        .select(*[F.col(f"c{i}").alias(f"c{j}") for j, i in enumerate(at)], *[f"q_{c}" for c in RESULTS])
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns.
+RESULTS = [*BASE, "n_grams", "llr_micro", "kept"]
+
+
+def judge_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, carry: list[str] | None = None
+) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the base columns, n_grams, llr_micro and kept.
 
-    The verdict goes through a generator, behind which the optimizer doesn't push the filter:
-    pushed down, it would compute the word lists again for each word.
+    ``llr_micro`` is the sum of the ratios in millionths of a nat; ``carry`` names the columns to keep.
     """
-    judged = judge_quality(docs, labels, threshold)
-    return judged.select(*docs.columns, F.explode(F.array("kept")).alias("_kept")).where("_kept").select(*docs.columns)
+    carry = [c for c in carry or docs.columns if c not in RESULTS]
+    return _scored(docs, labels, carry, threshold, buckets).toDF(*carry, *RESULTS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns."""
+    scored = _scored(docs, labels, docs.columns, threshold, buckets)
+    return scored.where("q_kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def _ratio(t: Column, ts: Column, n: Column, ns: Column, buckets: int) -> Column:
+    more = F.lit(SMOOTH)
+    return F.round(F.lit(1e6) * F.log(((t + more) / (ts + more * buckets)) / ((n + more) / (ns + more * buckets))))

@@ -30,7 +30,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select(
+    return quality.judge_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), carry=["doc_id"]).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -90,9 +90,7 @@ FROM ruled u LEFT JOIN decided d ON u.address = d.address
 
 OP10_SQL = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
-trusted AS (
-  SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
-  QUALIFY row_number() OVER (ORDER BY doc_id) <= {quality.TRUSTED_ROWS}),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 worded AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS w, string_split(text, chr(10)) AS l,
   [''] || regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '\p{{Ll}}+', 'a', 'g'), '\p{{Lu}}+', 'A', 'g'), '\p{{Nd}}+', '0', 'g'), '{_WORD}') || [''] AS s
   FROM docs),
@@ -102,7 +100,9 @@ lined AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '{_WORD}')) AS ll
 wins AS (SELECT rid, unnest(win) AS g, unnest(range(len(win))) AS i FROM lined),
 again AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 reps AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
-pairs AS (SELECT rid, doc_id, unnest(CASE WHEN len(w) > 0 THEN list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]) ELSE [] END) AS g FROM worded),
+pairs AS (
+  SELECT rid, doc_id, unnest(CASE WHEN len(w) > 0 THEN w || list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]) ELSE [] END) AS g
+  FROM worded),
 crc_table AS (SELECT list(c ORDER BY k) AS t FROM (
   SELECT k, list_reduce([k] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
   FROM range(256) r(k))),
@@ -115,7 +115,7 @@ counts AS (
   FROM pairs JOIN hashed USING (g) LEFT JOIN trusted t ON pairs.doc_id = t.doc_id GROUP BY bucket),
 totals AS (SELECT sum(n)::DOUBLE AS ns, sum(t)::DOUBLE AS ts FROM counts),
 ratios AS (
-  SELECT bucket, CASE WHEN ts > 0 THEN round(1e6 * ln(((t + 0.5) / (ts + {quality.BUCKETS / 2})) / ((n + 0.5) / (ns + {quality.BUCKETS / 2}))))::BIGINT ELSE 0 END AS micro
+  SELECT bucket, CASE WHEN ts > 0 THEN round(1e6 * ln(((t + {quality.SMOOTH}) / (ts + {quality.BUCKETS * quality.SMOOTH})) / ((n + {quality.SMOOTH}) / (ns + {quality.BUCKETS * quality.SMOOTH}))))::BIGINT ELSE 0 END AS micro
   FROM counts, totals),
 scores AS (SELECT rid, count(*) AS n_grams, sum(micro)::BIGINT AS llr_micro FROM pairs JOIN hashed USING (g) JOIN ratios USING (bucket) GROUP BY rid),
 based AS (

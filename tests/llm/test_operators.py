@@ -458,8 +458,9 @@ def test_url_targets(spark):
 def test_quality_counts(spark):
     rng = random.Random(3)
     texts = [None, "", "a b c a b c", "a b", "x\n\nx\nx \n y", "## a|b <c> $%&*", " ".join(rng.choice("abc") for _ in range(60))]
-    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, kept int").drop("kept")
-    for r, text in zip(quality.base_counts(docs).orderBy("doc_id").collect(), texts, strict=True):
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for r, text in zip(quality.judge_quality(docs, labels).orderBy("doc_id").collect(), texts, strict=True):
         w = WORDS.findall(text or "")
         grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         again = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
@@ -478,6 +479,15 @@ def test_quality_verdicts(spark):
     kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
     assert kept == set(range(40))
     assert quality.keep_good(docs, labels.limit(0)).count() == 50
+    clash = docs.select("text", F.lit(1).alias("kept"), F.lit("s").alias("_shapes"), F.lit(5).alias("q_words"), F.lit(7).alias("c0"), "doc_id", F.lit(3).alias("n_words"), F.lit(8).alias("grams"))
+    got = quality.keep_good(clash, labels)
+    assert got.columns == clash.columns and {(r.doc_id, r.kept, r["_shapes"], r.q_words, r.c0, r.n_words, r.grams) for r in got.collect()} == {(i, 1, "s", 5, 7, 3, 8) for i in range(40)}
+    judged = quality.judge_quality(clash, labels)
+    plain = quality.judge_quality(docs, labels)
+    assert sorted((r.doc_id, r.n_grams, r.llr_micro, r.kept, r.n_words) for r in judged.collect()) == sorted((r.doc_id, r.n_grams, r.llr_micro, r.kept, r.n_words) for r in plain.collect())
+    assert quality.keep_good(docs.limit(0), labels).count() == 0 and quality.judge_quality(docs.limit(0), labels).count() == 0
+    odd = spark.createDataFrame([(None, "a b " * 40_000), (None, None), (1, ""), (1, "x " * 60)], "doc_id long, text string")
+    assert sorted((r.n_words, r.base_failed) for r in quality.judge_quality(odd, labels).collect()) == [(0, True), (0, True), (60, True), (80_000, True)]
 
 
 def test_grammar():
