@@ -30,7 +30,7 @@ from .common import WORD, materialize, small_side
 BUCKETS = 4096
 #: Mean log ratio per n-gram below which a document is rejected.
 THRESHOLD = -0.1
-#: Added to each bucket's counts: one with fewer n-grams than that says little either way.
+#: Added to each bucket's trusted count, and as much of the corpus: fewer n-grams than that say little either way.
 SMOOTH = 8.0
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 SPACES = " \t\n\x0b\x0c\r"
@@ -78,7 +78,7 @@ def fit_ratios(counted: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
             "c",
             lambda c: F.struct(
                 c["bucket"].alias("bucket"),
-                F.when(F.col("t") > 0, _ratio(c["t"], F.col("t"), c["n"], F.col("n"), buckets))
+                F.when(F.col("t") > 0, _ratio(c["t"], F.col("t"), c["n"], F.col("n")))
                 .otherwise(F.lit(0))
                 .cast("long")
                 .alias("micro"),
@@ -91,9 +91,11 @@ def fit_ratios(counted: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     return out
 
 
-def _ratio(t: Column, ts: Column, n: Column, ns: Column, buckets: int) -> Column:
-    more = F.lit(SMOOTH)
-    return F.round(F.lit(1e6) * F.log(((t + more) / (ts + more * buckets)) / ((n + more) / (ns + more * buckets))))
+def _ratio(t: Column, ts: Column, n: Column, ns: Column) -> Column:
+    """log of the smoothed shares: ``SMOOTH`` is added to the trusted count and to what the corpus lets expect of it."""
+    expected = n.cast("double") * ts.cast("double") / ns.cast("double")
+    return F.round(F.lit(1e6) * F.log((t + F.lit(SMOOTH)) / (expected + F.lit(SMOOTH))))
+
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -183,8 +185,3 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of ``docs`` that pass, with their own columns."""
     scored = _scored(docs, labels, docs.columns, threshold, buckets)
     return scored.where("q_kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
-
-
-def _ratio(t: Column, ts: Column, n: Column, ns: Column, buckets: int) -> Column:
-    more = F.lit(SMOOTH)
-    return F.round(F.lit(1e6) * F.log(((t + more) / (ts + more * buckets)) / ((n + more) / (ns + more * buckets))))

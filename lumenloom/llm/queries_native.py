@@ -115,7 +115,7 @@ counts AS (
   FROM pairs JOIN hashed USING (g) LEFT JOIN trusted t ON pairs.doc_id = t.doc_id GROUP BY bucket),
 totals AS (SELECT sum(n)::DOUBLE AS ns, sum(t)::DOUBLE AS ts FROM counts),
 ratios AS (
-  SELECT bucket, CASE WHEN ts > 0 THEN round(1e6 * ln(((t + {quality.SMOOTH}) / (ts + {quality.BUCKETS * quality.SMOOTH})) / ((n + {quality.SMOOTH}) / (ns + {quality.BUCKETS * quality.SMOOTH}))))::BIGINT ELSE 0 END AS micro
+  SELECT bucket, CASE WHEN ts > 0 THEN round(1e6 * ln((t + {quality.SMOOTH}) / (n::DOUBLE * ts / ns + {quality.SMOOTH})))::BIGINT ELSE 0 END AS micro
   FROM counts, totals),
 scores AS (SELECT rid, count(*) AS n_grams, sum(micro)::BIGINT AS llr_micro FROM pairs JOIN hashed USING (g) JOIN ratios USING (bucket) GROUP BY rid),
 based AS (
