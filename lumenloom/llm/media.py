@@ -1,7 +1,7 @@
 """Media columns: FLAC streams stored in a binary column, read back as PCM blocks and features.
 
-``round_trip`` writes the streams to the shared folder and computes all features from the bytes
-read back. ``write_pcm`` decodes stored streams into a table of PCM blocks by sample offset, of
+``round_trip`` writes the streams to the shared folder, wave by wave, and computes all features
+from the bytes read back. ``write_pcm`` decodes stored streams into a table of PCM blocks by sample offset, of
 which ``read_samples`` reads only the blocks that a range of samples touches.
 
 Defined results: null or empty text gives a payload of 64 zero bytes. Equal texts give equal
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, trimmed
+from .common import materialize, release, trimmed
 
 CHUNK = 1 << 20
 PAD = 64
@@ -142,9 +142,24 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(trimmed(run), schema)
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Streams of ``docs`` written to the shared folder, and the features of what is read from there."""
-    return read_features(materialize(encode_texts(docs), "flac"))
+#: ``round_trip`` goes in this many waves, so that the streams on disk at a time are a share of all.
+WAVES = 2
+
+
+def round_trip(docs: DataFrame, waves: int = WAVES) -> DataFrame:
+    """Streams of ``docs`` written to the shared folder, and the features of what is read from there.
+
+    Every row is in one wave; a wave's streams are deleted once its features are written. To keep
+    the streams, write ``encode_texts`` to a place of your own.
+    """
+    out = None
+    for k in range(waves):
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(waves)) == k) if waves > 1 else docs
+        stored = materialize(encode_texts(part), "flac")
+        features = materialize(read_features(stored), "flac-features")
+        release(stored)
+        out = features if out is None else out.union(features)
+    return out
 
 
 def write_pcm(media: DataFrame, path: str) -> None:

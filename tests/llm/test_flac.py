@@ -136,11 +136,20 @@ def test_damage_is_found(at):
         flac.decode([bytes(s)])
 
 
-def test_columns(spark):
+def test_columns(spark, monkeypatch):
+    seen = []
+
+    def spy(df, tag):
+        out = common.materialize(df, tag)
+        seen.append((tag, df.columns, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(media, "materialize", spy)
     rows = [(1, "hi"), (2, None), (3, ""), (None, "hi"), (1, "hi"), (4, "x" * 70_000)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_bytes int")
     stored = media.round_trip(docs)
-    assert any("flac-" in f for f in stored.inputFiles())  # features come from files
+    # what is stored are the streams, and the features are read from those files
+    assert [(t, "media" in c, bool(f)) for t, c, f in seen] == [("flac", True, True), ("flac-features", False, True)] * media.WAVES
     got = stored.collect()
     assert len(got) == len(rows)
     assert {r.payload_bytes for r in got if r.n_bytes in (0, 2)} == {64}
