@@ -101,6 +101,18 @@ def trimmed(run):
     return task
 
 
+def own_names(run):
+    """For operators that return the columns of their first argument: no other column's name can clash inside."""
+
+    @wraps(run)
+    def call(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        plain = [c if c in ("doc_id", "text", "source", "n_chars") else f"extra{i}" for i, c in enumerate(names)]
+        return run(docs.toDF(*plain), *args, **kwargs).toDF(*names)
+
+    return call
+
+
 def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, mix64, shingle_hashes, small_side, text_chunks, trimmed
+from .common import connected_components, materialize, mix64, own_names, shingle_hashes, small_side, text_chunks, trimmed
 
 BLOCK_DOCS = 512
 BLOCK_ELEMENTS = 1 << 20
@@ -399,6 +399,7 @@ def _with_set(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields]).add("_fp", "string"))
 
 
+@own_names
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near copies: of each component one row stays, that with the smallest doc_id.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, own_names
 
 MOST = 3
 SHARD_BLOCKS = 512
@@ -187,6 +187,7 @@ def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
 
 
+@own_names
 def apply_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: whole copies, then the first words of a last one.
 

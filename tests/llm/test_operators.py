@@ -455,6 +455,21 @@ def test_url_targets(spark):
     assert got[3] == got[4] == "block" and got[7] == "allow"
 
 
+def test_clashing_columns(spark):
+    """Extra columns with the operators' own names pass through unchanged."""
+    rows = made_up(11, 20)
+    docs = frame(spark, rows)
+    taken = ["_id", "_copy", "_fp", "_set", "_row", "_first", "size", "taken", "_h", "_n", "_k", "n", "links", "extra3"]
+    clash = docs.withColumns({c: F.lit(i) for i, c in enumerate(taken)})
+    for run in (lambda d: jaccard.keep_one_of_each(d, 5, 80), mixing.apply_mix):
+        got, plain = run(clash), run(docs)
+        assert got.columns == clash.columns
+        got = got.collect()
+        assert sorted((str(r.doc_id), str(r.text), r.fp) for r in got) == sorted((str(r.doc_id), str(r.text), r.fp) for r in plain.collect())
+        assert all([r[c] for c in taken] == list(range(len(taken))) for r in got)
+        assert run(docs.limit(0)).count() == 0
+
+
 def test_quality_counts(spark):
     rng = random.Random(3)
     texts = [None, "", "a b c a b c", "a b", "x\n\nx\nx \n y", "## a|b <c> $%&*", " ".join(rng.choice("abc") for _ in range(60))]
