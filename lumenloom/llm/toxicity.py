@@ -1,12 +1,14 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Transducers. A lexical transducer maps each word to a symbol: insult (with the weight of the
-lightest path that accepts it: a learned word or word start), threat, target, negation, reported
-speech or other. A clause transducer reads a clause's symbols; its state holds whether
-speech is reported, how many words a negation still reaches, and whether a target was named.
-An insult adds its weight, less under negation or reported speech; a clause with a target counts
-more; a threat counts only with a target. A document's evidence is the sum over its
-clauses, and a two-parameter logistic curve turns it into a score.
+Transducers. A lexical transducer maps each word to weighted symbols: insult (with the weight of
+the arc that accepts it: a learned word or word start), threat, target, negation, reported speech
+or other; a word may have several. Three clause transducers read and write symbols, each with
+its states and arcs: negation (an insult or threat within reach of one weighs less), reported
+speech (what follows weighs less) and target (a clause that names one weighs more; a threat
+counts only if the clause names one before or, guessed and checked at the end, after it). Their
+composition is one machine; a clause is scored by its best path, where an arc multiplies its
+symbol's weight, the path adds up, and the final state has the last factor. A document's
+evidence is the sum over its clauses, and a logistic curve turns it into a score.
 
 Learning. Insult arcs are words and word starts of 3 to 7 letters that toxic training
 documents share and others lack; weights are log odds. The curve is fitted on the same rows.
@@ -85,37 +87,100 @@ class Grammar:
         return 1 / (1 + F.exp(-at))
 
 
-def lexical(word: str, insult: float) -> tuple[str, float]:
-    """The symbol and weight a word is mapped to."""
-    if insult:
-        return "insult", insult
-    for symbol, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Weighted finite-state machine: ``arcs[state, symbol]`` are (next state, written symbol, factor)."""
+
+    start: object
+    arcs: dict[tuple[object, str], tuple[tuple[object, str, float], ...]]
+    final: dict[object, float]
+
+    def compose(self, after: Transducer) -> Transducer:
+        """The machine whose paths read by this one and have what it writes read by ``after``; factors multiply."""
+        start = (self.start, after.start)
+        arcs, final, open_ = {}, {}, [start]
+        seen = {start}
+        while open_:
+            here = open_.pop()
+            a, b = here
+            if a in self.final and b in after.final:
+                final[here] = self.final[a] * after.final[b]
+            for symbol in SYMBOLS:
+                out = tuple(
+                    ((a2, b2), written, f * g)
+                    for a2, middle, f in self.arcs.get((a, symbol), ())
+                    for b2, written, g in after.arcs.get((b, middle), ())
+                )
+                if out:
+                    arcs[here, symbol] = out
+                    fresh = [x[0] for x in out if x[0] not in seen]
+                    seen.update(fresh)
+                    open_ += fresh
+        return Transducer(start, arcs, final)
+
+    def best(self, words: list[tuple[tuple[str, float], ...]]) -> float:
+        """Weight of the best path over the words' (symbol, weight) choices; 0 if none ends in a final state."""
+        now = {self.start: 0.0}
+        for choices in words:
+            then: dict[object, float] = {}
+            for state, total in now.items():
+                for symbol, weight in choices:
+                    for to, _, factor in self.arcs.get((state, symbol), ()):
+                        value = total + weight * factor
+                        if value > then.get(to, -1.0):
+                            then[to] = value
+            now = then
+        return max((total * self.final[s] for s, total in now.items() if s in self.final), default=0.0)
+
+
+def negation_machine() -> Transducer:
+    """States count the words that a negation still reaches."""
+    arcs = {}
+    for left in range(REACH + 1):
+        below = max(0, left - 1)
+        for s in SYMBOLS:
+            arcs[left, s] = ((REACH if s == "negation" else below, s, NEGATED if left and s in ("insult", "threat") else 1.0),)
+    return Transducer(0, arcs, dict.fromkeys(range(REACH + 1), 1.0))
+
+
+def report_machine() -> Transducer:
+    """Speech is reported from the first verb of saying on."""
+    arcs = {}
+    for s in SYMBOLS:
+        arcs["plain", s] = (("reported" if s == "report" else "plain", s, 1.0),)
+        arcs["reported", s] = (("reported", s, REPORTED if s in ("insult", "threat") else 1.0),)
+    return Transducer("plain", arcs, {"plain": 1.0, "reported": 1.0})
+
+
+def target_machine() -> Transducer:
+    """``owed`` has counted a threat on the promise of a target to come, and is not final."""
+    arcs = {}
+    for s in SYMBOLS:
+        for state in ("free", "owed", "targeted"):
+            arcs[state, s] = (("targeted" if s == "target" else state, s, 1.0),)
+    arcs["free", "threat"] = (("free", "threat", 0.0), ("owed", "threat", 1.0))
+    return Transducer("free", arcs, {"free": 1.0, "targeted": TARGETED})
+
+
+#: What all clauses are scored by.
+CLAUSE = negation_machine().compose(report_machine()).compose(target_machine())
+
+
+def lexical(word: str, insult: float) -> tuple[tuple[str, float], ...]:
+    """The lexical transducer's arcs over one word: the symbols it may be read as, with their weights."""
+    out = [("insult", insult)] if insult else []
+    for symbol, words, weight in (("threat", THREATS, THREAT_WEIGHT), ("target", TARGETS, 0.0), ("negation", NEGATIONS, 0.0), ("report", REPORTS, 0.0)):
         if word in words:
-            return symbol, 0.0
-    return "other", 0.0
-
-
-def clause_weight(symbols: list[tuple[str, float]]) -> float:
-    """What the clause transducer puts out for a clause's symbols."""
-    reported, reach, target, threat, total = False, 0, False, False, 0.0
-    for symbol, weight in symbols:
-        if symbol == "report":
-            reported = True
-        elif symbol == "target":
-            target = True
-        elif symbol == "negation":
-            reach = REACH + 1
-        elif symbol in ("insult", "threat"):
-            factor = (NEGATED if reach else 1.0) * (REPORTED if reported else 1.0)
-            if symbol == "threat":
-                threat, weight = True, THREAT_WEIGHT
-                total += 0.0 if not target else weight * factor
-            else:
-                total += weight * factor
-        reach = max(0, reach - 1)
-    if threat and target and not total:  # the target came after the threat
-        total = THREAT_WEIGHT * (REPORTED if reported else 1.0)
-    return total * (TARGETED if target else 1.0)
+            out.append((symbol, weight))
+    return tuple(out) or (("other", 0.0),)
+
+
+def clause_weight(words: list[tuple[tuple[str, float], ...]]) -> float:
+    """What the composed machine gives for a clause's words, each with its choice of symbols."""
+    return CLAUSE.best(words)
 
 
 def evidence(text: str | None, machine) -> float:
@@ -141,8 +206,7 @@ def evidence(text: str | None, machine) -> float:
         begin = max((low.rfind(c, 0, at) for c in ".!?;:\n")) + 1
         end = _END.search(low, at)
         done = end.start() if end else len(low)
-        symbols = [lexical(m[0], hits.get(m.start(), 0.0)) for m in WORD.finditer(low, begin, done)]
-        total += clause_weight(symbols)
+        total += clause_weight([lexical(m[0], hits.get(m.start(), 0.0)) for m in WORD.finditer(low, begin, done)])
     return total
 
 

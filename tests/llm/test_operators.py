@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -505,13 +506,40 @@ def test_quality_verdicts(spark):
     assert sorted((r.n_words, r.base_failed) for r in quality.judge_quality(odd, labels).collect()) == [(0, True), (0, True), (60, True), (80_000, True)]
 
 
+def test_composition_and_best_path():
+    """The composed machine against every path of the three machines run one after the other."""
+    parts = [toxicity.negation_machine(), toxicity.report_machine(), toxicity.target_machine()]
+
+    def paths(machine, symbols):
+        """(written symbols, factors, final factor) of every accepting path."""
+        open_ = [(machine.start, (), ())]
+        for s in symbols:
+            open_ = [(to, (*out, o), (*fs, f)) for state, out, fs in open_ for to, o, f in machine.arcs.get((state, s), ())]
+        return [(out, fs, machine.final[state]) for state, out, fs in open_ if state in machine.final]
+
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [
+            tuple((s, rng.choice([1.0, 3.0]) if s in ("insult", "threat") else 0.0) for s in rng.sample(toxicity.SYMBOLS, rng.choice([1, 1, 2])))
+            for _ in range(rng.randint(0, 6))
+        ]
+        best = 0.0
+        for choice in itertools.product(*words):
+            for out1, f1, e1 in paths(parts[0], [s for s, _ in choice]):
+                for out2, f2, e2 in paths(parts[1], out1):
+                    for _, f3, e3 in paths(parts[2], out2):
+                        best = max(best, sum(w * a * b * c for (_, w), a, b, c in zip(choice, f1, f2, f3, strict=True)) * e1 * e2 * e3)
+        assert toxicity.clause_weight(words) == pytest.approx(best)
+
+
 def test_grammar():
-    w = toxicity.clause_weight
-    insult = ("insult", 4.0)
+    w = lambda symbols: toxicity.clause_weight([(x,) for x in symbols])
+    insult, threat = ("insult", 4.0), ("threat", toxicity.THREAT_WEIGHT)
     assert w([insult]) == 4.0 and w([("target", 0), insult]) == 5.0
     assert w([("negation", 0), insult]) == 2.0 and w([("report", 0), insult]) == pytest.approx(2.4)
     assert w([("negation", 0), *[("other", 0)] * 3, insult]) == 4.0
-    assert w([("threat", 0)]) == 0.0 and w([("threat", 0), ("target", 0)]) > 0
+    assert w([threat]) == 0.0 and w([threat, ("target", 0)]) == w([("target", 0), threat]) == 5.0
+    assert w([threat, insult]) == 4.0 and w([]) == 0.0
     machine = toxicity.Grammar({"idiot": 4.0, "vequ*": 3.0}).machine()
     e = lambda t: toxicity.evidence(t, machine)
     assert e("Idiot.") == 4.0 and e("idiots") == 0.0 and e("xidiot") == 0.0 and e("Vequaire!") == 3.0
