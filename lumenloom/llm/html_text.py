@@ -9,7 +9,13 @@ page's best container on its host's winning path, or of its own best container w
 has none on it.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are
-left out by element and by class or id words, inside the container too.
+left out by element and by class or id words, inside the container too. A container named by its
+layout (``sidebar``, ``share``), or a form, stays if it holds more than half of the page's
+unlinked text and the article's own marks; a header inside an article keeps its headings. Class
+names that say what a container has (``has-sidebar``) count for nothing.
+
+The container found is widened: to the enclosing article or named content container, whose
+further blocks come along unless most of their text is in links, and by what stands beside it.
 
 Defined results: null or empty html gives an empty text. A null URL, or one without ``://``, votes
 under the empty host. Pages of one host tie-break by path text. Repeated rows are extracted
@@ -36,15 +42,22 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr acronym picture source".split()
 )
-DROPPED_TAGS = frozenset("nav header footer aside form head menu dialog button select fieldset audio video".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words of a class or id that mark what is not part of the article.
-DROPPED_WORDS = frozenset(
-    """nav navbar navigation menu topbar header masthead footer foot sidebar side aside rail widget cookie cookies consent gdpr
-    notice alert banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments
-    respond reply replies discussion disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager
-    subscribe subscription newsletter signup login popup modal overlay form search hidden""".split()
+DROPPED_TAGS = frozenset("nav footer aside head menu dialog button select fieldset audio video".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+#: Words of a class or id that mark reader comments, which never stay.
+COMMENT_WORDS = frozenset("comment comments respond reply replies discussion disqus".split())
+#: Words that mark what is not part of the article, unless an article, main element or title is inside.
+ASIDE_WORDS = frozenset(
+    """nav navbar navigation menu topbar footer foot cookie cookies consent gdpr notice alert banner ad ads adv advert adverts
+    advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs pagination pager subscribe subscription
+    newsletter signup login popup modal overlay""".split()
 )
+#: Words that also name the layout around an article.
+LAYOUT_WORDS = frozenset("sidebar side aside rail widget share sharing social related recommended form search hidden".split())
+HEADER_WORDS = frozenset("header head masthead".split())
+#: First parts of class names that tell what a container has or how it looks, not what it is.
+MODIFIERS = ("has-", "with-", "no-", "without-", "is-", "not-", "hide-", "show-", "js-")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul dt dd".split()
@@ -60,14 +73,21 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Node:
-    """An open element that can hold blocks."""
+    """An open element that can hold blocks.
+
+    ``dropped``: left out whatever it holds. ``doubt``: left out unless it proves to hold the article.
+    ``core``: a title, an article or a main element is inside.
+    """
 
     tag: str
     path: str
     dropped: bool
+    doubt: str = ""
     good: bool = False
     number: int = 0
-    inner: list[int] = field(default_factory=list)
+    headings_only: bool = False
+    in_article: bool = False
+    core: bool = False
 
 
 @dataclass
@@ -86,12 +106,46 @@ def _attributes(raw: str) -> tuple[str, set[str], str, bool]:
         if low in ("class", "id"):
             if low == "class":
                 names = " ".join(sorted(value.split()))
-            words.update(w.lower() for w in _SPLIT.split(value) if w)
+            words.update(w.lower() for one in value.split() if not one.lower().startswith(MODIFIERS) for w in _SPLIT.split(one) if w)
         elif low == "role":
             role = value.lower()
     return re.sub(r"\d+", "#", names), words, role, bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) or "display:none" in raw.replace(" ", ""))
 
 
+def _settled(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """``blocks`` without those in containers of doubt that do not hold the article."""
+    doubtful = {n.number for n in nodes if n.doubt}
+    if not doubtful:
+        return blocks
+    held: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        inside = doubtful.intersection(b.chain)
+        if any(nodes[i].doubt == "comment" for i in inside):
+            continue
+        worth = len(b.text) - b.linked
+        total += worth
+        for i in inside:
+            held[i] = held.get(i, 0) + worth
+    out = {n for n in doubtful if not (2 * held.get(n, 0) > total and (nodes[n].core or (nodes[n].doubt == "layout" and nodes[n].good)))}
+    return [b for b in blocks if not out.intersection(b.chain)]
+
+
+def _doubt(tag: str, words: set[str], role: str, nested: bool) -> str:
+    """Why an element may be no part of the article: ``comment``, ``aside``, ``header``, ``layout`` or nothing."""
+    if tag in ("html", "body", "main") or (tag == "article" and not nested):
+        return ""
+    if words & COMMENT_WORDS:
+        return "comment"
+    if tag == "article":
+        return ""
+    if words & ASIDE_WORDS:
+        return "aside"
+    if tag == "header" or words & HEADER_WORDS:
+        return "header"
+    return "layout" if tag == "form" or role == "form" or words & LAYOUT_WORDS else ""
+
+
 def parse(html: str | None) -> tuple[list[Node], list[Block]]:
     """All containers and, in page order, the blocks of text that are not left out."""
     root = Node("", "", False)
@@ -103,7 +157,7 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
         nonlocal linked, in_link
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
-            if joined and not stack[-1].dropped:
+            if joined and not stack[-1].dropped and (not stack[-1].headings_only or any(n.tag in HEADINGS for n in stack)):
                 blocks.append(Block(joined, tuple(n.number for n in stack), min(linked, len(joined))))
             text.clear()
         linked = 0
@@ -167,23 +221,84 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
                         break
             names, words, role, hidden = _attributes(m[3] or "")
             up = stack[-1]
-            plain = tag in ("html", "body", "main", "article")
-            bad = tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden or (not plain and bool(words & DROPPED_WORDS))
-            node = Node(tag, f"{up.path}>{tag}{'.' + names if names else ''}", up.dropped or bad, tag in ("article", "main") or bool(words & GOOD_WORDS), len(nodes))
+            doubt = _doubt(tag, words, role, up.in_article)
+            # a header of the article itself keeps its headings
+            own = doubt == "header" and (up.in_article or bool(words & GOOD_WORDS))
+            node = Node(
+                tag,
+                f"{up.path}>{tag}{'.' + names if names else ''}",
+                up.dropped or tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden,
+                "" if own else doubt,
+                tag in ("article", "main") or bool(words & GOOD_WORDS),
+                len(nodes),
+                up.headings_only or own,
+                up.in_article or tag == "article",
+            )
+            if tag in ("h1", "article", "main") and not doubt and not node.dropped:
+                for outer in stack:
+                    outer.core = True
             nodes.append(node)
             if not (m[3] or "").rstrip().endswith("/"):
                 stack.append(node)
     flush()
-    return nodes, blocks
+    return nodes, _settled(nodes, blocks)
+
+
+BLOCK_TAGS = HEADINGS | frozenset("p li ul ol blockquote pre dl dt dd td th tr thead tbody tfoot table figure figcaption".split())
+#: Unlinked characters at which a container beside the one found is taken for a part of the article.
+SIBLING_CHARS = 80
+
+
+def _containers(nodes: list[Node], block: Block) -> tuple[int, ...]:
+    """The block's chain up to the innermost element that is not itself a block of text."""
+    end = len(block.chain)
+    while end > 1 and nodes[block.chain[end - 1]].tag in BLOCK_TAGS:
+        end -= 1
+    return block.chain[:end]
+
+
+def _link_heavy(blocks: list[Block]) -> bool:
+    return 2 * sum(b.linked for b in blocks) > sum(len(b.text) for b in blocks)
+
+
+def widened(nodes: list[Node], blocks: list[Block], pick: int, taken: set[int]) -> set[int]:
+    """Numbers of the article's blocks, from ``taken``, the blocks of container ``pick`` and of its like."""
+    up: tuple[int, ...] = ()
+    for i in taken:
+        if pick in blocks[i].chain:
+            up = blocks[i].chain[: blocks[i].chain.index(pick) + 1]
+            break
+    # no further out than the outermost article
+    first = next((at for at, n in enumerate(up) if nodes[n].tag == "article"), 0)
+    for depth in range(len(up) - 2, first - 1, -1):
+        outer = up[depth]
+        immediate = depth == len(up) - 2
+        if not (nodes[outer].good or immediate):
+            continue
+        more = [i for i, b in enumerate(blocks) if i not in taken and len(b.chain) > depth and b.chain[depth] == outer]
+        if not more:
+            continue
+        if nodes[outer].good and not _link_heavy([blocks[i] for i in more]):
+            taken = taken | set(more)
+            continue
+        # else part by part: the container's own blocks, and containers in it with text enough
+        parts: dict[int, list[int]] = {}
+        for i in more:
+            chain = _containers(nodes, blocks[i])
+            parts.setdefault(chain[depth + 1] if len(chain) > depth + 1 else -1 - i, []).append(i)
+        for part, inside in parts.items():
+            group = [blocks[i] for i in inside]
+            unlinked = sum(len(b.text) - b.linked for b in group)
+            if not _link_heavy(group) and (part < 0 or unlinked >= SIBLING_CHARS):
+                taken = taken | set(inside)
+    return taken
 
 
 def container_scores(nodes: list[Node], blocks: list[Block]) -> dict[int, float]:
     """Score of every container that holds blocks; a block element itself is no container."""
     out: dict[int, float] = {}
     for b in blocks:
-        chain = list(b.chain)
-        while len(chain) > 1 and nodes[chain[-1]].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "dl", "dt", "dd", "td", "th", "tr", "tbody", "table", "figure", "figcaption"):
-            chain.pop()
+        chain = _containers(nodes, b)
         worth = max(len(b.text) - 2 * b.linked, 0)
         for number, share in zip(reversed(chain), (1.0, 0.5), strict=False):
             out[number] = out.get(number, 0.0) + worth * share * (1.5 if nodes[number].good else 1.0)
@@ -203,7 +318,7 @@ def best_paths(html: str | None) -> list[tuple[str, float]]:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The text of the best container on ``path``, or else of the page's best one."""
+    """The text of the best container on ``path``, or else of the page's best one, widened to its article."""
     nodes, blocks = parse(html)
     scores = container_scores(nodes, blocks)
     if not scores:
@@ -212,7 +327,8 @@ def extract(html: str | None, path: str | None) -> str:
     pick = min(on_path, key=lambda n: (-on_path[n], n))
     # containers on the same path side by side make up one text
     same = {n for n in on_path if nodes[n].path == nodes[pick].path}
-    return "\n\n".join(b.text for b in blocks if same & set(b.chain))
+    taken = widened(nodes, blocks, pick, {i for i, b in enumerate(blocks) if same.intersection(b.chain)})
+    return "\n\n".join(blocks[i].text for i in sorted(taken))
 
 
 def path_votes(pages: DataFrame) -> DataFrame:

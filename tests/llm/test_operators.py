@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -608,6 +609,58 @@ def test_html():
     assert html_text.extract("<body>plain &am text", None) == "plain &am text"
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_html_generated_pages(seed):
+    """Pages made of known blocks, in several layouts and with what must go between: just the article's blocks come back."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(("alpha", "b&eacute;ta", "g&#228;mma", "d&lt;e", "zeta", "eta")) for _ in range(n))
+    want: list[str] = []
+
+    def block(raw, tag="p"):
+        want.append(unescape(raw))
+        return f"<{tag}>{raw}</{tag}>" if rng.random() < 0.5 else f"<{tag}>\n {raw.replace(' ', chr(10) + ' ', 1)} </{tag}>"
+
+    def body():
+        return "".join(
+            rng.choice(
+                (
+                    lambda: block(words(rng.randint(3, 60))),
+                    lambda: f"<ul>{block(words(4), 'li')}{block(words(5), 'li')}</ul>",
+                    lambda: f"<blockquote>{block(words(20))}</blockquote>",
+                    lambda: block(words(4), "h2"),
+                    lambda: f"<div class=ad>{words(9)}</div>",
+                    lambda: f"<script>var a = '<p>{words(3)}</p>';</script><!-- {words(2)} -->",
+                )
+            )()
+            for _ in range(rng.randint(2, 8))
+        ) + block(words(30))
+
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(6)) + "</ul></nav>"
+    comments = f"<div id=comments><article class=comment><p>{words(400)}</p></article></div>"
+    layout = seed % 6
+    if layout == 0:  # an intro and a body in their own containers
+        inner = f"<article>{block(words(5), 'h1')}<div class=intro>{block(words(12))}</div><div class=x>{body()}</div><div class=y>{block(words(6))}</div></article>"
+    elif layout == 1:  # class names that tell of a side bar, and a side bar
+        inner = f"<div class='content has-sidebar'>{block(words(5), 'h1')}{body()}</div><div class=sidebar>{words(12)}</div>"
+    elif layout == 2:  # a form around the whole page
+        inner = f"<form id=page><div class=post>{block(words(5), 'h1')}<div class=post-body>{body()}</div></div></form>"
+    elif layout == 3:  # the article's own header
+        inner = f"<main><article><header class=entry-header>{block(words(5), 'h1')}<p>{words(3)}</p></header>{body()}</article></main>"
+    elif layout == 4:  # a layout name on the container of the article
+        inner = f"<div id=share-article>{body()}</div>"
+    else:  # containers of one kind side by side
+        inner = f"<div id=main>{block(words(5), 'h1')}<div class=part-1>{body()}</div><div class=ad>{words(8)}</div><div class=part-2>{body()}</div></div>"
+    page = f"<html><head><title>{words(3)}</title></head><body><header><h1>{words(2)}</h1></header>{menu}{inner}{comments}<footer>{words(9)}</footer></body></html>"
+    assert html_text.extract(page, None) == "\n\n".join(want)
+    assert html_text.extract(page, html_text.best_paths(page)[0][0]) == "\n\n".join(want)
+
+
+def test_html_short_article_beside_long_notices():
+    for name in ("ad", "cookie-notice", "ad-content", "newsletter"):
+        page = f"<body><div class={name}>{'notice ' * 80}</div><article><h1>T</h1><p>x</p></article></body>"
+        assert html_text.extract(page, None) == "T\n\nx"
+
+
 def test_html_pages(spark):
     wrap = lambda t: f"<html><body><nav>menu menu</nav><div class='c1'><p>{t}</p></div></body></html>"
     rows = [(1, "http://a.com/1", wrap("hello there all")), (2, "http://a.com/2", None), (3, None, wrap("x")), (3, None, wrap("x")), (4, "http://b.com", "<p>only")]
