@@ -5,28 +5,36 @@ Documents without words have no signature, so they are only ever exact duplicate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
+from ..session import cut_lineage
 
 
-def first_seen(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, duplicate): later arrivals of a normal form already seen."""
-    keyed = docs.select("doc_id", F.sha2(tx.normal_form(F.coalesce("text", F.lit(""))), 256).alias("key"))
+def first_seen(docs: DataFrame, full: bool = False) -> DataFrame:
+    """(doc_id, key, duplicate): later arrivals of a normal form already seen.
+
+    ``full`` also decomposes, drops combining marks and folds case, at the cost of an Arrow UDF.
+    """
+    form = tx.strip_marks if full else tx.normal_form
+    keyed = docs.select("doc_id", F.sha2(form(F.coalesce("text", F.lit(""))), 256).alias("key"))
     # the first arrival comes from a combined minimum, so a key held by very many rows meets no single task
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
     return keyed.join(first, "key").select("doc_id", "key", (F.col("doc_id") != F.col("first")).alias("duplicate"))
 
 
 def signatures(docs: DataFrame, count: int = 64, n: int = 13) -> DataFrame:
-    """(doc_id, signature): the least value of each permutation over the document's shingles."""
+    """(doc_id, signature): the least value of each permutation over the document's shingles.
+
+    Made within the row, so nothing is shuffled and rows that share an id or have none keep their own.
+    """
     hashes = tx.let(tx.words(F.col("text")), lambda w: F.array_distinct(F.transform(tx.shingles(w, n), lambda s: hs.hash32(s) % hs.PRIME)))
-    # the outer form keeps the optimizer from computing the array twice to test its size
-    rows = docs.select("doc_id", F.explode_outer(hashes).alias("x")).where("x is not null")
-    least = [F.min((F.col("x") * a + b) % hs.PRIME).alias(f"m{i}") for i, (a, b) in enumerate(hs.permutations(count))]
-    return rows.groupBy("doc_id").agg(*least).select("doc_id", F.array(*[f"m{i}" for i in range(count)]).alias("signature"))
+    family = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in hs.permutations(count)])
+    least = lambda h: F.transform(family, lambda p: F.array_min(F.transform(h, lambda x: (x * p["a"] + p["b"]) % hs.PRIME)))
+    # the generator keeps the optimizer from computing the hashes again in the filter
+    return docs.select("doc_id", F.explode_outer(F.array(hashes)).alias("h")).where(F.size("h") > 0).select("doc_id", least(F.col("h")).alias("signature"))
 
 
 def signature_classes(sigs: DataFrame) -> DataFrame:
@@ -42,9 +50,9 @@ def candidate_pairs(sigs: DataFrame, rows: int = 4) -> DataFrame:
     """
     sigs = signature_classes(sigs).select(F.col("rep").alias("doc_id"), "signature")
     size = F.size("signature")
+    # only ids meet in the bands; signatures are fetched for the distinct pairs
     bands = sigs.select(
         "doc_id",
-        "signature",
         F.posexplode(
             F.transform(F.sequence(F.lit(0), (size / rows).cast("int") - 1), lambda b: F.array_join(F.slice("signature", b * rows + 1, rows), "|"))
         ).alias("band", "key"),
@@ -52,11 +60,12 @@ def candidate_pairs(sigs: DataFrame, rows: int = 4) -> DataFrame:
     left, right = bands.alias("l"), bands.alias("r")
     pairs = (
         left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id")))
-        .select(F.col("l.doc_id").alias("doc_a"), F.col("r.doc_id").alias("doc_b"), F.col("l.signature").alias("a"), F.col("r.signature").alias("b"))
-        .dropDuplicates(["doc_a", "doc_b"])
+        .select(F.col("l.doc_id").alias("doc_a"), F.col("r.doc_id").alias("doc_b"))
+        .distinct()
     )
+    named = lambda x, y: sigs.select(F.col("doc_id").alias(x), F.col("signature").alias(y))
     equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
-    return pairs.select("doc_a", "doc_b", (equal / F.size("a")).alias("agreement"))
+    return pairs.join(named("doc_a", "a"), "doc_a").join(named("doc_b", "b"), "doc_b").select("doc_a", "doc_b", (equal / F.size("a")).alias("agreement"))
 
 
 def _copies(sigs: DataFrame) -> DataFrame:
@@ -74,17 +83,15 @@ def pairwise_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least:
     )
 
 
-def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, duplicate) as arrivals decide one after another: only kept documents make later ones duplicates.
+def settled(edges: DataFrame) -> DataFrame:
+    """(doc_id, gone) of every later end of ``edges`` (doc_a, doc_b; doc_a earlier): gone if an earlier end stays.
 
-    A copy's fate is its representative's: either that is kept, or what made it a duplicate
-    does the same to the copy. Each round settles every representative whose earlier neighbours
-    are all settled, so at least the lowest open one; rounds go on until none is open, as many as
-    the longest chain has links. Raises if a round settles nothing, which needs pairs that are
-    not in arrival order (doc_a < doc_b).
+    Each round settles every document whose earlier neighbours are all settled, so at least the
+    lowest open one; rounds go on until none is open, as many as the longest chain has links.
+    Raises if a round settles nothing, which needs pairs that are not in arrival order.
     """
-    edges = pairs.where(F.col("agreement") >= least).select("doc_a", "doc_b").localCheckpoint()
-    state = docs.select("doc_id").join(edges.select(F.col("doc_b").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("gone", F.lit(None).cast("boolean"))
+    edges = cut_lineage(edges.select("doc_a", "doc_b"))
+    state = edges.select(F.col("doc_b").alias("doc_id")).distinct().withColumn("gone", F.lit(None).cast("boolean"))
     last = None
     while True:
         known = edges.join(state.select(F.col("doc_id").alias("doc_a"), "gone", F.lit(True).alias("listed")), "doc_a", "left").withColumn(
@@ -94,16 +101,23 @@ def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: f
             F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open")
         )
         # the checkpoint cuts the lineage, which would otherwise grow with the rounds
-        state = (
-            state.join(view, "doc_id")
-            .select("doc_id", F.coalesce("gone", F.when(F.col("hit"), True).when(F.col("open") == 0, False)).alias("gone"))
-            .localCheckpoint()
+        state = cut_lineage(
+            state.join(view, "doc_id").select("doc_id", F.coalesce("gone", F.when(F.col("hit"), True).when(F.col("open") == 0, False)).alias("gone"))
         )
         undecided = state.where("gone is null").count()
         if not undecided:
-            break
+            return state
         if undecided == last:
             raise RuntimeError(f"{undecided} documents cannot be settled in arrival order")
         last = undecided
+
+
+def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, duplicate) as arrivals decide one after another: only kept documents make later ones duplicates.
+
+    A copy's fate is its representative's: either that is kept, or what made it a duplicate
+    does the same to the copy.
+    """
+    state = settled(pairs.where(F.col("agreement") >= least))
     found = docs.select("doc_id").join(state, "doc_id", "left").join(_copies(sigs), "doc_id", "left")
     return found.select("doc_id", F.coalesce("copy", "gone", F.lit(False)).alias("duplicate"))

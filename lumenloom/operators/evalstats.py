@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EPS = 1e-12
 
@@ -206,10 +210,44 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(n) - 1) / 2
 
 
+def rank_p_value(rho: float, n: int) -> float:
+    """Two-sided p of a rank correlation by Student's t with n - 2 degrees of freedom.
+
+    It is the regularised incomplete beta I(1 - rho^2; (n - 2) / 2, 1 / 2), from the power series of its
+    complement, or of itself where that converges faster.
+    """
+    if n < 3:
+        return math.nan
+    y = min(rho * rho, 1.0)
+
+    def series(x: float, a: float, b: float) -> float:
+        if x <= 0:
+            return 0.0
+        term = total = 1.0
+        k = 0
+        while term > total * 1e-17:
+            term *= x * (a + b + k) / (a + 1 + k)
+            total += term
+            k += 1
+        front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b)
+        return math.exp(front) * total
+
+    half = (n - 2) / 2
+    if y >= 1:
+        return 0.0
+    return max(0.0, 1 - series(y, 0.5, half)) if y < 0.5 else series(1 - y, half, 0.5)
+
+
+@F.pandas_udf(DoubleType())
+def _rank_p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or r != r else rank_p_value(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype=float)
+
+
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rank correlation, null where either column is constant."""
+    """One row: rank correlation and its two-sided p, null where either column is constant."""
     ranked = rows.withColumns({"_rx": average_rank(x, [F.lit(0)]), "_ry": average_rank(y, [F.lit(0)])})
     varied = (F.stddev_samp("_rx") > 0) & (F.stddev_samp("_ry") > 0)
     n = F.count("*")
     cov = F.avg(F.col("_rx") * F.col("_ry")) - F.avg("_rx") * F.avg("_ry")
-    return ranked.agg(n.alias("n"), F.when(varied, F.try_divide(cov, F.stddev_pop("_rx") * F.stddev_pop("_ry"))).alias("spearman_rho"))
+    row = ranked.agg(n.alias("n"), F.when(varied, F.try_divide(cov, F.stddev_pop("_rx") * F.stddev_pop("_ry"))).alias("spearman_rho"))
+    return row.withColumn("spearman_p", F.when(F.col("spearman_rho").isNotNull(), _rank_p("spearman_rho", "n")))

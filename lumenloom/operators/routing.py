@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EPS = 1e-10
 
@@ -95,8 +98,12 @@ def pairwise(counts: DataFrame, experts: int, top: int = 32) -> DataFrame:
         F.max("n_b").alias("n_tokens_b"),
     )
     chi2 = F.when(F.col("used_experts") >= 2, F.col("chi2_all")).otherwise(F.lit(0.0))
-    return stats.withColumn("chi2", chi2).withColumn(
-        "cramers_v", F.coalesce(F.sqrt(F.try_divide("chi2", F.col("n_tokens_a") + F.col("n_tokens_b"))), F.lit(0.0))
+    return stats.withColumn("chi2", chi2).withColumns(
+        {
+            "cramers_v": F.coalesce(F.sqrt(F.try_divide("chi2", F.col("n_tokens_a") + F.col("n_tokens_b"))), F.lit(0.0)),
+            # one value for two classes and a layer, so the UDF sees few rows
+            "p_value": _chi2_p("chi2", F.col("used_experts") - 1),
+        }
     )
 
 
@@ -128,11 +135,16 @@ def chi2_p_value(chi2: float, dof: int) -> float:
     return min(1.0, scale * h)
 
 
+@F.pandas_udf(DoubleType())
+def _chi2_p(chi2: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([chi2_p_value(x, int(d)) for x, d in zip(chi2, dof, strict=True)], dtype=float)
+
+
 def routing_gate(pairs: DataFrame, languages: list[str], control: str, min_v: float = 0.05, max_jaccard: float = 0.95) -> DataFrame:
     """One row: do the languages route differently from the control class?"""
     a, b = F.col("class_a"), F.col("class_b")
     kept = pairs.where((a.isin(languages) & (b == control)) | (b.isin(languages) & (a == control)))
-    row = kept.agg(F.count("*").alias("n_comparisons"), F.max("cramers_v").alias("max_cramers_v"), F.avg("top32_jaccard").alias("mean_jaccard"))
+    row = kept.agg(F.count("*").alias("n_comparisons"), F.max("cramers_v").alias("max_cramers_v"), F.avg("top32_jaccard").alias("mean_jaccard"), F.min("p_value").alias("min_p_value"))
     differs = (F.col("max_cramers_v") >= min_v) | (F.col("mean_jaccard") <= max_jaccard)
     return row.withColumns(
         {
@@ -246,8 +258,6 @@ def greedy_order(profiles: list[list[float]], n: int, saturation: float | None =
     """
     import heapq
 
-    import numpy as np
-
     p = np.asarray(profiles, dtype=float)
     docs, experts = p.shape
     tau = max(1.0, n * p.sum() / docs / experts) if saturation is None else saturation
@@ -293,11 +303,13 @@ def coverage_greedy(profiles: DataFrame, experts: int, n: int, pool: int = 50_00
     )
 
     def run(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values("doc_id", ignore_index=True)
-        dense = [[float(dict(m).get(e, 0)) for e in range(experts)] for m in pdf["m"]]
-        rows = greedy_order(dense, n) if dense else []
+        dense = np.zeros((len(pdf), experts))
+        for i, m in enumerate(pdf["m"]):
+            for e, tokens in dict(m).items():
+                if 0 <= e < experts:
+                    dense[i, e] = tokens
+        rows = greedy_order(dense, n) if len(dense) else []
         return pd.DataFrame([{**{k: v for k, v in r.items() if k != "doc_index"}, "doc_id": int(pdf["doc_id"][r["doc_index"]])} for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
 
     return chosen.groupBy("g").applyInPandas(run, schema)

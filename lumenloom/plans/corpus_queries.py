@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
-from ..operators import corpus, dedup
+from ..operators import admission, corpus, dedup
 from ..session import table
 from ..sources import ingest
 
@@ -144,6 +144,11 @@ def near_dup_pairwise(spark, sf_dir):  # I2 (pairwise mode)
     return dedup.pairwise_verdict(docs, sigs, dedup.candidate_pairs(sigs, rows=4), 0.8)
 
 
+@register("exact_dedup_normalised")
+def exact_dedup_normalised(spark, sf_dir):  # T1 T4 W10
+    return dedup.first_seen(documents(spark, sf_dir), full=True)
+
+
 @register("near_dup_faithful")
 def near_dup_faithful(spark, sf_dir):  # I2 (arrival order)
     docs = documents(spark, sf_dir)
@@ -322,6 +327,17 @@ def ingest_manifest(spark, sf_dir):  # A3
     return corpus.manifest(judged).withColumn("records_rejected", text)
 
 
+@register("ingest_state_machine")
+def ingest_state_machine(spark, sf_dir):  # I3
+    kind = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("long"), F.lit(0))
+    primary = F.when(kind == 19, "code_control").when(kind == 18, "english_control").when(kind % 2 == 0, "formal_bm")
+    docs = documents(spark, sf_dir)
+    judged = ladder(docs).join(docs.select("doc_id", "text"), "doc_id")
+    # sources are read one after another
+    records = judged.withColumns({"arrival": kind * (1 << 40) + F.col("doc_id"), "primary": primary})
+    return admission.ingest(records, target=50, required=["formal_bm", "english_control"], cap=200_000)
+
+
 @register(
     "class_quota",
     f"""WITH {LADDER}, r AS (SELECT doc_id, corpus_class, row_number() OVER (PARTITION BY corpus_class ORDER BY doc_id) - 1 AS arrival FROM judged WHERE corpus_class IS NOT NULL)
@@ -414,13 +430,13 @@ def alignment_pass_rate(spark, sf_dir):  # A33 P5
 
 @register(
     "instruction_pair_parse",
-    """WITH d AS (SELECT doc_id, trim(left(text, 60)) AS src, trim(right(text, 60)) AS tgt FROM documents)
+    """WITH d AS (SELECT doc_id, trim(replace(text, '`', ' ')) AS src, trim(text) AS tgt FROM documents)
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN tgt WHEN 1 THEN src END AS malay, CASE doc_id % 3 WHEN 0 THEN src WHEN 1 THEN tgt END AS english FROM d WHERE src <> ''""",
 )
 def instruction_pair_parse(spark, sf_dir):  # T21 T22
     way = F.when(F.col("doc_id") % 3 == 0, " terjemah ke bahasa Melayu").when(F.col("doc_id") % 3 == 1, " Terjemah  ke english").otherwise(" ringkaskan")
-    rows = documents(spark, sf_dir).where("trim(left(text, 60)) <> ''").select(
-        "doc_id", F.concat(F.lit("`"), F.substring("text", 1, 60), F.lit("`"), way).alias("i"), F.expr("right(text, 60)").alias("o")
+    rows = documents(spark, sf_dir).where("trim(replace(text, '`', ' ')) <> ''").select(
+        "doc_id", F.concat(F.lit("`"), F.expr("replace(text, '`', ' ')"), F.lit("`"), way).alias("i"), F.col("text").alias("o")
     )
     return rows.select("doc_id", tx.instruction_pair(F.col("i"), F.col("o")).alias("p")).select("doc_id", "p.malay", "p.english")
 
@@ -551,7 +567,7 @@ def held_out_sample(spark, sf_dir):  # S16
 
 @register(
     "mc_prompt_render",
-    r"""WITH b AS (SELECT item_id, left(text, 80) AS q, [' (A) ' || left(text, 10), 'b. ' || substr(text, 11, 10), substr(text, 21, 10)] AS o, CASE WHEN item_id % 2 = 0 THEN 'english' ELSE 'malay' END AS lang FROM benchmark),
+    r"""WITH b AS (SELECT item_id, text AS q, [' (A) ' || text, 'b. ' || text || '.', 'x' || text] AS o, CASE WHEN item_id % 2 = 0 THEN 'english' ELSE 'malay' END AS lang FROM benchmark),
 c AS (SELECT *, list_transform(o, lambda x: trim(regexp_replace(x, '^\s*\(?([A-Za-z])[.):]\s+', ''))) AS bare FROM b),
 p AS (SELECT *, q || chr(10) || 'A. ' || bare[1] || chr(10) || 'B. ' || bare[2] || chr(10) || 'C. ' || bare[3] AS body FROM c)
 SELECT item_id, array_to_string(bare, '|') AS options, upper(regexp_extract(o[1], '^\s*\(?([A-Za-z])[.):]\s+', 1)) AS first_letter,
@@ -562,8 +578,8 @@ SELECT item_id, array_to_string(bare, '|') AS options, upper(regexp_extract(o[1]
 def mc_prompt_render(spark, sf_dir):  # T23 T24 T25 T26 T27
     raw = table(spark, sf_dir, "benchmark").select(
         "item_id",
-        F.substring("text", 1, 80).alias("q"),
-        F.array(F.concat(F.lit(" (A) "), F.substring("text", 1, 10)), F.concat(F.lit("b. "), F.substring("text", 11, 10)), F.substring("text", 21, 10)).alias("o"),
+        F.col("text").alias("q"),
+        F.array(F.concat(F.lit(" (A) "), "text"), F.concat(F.lit("b. "), "text", F.lit(".")), F.concat(F.lit("x"), "text")).alias("o"),
         F.when(F.col("item_id") % 2 == 0, "english").otherwise("malay").alias("lang"),
         F.char(F.col("item_id") % 3 + 65).alias("key"),
     )

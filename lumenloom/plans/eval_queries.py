@@ -84,13 +84,14 @@ pw AS (SELECT class_a, class_b, layer_index, sum(pa * ln(pa / pb)) AS kl_a_to_b,
   sum(pa * ln(pa / ((pa + pb) / 2))) / 2 + sum(pb * ln(pb / ((pa + pb) / 2))) / 2 AS jensen_shannon,
   count(*) FILTER (ta AND tb) / count(*) FILTER (ta OR tb) AS top32_jaccard,
   CASE WHEN count(*) FILTER (ca + cb > 0) >= 2 THEN sum(power(ca - (ca + cb) * na / (na + nb), 2) / ((ca + cb) * na / (na + nb)) + power(cb - (ca + cb) * nb / (na + nb), 2) / ((ca + cb) * nb / (na + nb))) FILTER (ca + cb > 0) ELSE 0 END AS chi2,
-  max(na)::BIGINT AS n_tokens_a, max(nb)::BIGINT AS n_tokens_b FROM j GROUP BY ALL),
-pv AS (SELECT *, sqrt(chi2 / (n_tokens_a + n_tokens_b)) AS cramers_v FROM pw)"""
+  max(na)::BIGINT AS n_tokens_a, max(nb)::BIGINT AS n_tokens_b, (count(*) FILTER (ca + cb > 0) - 1) / 2 AS a, chi2 / 2 AS x FROM j GROUP BY ALL),
+pv AS (SELECT *, sqrt(chi2 / (n_tokens_a + n_tokens_b)) AS cramers_v, CASE WHEN a <= 0 OR x <= 0 THEN 1 ELSE
+  greatest(0, 1 - list_sum(list_transform(range(0, (4 * x + 1000)::BIGINT), lambda k: exp((a + k) * ln(x) - x - lgamma(a + k + 1))))) END AS p_value FROM pw)"""
 
 
 @register(
     "routing_pairwise",
-    f"WITH {PAIRS} SELECT class_a, class_b, layer_index, n_tokens_a, n_tokens_b, {', '.join(f'round({c}, 6) AS {c}' for c in ('kl_a_to_b', 'kl_b_to_a', 'jensen_shannon', 'top32_jaccard', 'chi2', 'cramers_v'))} FROM pv",
+    f"WITH {PAIRS} SELECT class_a, class_b, layer_index, n_tokens_a, n_tokens_b, {', '.join(f'round({c}, 6) AS {c}' for c in ('kl_a_to_b', 'kl_b_to_a', 'jensen_shannon', 'top32_jaccard', 'chi2', 'cramers_v', 'p_value'))} FROM pv",
 )
 def routing_pairwise(spark, sf_dir):  # A11 A12 A13 M6 M7 J5 F9 O1
     return rounded(rt.pairwise(rt.observe(router_tokens(spark, sf_dir))[0], EXPERTS).drop("used_experts", "chi2_all"))
@@ -99,7 +100,7 @@ def routing_pairwise(spark, sf_dir):  # A11 A12 A13 M6 M7 J5 F9 O1
 @register(
     "routing_gate",
     f"""WITH {PAIRS}, g AS (SELECT * FROM pv WHERE (class_a IN ('c1', 'c2', 'c3') AND class_b = 'c0') OR (class_b IN ('c1', 'c2', 'c3') AND class_a = 'c0')),
-a AS (SELECT count(*) AS n_comparisons, round(max(cramers_v), 6) AS max_cramers_v, round(avg(top32_jaccard), 6) AS mean_jaccard FROM g)
+a AS (SELECT count(*) AS n_comparisons, round(max(cramers_v), 6) AS max_cramers_v, round(avg(top32_jaccard), 6) AS mean_jaccard, round(min(p_value), 6) AS min_p_value FROM g)
 SELECT *, CASE WHEN n_comparisons = 0 THEN 'indeterminate' WHEN max_cramers_v >= 0.05 OR mean_jaccard <= 0.95 THEN 'differs' ELSE 'same' END AS status,
   NOT (n_comparisons > 0 AND (max_cramers_v >= 0.05 OR mean_jaccard <= 0.95)) AS weakened FROM a""",
 )
@@ -135,7 +136,7 @@ def profiles_dense(spark, sf_dir):  # A9 S17
 
 
 COVER = f"""{PROFILE},
-sel AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS variant FROM (SELECT DISTINCT doc_id FROM prof UNION SELECT -1) WHERE doc_id % 5 < 2 OR doc_id = -1),
+sel AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS variant FROM (SELECT DISTINCT doc_id FROM prof UNION SELECT -1)),
 tot AS (SELECT v.variant, e.expert_id, coalesce(sum(t.tokens), 0)::BIGINT AS tokens FROM (SELECT DISTINCT variant FROM sel) v, (SELECT unnest(range({EXPERTS}))::INT AS expert_id) e
   LEFT JOIN (SELECT variant, expert_id, tokens FROM sel JOIN dp USING (doc_id)) t ON t.variant = v.variant AND t.expert_id = e.expert_id GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY tokens) AS i FROM tot),
@@ -153,7 +154,7 @@ FROM sz JOIN st USING (variant)""",
 )
 def coverage_stats(spark, sf_dir):  # A15 A16 A34 G15 J2 W6
     p = rt.document_profiles(profiles(spark, sf_dir))
-    ids = p.select("doc_id").distinct().where("doc_id % 5 < 2").union(spark.range(1).select(F.lit(-1).cast("long")))
+    ids = p.select("doc_id").distinct().union(spark.range(1).select(F.lit(-1).cast("long")))
     chosen = ids.withColumn("variant", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
     return rounded(rt.coverage_stats(chosen, p, EXPERTS, ("variant",)))
 
@@ -180,7 +181,7 @@ def _greedy_sql(steps: int, pool: int) -> str:
     ctes = [
         f"{PROFILE}",
         f"pool AS (SELECT DISTINCT doc_id FROM dp ORDER BY doc_id LIMIT {pool})",
-        f"pp AS (SELECT dp.* FROM dp JOIN pool USING (doc_id))",
+        f"pp AS MATERIALIZED (SELECT dp.* FROM dp JOIN pool USING (doc_id))",
         f"tau AS (SELECT greatest(1, {steps}::DOUBLE * sum(tokens) / count(DISTINCT doc_id) / {EXPERTS}) AS t FROM pp)",
         f"c0 AS (SELECT unnest(range({EXPERTS}))::INT AS expert_id, 0::DOUBLE AS c)",
         "k0 AS (SELECT -1::BIGINT AS doc_id WHERE false)",
@@ -188,19 +189,19 @@ def _greedy_sql(steps: int, pool: int) -> str:
     outs = []
     for s in range(1, steps + 1):
         ctes.append(
-            f"b{s} AS (SELECT doc_id, sum(least(c + tokens, t) - least(c, t)) AS g FROM pp JOIN c{s - 1} USING (expert_id), tau WHERE doc_id NOT IN (SELECT doc_id FROM k{s - 1}) GROUP BY doc_id ORDER BY round(g, 9) DESC, doc_id LIMIT 1)"
+            f"b{s} AS MATERIALIZED (SELECT doc_id, sum(least(c + tokens, t) - least(c, t)) AS g FROM pp JOIN c{s - 1} USING (expert_id), tau WHERE doc_id NOT IN (SELECT doc_id FROM k{s - 1}) GROUP BY doc_id ORDER BY round(g, 9) DESC, doc_id LIMIT 1)"
         )
         ctes.append(f"k{s} AS (SELECT doc_id FROM k{s - 1} UNION ALL SELECT doc_id FROM b{s})")
-        ctes.append(f"c{s} AS (SELECT c.expert_id, c.c + coalesce(p.tokens, 0) AS c FROM c{s - 1} c LEFT JOIN (SELECT expert_id, tokens FROM pp WHERE doc_id = (SELECT doc_id FROM b{s})) p USING (expert_id))")
+        ctes.append(f"c{s} AS MATERIALIZED (SELECT c.expert_id, c.c + coalesce(p.tokens, 0) AS c FROM c{s - 1} c LEFT JOIN (SELECT expert_id, tokens FROM pp WHERE doc_id = (SELECT doc_id FROM b{s})) p USING (expert_id))")
         outs.append(
             f"SELECT {s - 1}::BIGINT AS step, (SELECT doc_id FROM b{s}) AS doc_id, min(c) AS min_coverage, round(quantile_cont(c, 0.1), 6) AS p10_coverage, round(avg(c), 6) AS mean_coverage, round(sum(least(c, t)), 6) AS saturated_coverage, count(*) FILTER (c = 0) AS experts_unseen FROM c{s}, tau"
         )
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(outs)
 
 
-@register("coverage_greedy_trace", _greedy_sql(8, 50))
+@register("coverage_greedy_trace", _greedy_sql(8, 50_000))
 def coverage_greedy_trace(spark, sf_dir):  # I1 M9 M10 W8 O8
-    return rounded(rt.coverage_greedy(rt.document_profiles(profiles(spark, sf_dir)), EXPERTS, 8, pool=50).drop("rescored"))
+    return rounded(rt.coverage_greedy(rt.document_profiles(profiles(spark, sf_dir)), EXPERTS, 8).drop("rescored"))
 
 
 @register(
@@ -236,7 +237,8 @@ def top_preferences(spark, sf_dir):  # O2 O6
     "expert_spearman",
     f"""WITH {PROFILE}, w AS (SELECT expert_id, coalesce(sum(token_count) FILTER (corpus_class = 'A'), 0) AS m, coalesce(sum(token_count) FILTER (corpus_class = 'N'), 0) AS e FROM prof GROUP BY 1),
 r AS (SELECT rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS rx, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS ry FROM w)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS spearman_rho FROM r""",
+, c AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM r), b AS (SELECT *, rho * rho AS y, (n - 2) / 2 AS h FROM c)
+SELECT n, round(rho, 6) AS spearman_rho, round(1 - list_sum(list_transform(range(0, 20000), lambda k: exp(0.5 * ln(y) + h * ln(1 - y) + lgamma(h + 0.5 + k) + k * ln(y) - lgamma(1.5 + k) - lgamma(h)))), 6) AS spearman_p FROM b""",
 )
 def expert_spearman(spark, sf_dir):  # A25 W7
     return rounded(ev.spearman(_preference(profiles(spark, sf_dir)), "malay", "english"))
@@ -567,10 +569,10 @@ def checkpoint_staleness(spark, sf_dir):  # G10
 
 @register(
     "parallel_unpivot",
-    "SELECT item_id, 'english' AS language, left(text, 20) AS question FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT item_id, 'malay', right(text, 20) FROM benchmark WHERE text IS NOT NULL",
+    "SELECT item_id, 'english' AS language, text AS question FROM benchmark WHERE text IS NOT NULL UNION ALL SELECT item_id, 'malay', 'ms ' || text FROM benchmark WHERE text IS NOT NULL",
 )
 def parallel_unpivot(spark, sf_dir):  # S19 S20
-    wide = table(spark, sf_dir, "benchmark").selectExpr("item_id", "named_struct('question', left(text, 20)) as english", "named_struct('question', right(text, 20)) as malay")
+    wide = table(spark, sf_dir, "benchmark").selectExpr("item_id", "named_struct('question', text) as english", "named_struct('question', concat('ms ', text)) as malay")
     long = wide.unpivot("item_id", ["english", "malay"], "language", "cell")
     return long.where("cell.question is not null").select("item_id", "language", "cell.question")
 

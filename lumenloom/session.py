@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,24 @@ def build_session(app: str = "lumenloom", cpus: int | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, so rounds do not grow a plan and lost executors lose nothing.
+
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else
+    one in the warehouse, which a cluster's executors share as well.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        at = "file://" + tempfile.mkdtemp(prefix="lumenloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/lumenloom-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", at)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
