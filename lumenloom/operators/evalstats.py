@@ -91,14 +91,14 @@ def kl_delta(rows: DataFrame, side: str, left: str, right: str, by: list[str], k
     )
 
 
-def bootstrap_interval(rows: DataFrame, by: list[str], value: str, resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean of ``value`` in each group by a Poisson bootstrap.
+def _resampled(rows: DataFrame, by: list[str], key: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
+    """(by..., b, n, s_<value>...): Poisson(1) weights of every row summed for each resample, with the weighted sums.
 
-    Every row draws its weight for each resample from a hash of its own value and number, so
-    the sums combine before the shuffle and no group is held by one task.
+    A row draws from a hash of its ``key``, so draws are the same however rows are partitioned, and
+    sums combine before the shuffle: no group is held by one task.
     """
-    draws = rows.select(*by, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    u = (F.xxhash64(F.lit(seed), "b", value, F.monotonically_increasing_id()).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+    draws = rows.select(*by, *values, F.xxhash64(F.lit(seed), *key).alias("_k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    u = F.xxhash64("_k", "b").bitwiseAND((1 << 53) - 1) / float(1 << 53)
     weight = F.lit(0)
     # Poisson(1) cumulative probabilities up to 6
     total, p = 0.0, 0.36787944117144233
@@ -106,12 +106,49 @@ def bootstrap_interval(rows: DataFrame, by: list[str], value: str, resamples: in
         total += p
         weight = weight + (u >= total).cast("int")
         p /= k
-    sums = draws.withColumn("w", weight).groupBy(*by, "b").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.sum("w").alias("n"))
-    means = sums.withColumn("m", F.try_divide("s", F.col("n")))
+    return draws.withColumn("w", weight).groupBy(*by, "b").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(v)).alias(f"s_{v}") for v in values])
+
+
+def bootstrap_interval(
+    rows: DataFrame, by: list[str], value: str, resamples: int = 1000, confidence: float = 0.95, seed: int = 0, key: list[str] | None = None
+) -> DataFrame:
+    """Percentile interval of the mean of ``value`` in each group by a Poisson bootstrap.
+
+    ``key`` names what tells rows apart (all columns if None); rows equal there draw alike.
+    Null values count for nothing.
+    """
+    some = rows.where(F.col(value).isNotNull())
+    means = _resampled(some, by, key or rows.columns, [value], resamples, seed).withColumn("m", F.try_divide(f"s_{value}", F.col("n")))
     alpha = (1 - confidence) / 2
     return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha)).alias("ci_high"))
 
 
+def paired_interval(
+    rows: DataFrame,
+    side: str,
+    left: str,
+    right: str,
+    pair: str,
+    by: list[str],
+    value: str = "kl",
+    resamples: int = 1000,
+    confidence: float = 0.95,
+    seed: int = 0,
+) -> DataFrame:
+    """Interval of the difference of both sides' means, with both sides of a ``pair`` drawn together.
+
+    Only pairs with a value on either side count; a side's several values of one pair are averaged.
+    ``delta_excludes_zero`` says that the whole interval is on one side of zero.
+    """
+    mean = lambda s: F.avg(F.when(F.col(side) == s, F.col(value)))
+    wide = rows.groupBy(*by, pair).agg((mean(left) - mean(right)).alias("d")).where("d is not null")
+    means = _resampled(wide, by, [*by, pair], ["d"], resamples, seed).withColumn("m", F.try_divide("s_d", F.col("n")))
+    alpha = (1 - confidence) / 2
+    low, high = F.percentile("m", F.lit(alpha)), F.percentile("m", F.lit(1 - alpha))
+    out = means.groupBy(*by).agg(low.alias("bm_en_delta_ci_low"), high.alias("bm_en_delta_ci_high"))
+    return out.withColumn("delta_excludes_zero", (F.col("bm_en_delta_ci_low") > 0) | (F.col("bm_en_delta_ci_high") < 0))
+
+
 def perplexity(rows: DataFrame, by: list[str], nll: str = "nll") -> DataFrame:
     """exp of the mean negative log-likelihood (at most e^70), with its deviation and counts."""
     return rows.where(F.col(nll).isNotNull()).groupBy(*by).agg(

@@ -306,6 +306,13 @@ def kl_intervals(spark, sf_dir):  # A19 A20 P6
     return rounded(ev.bootstrap_interval(kl_rows(spark, sf_dir), ["side"], "kl", resamples=200))
 
 
+@register("kl_delta_interval")
+def kl_delta_interval(spark, sf_dir):  # A20
+    # neighbouring vectors stand in for the two sides of an aligned pair
+    rows = kl_rows(spark, sf_dir).withColumns({"side": F.when(F.col("vec_id") % 2 == 0, "bm").otherwise("en"), "pair": F.shiftright("vec_id", 1)})
+    return rounded(ev.paired_interval(rows.withColumn("grp", F.lit("all")), "side", "bm", "en", "pair", ["grp"], resamples=200))
+
+
 @register(
     "kl_delta",
     f"""WITH {KL}, m AS (SELECT (label % 5)::INT AS grp, avg(kl) FILTER (side = 'bm') AS b, avg(kl) FILTER (side = 'en') AS e, count(*) FILTER (side = 'bm') AS n_bm_tokens, count(*) FILTER (side = 'en') AS n_en_tokens FROM kl GROUP BY 1)

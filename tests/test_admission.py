@@ -98,6 +98,28 @@ def test_normalised_first_seen(spark):
     assert {r.doc_id for r in got.where("duplicate").collect()} == {2, 3, 6, 8}
 
 
+def test_paired_interval(spark):
+    rng = random.Random(5)
+    rows = [(g, i, side, x + shift) for g, shift_of in (("far", 0.5), ("same", 0.0)) for i in range(200) for x in [rng.random()] for side, shift in (("bm", shift_of), ("en", 0.0))]
+    rows += [("same", 1000, "bm", 99.0), ("same", None, "en", None)]  # no partner, no value
+    df = spark.createDataFrame(rows, "g string, i long, side string, kl double")
+    first, again = ({r.g: r for r in evalstats.paired_interval(d, "side", "bm", "en", "i", ["g"], resamples=50).collect()} for d in (df, df.repartition(7)))
+    for g, want in (("far", 0.5), ("same", 0.0)):
+        # the difference is the same in every pair, so pairs drawn together leave no spread
+        for got in (first[g], again[g]):
+            assert got.bm_en_delta_ci_low == pytest.approx(want, abs=1e-9) and got.bm_en_delta_ci_high == pytest.approx(want, abs=1e-9)
+    assert first["far"].delta_excludes_zero
+
+
+def test_bootstrap_interval(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([("a", i, rng.gauss(3, 1)) for i in range(2000)] + [("a", -1, None)], "g string, i long, v double")
+    first, again = (evalstats.bootstrap_interval(d, ["g"], "v", resamples=200).first() for d in (df, df.repartition(5)))
+    assert first.ci_low == pytest.approx(again.ci_low, abs=1e-9) and first.ci_high == pytest.approx(again.ci_high, abs=1e-9)
+    # two standard errors of the mean are 0.045
+    assert 2.9 < first.ci_low < 3.05 and 0.06 < first.ci_high - first.ci_low < 0.12
+
+
 @pytest.mark.parametrize("rho,n,p", [(0.5, 10, 0.141113), (0.9, 5, 0.037386), (-0.5, 10, 0.141113), (0.0, 10, 1.0), (1.0, 10, 0.0)])
 def test_rank_p_value(rho, n, p):
     assert evalstats.rank_p_value(rho, n) == pytest.approx(p, abs=1e-6)
