@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..functions.hashing import order_key
+from .ranks import first_rows, quota_flag, ranked
 
 
 class ContaminationError(ValueError):
@@ -20,8 +21,7 @@ class SplitError(ValueError):
 
 def seeded_sample(docs: DataFrame, n: int, seed: int, tag: str, by: list[str], key: str) -> DataFrame:
     """At most ``n`` rows of each ``by`` group, in seeded order; a feature, not a safeguard."""
-    w = Window.partitionBy(*by).orderBy(order_key(seed, tag, *[F.col(c).cast("string") for c in by], F.col(key).cast("string")), key)
-    return docs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return first_rows(docs, by, order_key(seed, tag, *[F.col(c).cast("string") for c in by], F.col(key).cast("string")), [key], n)
 
 
 def corpus_stats(docs: DataFrame, by: str, seq_len: int = 2048, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -167,9 +167,7 @@ def classify(
 
 def first_arrivals(docs: DataFrame, by: str, order: str, quota: int) -> DataFrame:
     """``docs`` with ``arrival`` (from 0 within its class) and ``accepted``: the class's first ``quota`` rows."""
-    w = Window.partitionBy(by).orderBy(order)
-    ranked = docs.withColumn("arrival", F.row_number().over(w) - 1)
-    return ranked.withColumn("accepted", F.col("arrival") < quota)
+    return ranked(docs, [by], [order], "arrival").withColumns({"arrival": F.col("arrival").cast("int"), "accepted": F.col("arrival") < quota})
 
 
 def drop_small_classes(docs: DataFrame, by: str, optional: list[str], floor: int) -> DataFrame:
@@ -205,14 +203,16 @@ def split(docs: DataFrame, by: str = "corpus_class", key: str = "doc_id", seed:
     """``docs`` with doc_index (0-based arrival in its class) and side, train or eval.
 
     Each class is ordered by its own seed, so adding a class moves no other's documents. The
-    number of train rows is rounded half to even and kept between 1 and all but one.
+    number of train rows is rounded half to even and kept between 1 and all but one. A class of
+    any size is dealt over many tasks.
     """
-    arrived = docs.withColumn("doc_index", F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1)
-    order = Window.partitionBy(by).orderBy(order_key(seed, "split", F.col(by), F.col("doc_index").cast("string")), "doc_index")
-    total = F.count("*").over(Window.partitionBy(by))
+    arrived = ranked(docs, [by], [key], "doc_index").withColumn("doc_index", F.col("doc_index").cast("int"))
+    total = F.col("total")
     n_train = F.greatest(F.lit(1), F.least(F.bround(total * train).cast("long"), total - 1))
-    n_train = F.when(total == 1, F.lit(0)).otherwise(n_train)
-    return arrived.withColumn("side", F.when(F.row_number().over(order) <= n_train, "train").otherwise("eval"))
+    quota = arrived.groupBy(by).agg(F.count("*").alias("total")).select(by, F.when(total == 1, F.lit(0)).otherwise(n_train).alias("quota"))
+    digest = order_key(seed, "split", F.col(by), F.col("doc_index").cast("string"))
+    flagged = quota_flag(arrived, [by], digest, ["doc_index"], quota, "_train")
+    return flagged.withColumn("side", F.when(F.col("_train"), "train").otherwise("eval")).drop("_train")
 
 
 def split_summary(parts: DataFrame, by: str = "corpus_class") -> DataFrame:
@@ -263,10 +263,11 @@ WEIGHTS = {"formal_bm": 0.25, "english_control": 0.30, "manglish": 0.20, "code_s
 def candidate_pool(parts: DataFrame, target: int, seed: int = 42, by: str = "corpus_class") -> DataFrame:
     """Equally many train documents of each class, target over classes, at least one."""
     train = parts.where(F.col("side") == "train")
-    each = train.agg(F.greatest(F.floor(F.lit(target) / F.countDistinct(by)), F.lit(1)).alias("_each"))
-    w = Window.partitionBy(by).orderBy(order_key(seed, "pool", F.col(by), F.col("doc_id").cast("string")), "doc_id")
-    # one row of one number
-    return train.withColumn("_r", F.row_number().over(w)).join(F.broadcast(each)).where("_r <= _each").drop("_r", "_each")
+    classes = train.groupBy(by).agg(F.count("*").alias("n"))
+    # one row of one number, joined to one row a class
+    each = classes.agg(F.greatest(F.floor(F.lit(target) / F.countDistinct(by)), F.lit(1)).alias("quota"))
+    quota = classes.select(by).join(F.broadcast(each))
+    return first_rows(train, [by], order_key(seed, "pool", F.col(by), F.col("doc_id").cast("string")), ["doc_id"], quota)
 
 
 def variant(parts: DataFrame, name: str, n: int, seed: int = 42, by: str = "corpus_class", weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -285,14 +286,8 @@ def variant(parts: DataFrame, name: str, n: int, seed: int = 42, by: str = "corp
     elif name == "mixed_5050":
         out = pick(train.where(english), n // 2, "en").union(pick(train.where(~english), n - n // 2, "bm"))
     elif name == "mixed_weighted":
-        quota = parts.sparkSession.createDataFrame([(c, w) for c, w in weights.items()], f"{by} string, _w double")
-        w = Window.partitionBy(by).orderBy(order_key(seed, name, F.col(by), n, F.col("doc_id").cast("string")), "doc_id")
-        out = (
-            train.join(F.broadcast(quota), by)
-            .withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= F.bround(F.lit(n) * F.col("_w")))
-            .select(*parts.columns)
-        )
+        quota = parts.sparkSession.createDataFrame([(c, w) for c, w in weights.items()], f"{by} string, w double").select(by, F.bround(F.lit(n) * F.col("w")).alias("quota"))
+        out = first_rows(train, [by], order_key(seed, name, F.col(by), n, F.col("doc_id").cast("string")), ["doc_id"], quota)
     elif name == "oracle_contaminated":
         out = pick(held.where(~english), n, "oracle")
     else:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lumenloom", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -32,22 +34,67 @@ def build_session(app: str = "lumenloom", cpus: int | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so rounds do not grow a plan and lost executors lose nothing.
+#: Folders that ``materialize`` wrote and nothing has released yet.
+_written: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one where that is unset in local mode.
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else
-    one in the warehouse, which a cluster's executors share as well.
+    A cluster without the setting uses the warehouse, which its executors share as well.
     """
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        local = master.startswith("local") and not master.startswith("local-cluster")
-        at = "file://" + tempfile.mkdtemp(prefix="lumenloom-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/lumenloom-checkpoints"
+    if not at and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        at = "file://" + tempfile.mkdtemp(prefix="lumenloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    return (at or spark.conf.get("spark.sql.warehouse.dir") + "/lumenloom-shared").rstrip("/")
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    The files outlive lost executors. ``release`` deletes them once nothing reads them,
+    ``release_all`` what is left when a session is done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.add(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenloom_path = path  # noqa: SLF001
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
+    _written.discard(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for this very DataFrame object."""
+    path = getattr(df, "_lumenloom_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete everything this process wrote to the shared folder; results that still read it end."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def small_side(df: DataFrame, rows: int = 100_000, row_bytes: int = 256) -> DataFrame:
+    """``df`` marked for broadcast if a count shows at most ``rows`` rows of about ``row_bytes``, else as it is.
+
+    For rows of bounded width only; wider ones take a lower bound, so that about 25 MB are sent at most.
+    """
+    return F.broadcast(df) if df.count() <= rows * 256 // max(row_bytes, 256) else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, so rounds do not grow a plan and lost executors lose nothing."""
+    return materialize(df, "cut")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
