@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,60 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, release, release_all, shared_dir  # noqa: F401  (shared with the rest of the library)
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one where that is unset in local mode.
-
-    A cluster without the setting uses the warehouse, which its executors share as well.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        at = "file://" + tempfile.mkdtemp(prefix="lumenloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return (at or spark.conf.get("spark.sql.warehouse.dir") + "/lumenloom-shared").rstrip("/")
-
-
-#: Folders that ``materialize`` wrote and nothing has released yet.
-_written: set[str] = set()
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive lost executors. ``release`` deletes them once nothing reads them,
-    ``release_all`` what is left when a session is done.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.add(path)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lumenloom_path = path  # noqa: SLF001
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
-    _written.discard(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for this very DataFrame object."""
-    path = getattr(df, "_lumenloom_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def release_all(spark: SparkSession) -> None:
-    """Delete everything this process wrote to the shared folder; results that still read it end."""
-    for path in list(_written):
-        _delete(spark, path)
-
-
 @contextmanager
 def scratch(spark: SparkSession, tag: str) -> Iterator[str]:
     """The name of a warehouse table that is dropped at the end, or on a failure."""
