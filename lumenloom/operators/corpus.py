@@ -9,6 +9,7 @@ from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..functions.hashing import order_key
 from .ranks import first_rows, quota_flag, ranked
+from .routing import coverage_greedy
 
 
 class ContaminationError(ValueError):
@@ -270,8 +271,22 @@ def candidate_pool(parts: DataFrame, target: int, seed: int = 42, by: str = "cor
     return first_rows(train, [by], order_key(seed, "pool", F.col(by), F.col("doc_id").cast("string")), ["doc_id"], quota)
 
 
-def variant(parts: DataFrame, name: str, n: int, seed: int = 42, by: str = "corpus_class", weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The documents of a calibration variant: baseline_en, bm_only, mixed_5050, mixed_weighted or oracle_contaminated."""
+def variant(
+    parts: DataFrame,
+    name: str,
+    n: int,
+    seed: int = 42,
+    by: str = "corpus_class",
+    weights: dict[str, float] = WEIGHTS,
+    profiles: DataFrame | None = None,
+    experts: int | None = None,
+    pool: int = 50_000,
+) -> DataFrame:
+    """The documents of a calibration variant: baseline_en, bm_only, mixed_5050, mixed_weighted, coverage_greedy or oracle_contaminated.
+
+    coverage_greedy picks among the class-balanced candidate pool of ``pool`` train documents those
+    that have ``profiles`` (doc_id, expert_id, tokens) over ``experts`` experts.
+    """
     train, held = parts.where(F.col("side") == "train"), parts.where(F.col("side") == "eval")
     english = F.col(by) == "english_control"
 
@@ -288,6 +303,13 @@ def variant(parts: DataFrame, name: str, n: int, seed: int = 42, by: str = "corp
     elif name == "mixed_weighted":
         quota = parts.sparkSession.createDataFrame([(c, w) for c, w in weights.items()], f"{by} string, w double").select(by, F.bround(F.lit(n) * F.col("w")).alias("quota"))
         out = first_rows(train, [by], order_key(seed, name, F.col(by), n, F.col("doc_id").cast("string")), ["doc_id"], quota)
+    elif name == "coverage_greedy":
+        if profiles is None or experts is None:
+            raise ValueError("coverage_greedy needs the documents' routing profiles: run the routing phase first")
+        candidates = candidate_pool(parts, pool, seed, by)
+        picks = coverage_greedy(profiles.join(candidates.select("doc_id"), "doc_id", "left_semi"), experts, n)
+        # n rows
+        out = candidates.join(F.broadcast(picks.select("doc_id")), "doc_id", "left_semi")
     elif name == "oracle_contaminated":
         out = pick(held.where(~english), n, "oracle")
     else:

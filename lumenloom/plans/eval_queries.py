@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import corpus
 from ..operators import evalstats as ev
 from ..operators import recipes as rc
 from ..operators import routing as rt
 from ..functions import text as tx
 from ..session import table
 from ..sources import artifacts
+from .corpus_queries import SPLIT, parted
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,10 +179,11 @@ def coverage_curve(spark, sf_dir):  # A10 P7
     return rounded(rt.coverage_curve(rt.document_profiles(profiles(spark, sf_dir)), [16, 64, 256], EXPERTS))
 
 
-def _greedy_sql(steps: int, pool: int) -> str:
+def _greedy_sql(steps: int, pool: str) -> str:
+    """The trace of ``steps`` exact picks; ``pool`` gives the candidates' doc_id, after the CTEs of ``PROFILE``."""
     ctes = [
         f"{PROFILE}",
-        f"pool AS (SELECT DISTINCT doc_id FROM dp ORDER BY doc_id LIMIT {pool})",
+        f"pool AS ({pool})",
         f"pp AS MATERIALIZED (SELECT dp.* FROM dp JOIN pool USING (doc_id))",
         f"tau AS (SELECT greatest(1, {steps}::DOUBLE * sum(tokens) / count(DISTINCT doc_id) / {EXPERTS}) AS t FROM pp)",
         f"c0 AS (SELECT unnest(range({EXPERTS}))::INT AS expert_id, 0::DOUBLE AS c)",
@@ -199,9 +202,34 @@ def _greedy_sql(steps: int, pool: int) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(outs)
 
 
-@register("coverage_greedy_trace", _greedy_sql(8, 50_000))
-def coverage_greedy_trace(spark, sf_dir):  # I1 M9 M10 W8 O8
-    return rounded(rt.coverage_greedy(rt.document_profiles(profiles(spark, sf_dir)), EXPERTS, 8).drop("rescored"))
+def greedy_pool(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
+    """Profiles of a class-balanced pool; an order's priority stands in for its class."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("corpus_class"), F.lit("train").alias("side"))
+    sums = rt.document_profiles(profiles(spark, sf_dir))
+    known = docs.join(sums.select("doc_id").distinct(), "doc_id", "left_semi")
+    return sums.join(corpus.candidate_pool(known, target).select("doc_id"), "doc_id", "left_semi")
+
+
+@register(
+    "coverage_greedy_trace",
+    _greedy_sql(
+        8,
+        """SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey IN (SELECT doc_id FROM dp)
+QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|pool|' || o_orderpriority || '|' || o_orderkey), o_orderkey) <= (SELECT floor(50000 / count(DISTINCT o_orderpriority)) FROM orders)""",
+    ),
+)
+def coverage_greedy_trace(spark, sf_dir):  # I1 P3 M9 M10 W8 O8
+    return rounded(rt.coverage_greedy(greedy_pool(spark, sf_dir, 50_000), EXPERTS, 8).drop("rescored"))
+
+
+@register(
+    "variant_coverage_greedy",
+    f"""WITH {SPLIT}, picked AS ({_greedy_sql(16, f"""WITH {SPLIT} SELECT doc_id FROM split WHERE side = 'train' AND doc_id IN (SELECT doc_id FROM dp)
+QUALIFY row_number() OVER (PARTITION BY corpus_class ORDER BY md5('42|pool|' || corpus_class || '|' || doc_id), doc_id) <= (SELECT floor(50000 / count(DISTINCT corpus_class)) FROM split WHERE side = 'train')""")})
+SELECT split.*, 'coverage_greedy' AS variant, false AS contaminated FROM split WHERE doc_id IN (SELECT doc_id FROM picked)""",
+)
+def variant_coverage_greedy(spark, sf_dir):  # P4 I1
+    return corpus.variant(parted(spark, sf_dir), "coverage_greedy", 16, profiles=rt.document_profiles(profiles(spark, sf_dir)), experts=EXPERTS)
 
 
 @register(
