@@ -1,6 +1,7 @@
 """Registered queries over the driver tables and their DuckDB SQL."""
 
-from .plans import corpus_queries, eval_queries, stream_queries
+from .plans import corpus_queries, eval_queries, storage_queries, stream_queries
 
-QUERIES = {**corpus_queries.QUERIES, **eval_queries.QUERIES, **stream_queries.QUERIES}
-ORACLE_SQL = {**corpus_queries.ORACLE_SQL, **eval_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL}
+_MODULES = (corpus_queries, eval_queries, storage_queries, stream_queries)
+QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -19,7 +19,7 @@ from . import dedup
 
 
 def _same_text(records: DataFrame, permutations: int, rows: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """((arrival, group), (doc_a, doc_b)): documents of one signature, and groups that are near duplicates.
+    """((arrival, group), (group, doc_id)): documents of one signature, and sets of groups that are near duplicates.
 
     A group is named by its first arrival. Texts without words are grouped by their normal form.
     """
@@ -28,8 +28,7 @@ def _same_text(records: DataFrame, permutations: int, rows: int, least: float) -
     bare = flat.join(sigs.select("doc_id"), "doc_id", "left_anti")
     named = lambda rows, key: rows.join(rows.groupBy(key).agg(F.min("doc_id").alias("group")), key).select(F.col("doc_id").alias("arrival"), "group")
     groups = named(sigs, "signature").union(named(bare, "text"))
-    pairs = dedup.candidate_pairs(sigs, rows).where(F.col("agreement") >= least).select("doc_a", "doc_b")
-    return cut_lineage(groups), cut_lineage(pairs)
+    return cut_lineage(groups), cut_lineage(dedup.near_groups(sigs, least, rows))
 
 
 def ingest(
@@ -74,9 +73,8 @@ def ingest(
             over = over | (at > max(full[c] for c in required))
         alive = judged.where(~over)
         firsts = alive.groupBy("group").agg(F.min_by(F.struct("arrival", "corpus_class"), "arrival").alias("f")).select("group", "f.arrival", "f.corpus_class")
-        end = lambda x: firsts.select(F.col("group").alias(x), at.alias(f"at_{x}"))
-        edges = near.join(end("doc_a"), "doc_a").join(end("doc_b"), "doc_b")
-        gone = dedup.settled(edges.select(F.least("at_doc_a", "at_doc_b").alias("doc_a"), F.greatest("at_doc_a", "at_doc_b").alias("doc_b"))).where("gone")
+        sets = near.join(firsts.select(F.col("group").alias("doc_id"), at), "doc_id").select("group", at.alias("doc_id"))
+        gone = dedup.settled(sets)
         kept = cut_lineage(firsts.join(gone.select(F.col("doc_id").alias("arrival")), "arrival", "left_anti").select("arrival", "corpus_class"))
         rank = F.row_number().over(Window.partitionBy("corpus_class").orderBy("arrival"))
         filled = kept.withColumn("r", rank).where(F.col("r") <= target).where(F.col("r") == target).select("corpus_class", "arrival").collect()

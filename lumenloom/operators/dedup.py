@@ -5,12 +5,14 @@ Documents without words have no signature, so they are only ever exact duplicate
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, release, small_side
 
 
 def first_seen(docs: DataFrame, full: bool = False) -> DataFrame:
@@ -46,7 +48,8 @@ def candidate_pairs(sigs: DataFrame, rows: int = 4) -> DataFrame:
     """(doc_a, doc_b, agreement) of class representatives that share a band.
 
     Documents of equal signature meet in ``signature_classes`` only, so a group of copies costs
-    its size and not its square.
+    its size and not its square. This lists what a band proposes, so a band that very many
+    different signatures share gives all its pairs; decisions use ``near_groups``, which does not.
     """
     sigs = signature_classes(sigs).select(F.col("rep").alias("doc_id"), "signature")
     size = F.size("signature")
@@ -68,6 +71,110 @@ def candidate_pairs(sigs: DataFrame, rows: int = 4) -> DataFrame:
     return pairs.join(named("doc_a", "a"), "doc_a").join(named("doc_b", "b"), "doc_b").select("doc_a", "doc_b", (equal / F.size("a")).alias("agreement"))
 
 
+#: Members up to which all pairs of a band are compared; larger bands are refined first.
+HOT_BAND = 1000
+#: Refinements before what is still hot is compared around its first member.
+REFINEMENTS = 2
+
+
+def _positions(count: int, rows: int) -> list[list[int]]:
+    return [list(range(b * rows, (b + 1) * rows)) for b in range(count // rows)]
+
+
+def _refined(hot: DataFrame, sigs: DataFrame, count: int, parts: int) -> DataFrame:
+    """(key, used, doc_id) of the members of ``hot`` by each of ``parts`` segments of the positions they may differ in.
+
+    Two signatures that differ in fewer than ``parts`` positions agree in a whole segment.
+    """
+    free = F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda p: ~F.array_contains("used", p))
+    rows = hot.join(sigs, "doc_id").withColumn("free", free)
+    size = F.size("free")
+    # segment s holds free[floor(s n / parts)] up to free[floor((s + 1) n / parts)]
+    cut = lambda s: F.floor(s * size / parts).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.slice("free", cut(s) + 1, cut(s + 1) - cut(s)))
+    each = rows.select("key", "used", "doc_id", "signature", F.posexplode(segments).alias("s", "segment"))
+    values = F.transform("segment", lambda p: F.get("signature", p))
+    return each.select(F.xxhash64("key", "s", values).alias("key"), F.concat("used", "segment").alias("used"), "doc_id")
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, least_equal: int) -> DataFrame:
+    """(group, doc_id), two rows for each of the distinct ``pairs`` that agree in enough positions."""
+    side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}"))
+    found = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_equal("s_a", "s_b") >= least_equal)
+    return found.select(F.xxhash64("a", "b", F.lit("pair")).alias("group"), F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def _equal(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
+
+
+def _around_first(hot: DataFrame, sigs: DataFrame, count: int, least_equal: int, at_once: int) -> DataFrame:
+    """(group, doc_id) for groups that stay large: real clusters of different signatures.
+
+    Members within half the allowed distance of the group's first agree with one another, so they
+    are one set. Only members further away are compared with all, dealt by salt to bounded tasks.
+    """
+    members = cut_lineage(hot.select("key", "doc_id").distinct().join(sigs, "doc_id"))
+    first = members.groupBy("key").agg(F.min_by(F.struct("doc_id", "signature"), "doc_id").alias("f")).select("key", F.col("f.signature").alias("s_first"))
+    near = count - (count - least_equal) // 2
+    judged = cut_lineage(members.join(small_side(first, row_bytes=count * 16), "key").select("key", "doc_id", "signature", (_equal("signature", "s_first") >= near).alias("ball")))
+    ball = judged.where("ball").select(F.xxhash64("key", F.lit("ball")).alias("group"), "doc_id")
+    out = judged.where("not ball")
+    sizes = out.groupBy("key").agg(F.ceil(F.count("*") / at_once).cast("int").alias("salts"))
+    left = out.join(small_side(sizes), "key").select("key", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.col("doc_id").alias("x"), F.col("signature").alias("s_x"))
+    right = judged.join(small_side(sizes), "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.col("doc_id").alias("y"), F.col("signature").alias("s_y"))
+    pairs = left.join(right, ["key", "salt"]).where((F.col("x") != F.col("y")) & (_equal("s_x", "s_y") >= least_equal))
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    links = pairs.select(a.alias("a"), b.alias("b")).distinct().select(F.xxhash64("a", "b", F.lit("pair")).alias("group"), F.explode(F.array("a", "b")).alias("doc_id"))
+    return ball.union(links)
+
+
+def near_groups(sigs: DataFrame, least: float = 0.8, rows: int = 4, hot: int = HOT_BAND) -> DataFrame:
+    """(group, doc_id): sets of class representatives that share a band and agree at least ``least`` with one another.
+
+    Every such pair is within a set, most sets are pairs. A band of up to ``hot`` members has all
+    its pairs compared. In a larger one, two that agree enough also agree in one of the segments
+    that the other positions are cut into, so it falls apart by segment at a cost linear in its
+    size; what is a true cluster even so is told around its first member. No pair is lost, and no
+    band is compared pair by pair because it is merely frequent.
+    """
+    reps = cut_lineage(signature_classes(sigs).select(F.col("rep").alias("doc_id"), "signature"))
+    some = reps.select(F.size("signature").alias("n")).first()
+    if some is None:
+        return reps.select(F.lit(0).cast("long").alias("group"), "doc_id")
+    count = some.n
+    least_equal = math.ceil(round(least * count, 9))
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*[F.lit(p) for p in used]).alias("used")) for b, used in enumerate(_positions(count, rows))])
+    values = F.transform("x.used", lambda p: F.get("signature", p))
+    keyed = reps.select("doc_id", "signature", F.explode(bands).alias("x")).select(F.xxhash64("x.band", values).alias("key"), F.col("x.used").alias("used"), "doc_id")
+    found = None
+    for level in range(REFINEMENTS + 1):
+        keyed = cut_lineage(keyed)
+        sizes = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        few = keyed.select("key", "doc_id").join(sizes.where(F.col("n") <= hot).select("key"), "key")
+        pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id")))
+        told = cut_lineage(_agreeing(pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")), reps, least_equal))
+        found = told if found is None else found.union(told)
+        large = sizes.where(F.col("n") > hot).select("key")
+        if large.isEmpty():
+            release(keyed)
+            release(sizes)
+            return found.distinct()
+        still = keyed.join(small_side(large), "key")
+        if level == REFINEMENTS:
+            return found.union(_around_first(still, reps, count, least_equal, hot)).distinct()
+        keyed = _refined(still, reps, count, count - least_equal + 1)
+    raise AssertionError("unreachable")
+
+
+def pair_groups(pairs: DataFrame) -> DataFrame:
+    """(group, doc_id), two rows for each of ``pairs`` (doc_a, doc_b). Raises if a pair is not in arrival order."""
+    wrong = pairs.where(F.col("doc_a") >= F.col("doc_b")).limit(1).collect()
+    if wrong:
+        raise RuntimeError(f"pair {wrong[0].doc_a}, {wrong[0].doc_b} is not in arrival order")
+    return pairs.select(F.xxhash64("doc_a", "doc_b", F.lit("pair")).alias("group"), F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+
+
 def _copies(sigs: DataFrame) -> DataFrame:
     """Documents whose signature an earlier one has; they are duplicates in either mode."""
     reps = signature_classes(sigs).where("members > 1")
@@ -75,49 +182,61 @@ def _copies(sigs: DataFrame) -> DataFrame:
 
 
 def pairwise_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, duplicate): an earlier arrival agrees at least ``least``. One pass; chains all go."""
-    hit = pairs.where(F.col("agreement") >= least).select(F.col("doc_b").alias("doc_id"), F.lit(True).alias("hit")).distinct()
+    """``pairwise_groups`` of those ``pairs`` (doc_a, doc_b, agreement) that agree at least ``least``."""
+    return pairwise_groups(docs, sigs, pair_groups(pairs.where(F.col("agreement") >= least)))
+
+
+def pairwise_groups(docs: DataFrame, sigs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, duplicate): an earlier arrival is in a set of ``groups`` (group, doc_id) with it. One pass; chains all go."""
+    first = groups.groupBy("group").agg(F.min("doc_id").alias("first"))
+    hit = groups.join(first, "group").where(F.col("doc_id") > F.col("first")).select("doc_id", F.lit(True).alias("hit")).distinct()
     return (
         docs.select("doc_id").join(hit, "doc_id", "left").join(_copies(sigs), "doc_id", "left")
         .select("doc_id", F.coalesce("hit", "copy", F.lit(False)).alias("duplicate"))
     )
 
 
-def settled(edges: DataFrame) -> DataFrame:
-    """(doc_id, gone) of every later end of ``edges`` (doc_a, doc_b; doc_a earlier): gone if an earlier end stays.
+def settled(groups: DataFrame) -> DataFrame:
+    """(doc_id, gone = true) of the documents of ``groups`` (group, doc_id) that an earlier kept one of a common set makes a duplicate.
 
-    Each round settles every document whose earlier neighbours are all settled, so at least the
-    lowest open one; rounds go on until none is open, as many as the longest chain has links.
-    Raises if a round settles nothing, which needs pairs that are not in arrival order.
+    Each round keeps every document that is the first of all its sets, and drops it together with
+    all the others of those sets, which are gone; so the table shrinks by whole neighbourhoods and
+    a chain takes half as many rounds as it has links. A set of n documents costs n rows a round.
     """
-    edges = cut_lineage(edges.select("doc_a", "doc_b"))
-    state = edges.select(F.col("doc_b").alias("doc_id")).distinct().withColumn("gone", F.lit(None).cast("boolean"))
-    last = None
-    while True:
-        known = edges.join(state.select(F.col("doc_id").alias("doc_a"), "gone", F.lit(True).alias("listed")), "doc_a", "left").withColumn(
-            "kept", F.when(F.col("listed").isNull(), True).otherwise(~F.col("gone"))
-        )
-        view = known.groupBy(F.col("doc_b").alias("doc_id")).agg(
-            F.coalesce(F.bool_or("kept"), F.lit(False)).alias("hit"), F.count_if(F.col("kept").isNull()).alias("open")
-        )
-        # the checkpoint cuts the lineage, which would otherwise grow with the rounds
-        state = cut_lineage(
-            state.join(view, "doc_id").select("doc_id", F.coalesce("gone", F.when(F.col("hit"), True).when(F.col("open") == 0, False)).alias("gone"))
-        )
-        undecided = state.where("gone is null").count()
-        if not undecided:
-            return state
-        if undecided == last:
-            raise RuntimeError(f"{undecided} documents cannot be settled in arrival order")
-        last = undecided
+    open_rows = cut_lineage(groups.select("group", "doc_id").distinct())
+    gone = []
+    while not open_rows.isEmpty():
+        first = open_rows.groupBy("group").agg(F.min("doc_id").alias("first"))
+        led = open_rows.join(first, "group")
+        kept = led.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") == F.col("first")).alias("lead")).where("lead").select("doc_id")
+        taken = led.join(kept.withColumnRenamed("doc_id", "first"), "first").where(F.col("doc_id") != F.col("first"))
+        lost = cut_lineage(taken.select("doc_id").distinct())
+        gone.append(lost)
+        done = kept.union(lost)
+        old, open_rows = open_rows, cut_lineage(open_rows.join(done, "doc_id", "left_anti"))
+        release(old)
+        if len(gone) == 32:
+            gone = [cut_lineage(_all(gone))]
+    return (_all(gone) if gone else open_rows.select("doc_id")).select("doc_id", F.lit(True).alias("gone"))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
 def arrival_verdict(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
+    """``arrival_groups`` of those ``pairs`` (doc_a, doc_b, agreement) that agree at least ``least``."""
+    return arrival_groups(docs, sigs, pair_groups(pairs.where(F.col("agreement") >= least)))
+
+
+def arrival_groups(docs: DataFrame, sigs: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, duplicate) as arrivals decide one after another: only kept documents make later ones duplicates.
 
     A copy's fate is its representative's: either that is kept, or what made it a duplicate
     does the same to the copy.
     """
-    state = settled(pairs.where(F.col("agreement") >= least))
-    found = docs.select("doc_id").join(state, "doc_id", "left").join(_copies(sigs), "doc_id", "left")
+    found = docs.select("doc_id").join(settled(groups), "doc_id", "left").join(_copies(sigs), "doc_id", "left")
     return found.select("doc_id", F.coalesce("copy", "gone", F.lit(False)).alias("duplicate"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.draws import philox_numpy, poisson_steps, row_words, scope
+
 EPS = 1e-12
 
 
@@ -91,22 +94,61 @@ def kl_delta(rows: DataFrame, side: str, left: str, right: str, by: list[str], k
     )
 
 
+#: Groups whose sums a task holds before it passes them on.
+_HELD_GROUPS = 2048
+
+
 def _resampled(rows: DataFrame, by: list[str], key: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
     """(by..., b, n, s_<value>...): Poisson(1) weights of every row summed for each resample, with the weighted sums.
 
-    A row draws from a hash of its ``key``, so draws are the same however rows are partitioned, and
-    sums combine before the shuffle: no group is held by one task.
+    A row draws from its ``key``, so draws are the same however rows are partitioned. A task adds
+    its rows to one array of sums a group; only those arrays are shuffled, not a row for each
+    resample, and no group is held by one task.
     """
-    draws = rows.select(*by, *values, F.xxhash64(F.lit(seed), *key).alias("_k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    u = F.xxhash64("_k", "b").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    weight = F.lit(0)
-    # Poisson(1) cumulative probabilities up to 6
-    total, p = 0.0, 0.36787944117144233
-    for k in range(1, 8):
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p /= k
-    return draws.withColumn("w", weight).groupBy(*by, "b").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(v)).alias(f"s_{v}") for v in values])
+    import pyarrow as pa
+
+    words = row_words(*[F.col(f"`{k}`") for k in key])
+    plain = rows.select(*[F.col(f"`{b}`").alias(f"g{i}") for i, b in enumerate(by)], *[F.col(f"`{v}`").cast("double").alias(f"v{i}") for i, v in enumerate(values)], words[0].alias("w0"), words[1].alias("w1"))
+    kinds = [k for _, k in plain.dtypes[: len(by)]]
+    steps, key_words, blocks = np.array(poisson_steps(), dtype=np.uint64), scope(seed, "bootstrap"), -(-resamples // 4)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows_of(held):
+            groups = list(held)
+            sums = np.stack([held[g] for g in groups])  # group, 1 + values, resamples
+            arrays = [pa.array([g[i] for g in groups for _ in range(resamples)], type=kind) for i, kind in enumerate(types)]
+            arrays += [pa.array(np.tile(np.arange(resamples, dtype=np.int32), len(groups))), pa.array(sums[:, 0].ravel().astype(np.int64))]
+            arrays += [pa.array(sums[:, 1 + i].ravel()) for i in range(len(values))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*(f"g{i}" for i in range(len(by))), "b", "n", *(f"s{i}" for i in range(len(values)))])
+
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(len(by))]
+            v = np.stack([batch.column(len(by) + i).to_numpy(zero_copy_only=False) for i in range(len(values))]) if values else np.zeros((0, batch.num_rows))
+            w0, w1 = (batch.column(len(by) + len(values) + i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (0, 1))
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            where: dict[tuple, list[int]] = {}
+            for at, name in enumerate(names):
+                where.setdefault(name, []).append(at)
+            for name, places in where.items():
+                for low in range(0, len(places), 512):
+                    at = np.array(places[low : low + 512])
+                    drawn = philox_numpy([w0[at][:, None], w1[at][:, None], np.arange(blocks, dtype=np.uint64)[None, :], np.zeros((1, 1), dtype=np.uint64)], key_words)
+                    # word 4 b + i is resample 4 b + i
+                    weight = np.searchsorted(steps, drawn.transpose(1, 2, 0).reshape(len(at), -1)[:, :resamples], side="right").astype(np.float64)
+                    part = np.concatenate([weight.sum(axis=0)[None, :], v[:, at] @ weight])
+                    held[name] = held[name] + part if name in held else part
+            if len(held) >= _HELD_GROUPS:
+                yield rows_of(held)
+                held = {}
+        if held:
+            yield rows_of(held)
+
+    schema = ", ".join([*(f"g{i} {k}" for i, k in enumerate(kinds)), "b int, n long", *(f"s{i} double" for i in range(len(values)))])
+    sums = plain.mapInArrow(run, schema).groupBy(*[f"g{i}" for i in range(len(by))], "b").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(values))])
+    return sums.select(*[F.col(f"g{i}").alias(b) for i, b in enumerate(by)], "b", "n", *[F.col(f"s{i}").alias(f"s_{v}") for i, v in enumerate(values)])
 
 
 def bootstrap_interval(

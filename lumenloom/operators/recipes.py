@@ -57,6 +57,75 @@ def module_matches(name: Column, pattern: str) -> Column:
     return name.rlike(glob_regex(pattern)) | name.rlike(glob_regex(bare + "*")) | F.endswith(name, F.lit(bare.rstrip(".")))
 
 
+def quantizer_rules(stock: list[dict], layers: list[dict], exclude: list[str], group_size: int | None = None) -> list[dict]:
+    """The ordered rules of a recipe: the stock rules, what its layers enable, and last what it excludes.
+
+    A rule has quantizer_name (a glob) with cfg or enable. Layers in the 4-bit format borrow the
+    numeric settings of the stock's first rule for that kind of quantizer, so that only the modules
+    differ; inputs are quantized where the layer asks for 4-bit activations. ``group_size``
+    replaces other block sizes along the last axis. A mapping of globs to settings is a list in its
+    order. Raises if ``stock`` is neither, as the exclusions could then not come last.
+    """
+    if isinstance(stock, dict):
+        stock = [{"quantizer_name": k, **v} for k, v in stock.items()]
+    if not isinstance(stock, list) or not all(isinstance(r, dict) for r in stock):
+        raise RecipeError(f"rules of type {type(stock).__name__} cannot carry the recipe's exclusions")
+
+    def numbers(kind: str) -> dict | None:
+        return next((r["cfg"] for r in stock if kind in str(r.get("quantizer_name", "")) and "num_bits" in (r.get("cfg") or {})), None)
+
+    def sized(rule: dict) -> dict:
+        blocks = (rule.get("cfg") or {}).get("block_sizes")
+        if not group_size or not isinstance(blocks, dict) or blocks.get(-1, group_size) == group_size:
+            return rule
+        return {**rule, "cfg": {**rule["cfg"], "block_sizes": {**blocks, -1: group_size}}}
+
+    enabled = []
+    for layer in layers:
+        kinds = ["weight_quantizer"] + (["input_quantizer"] if int(layer.get("activation_bits", 16)) == 4 else [])
+        if str(layer.get("format", "")).lower() == "nvfp4" and numbers("weight_quantizer"):
+            enabled += [{"quantizer_name": quantizer_glob(str(layer["pattern"]), k), "cfg": numbers(k)} for k in kinds if numbers(k)]
+    excluded = [{"quantizer_name": p if p.endswith("*") else f"{p}*", "enable": False} for p in exclude]
+    return [sized(r) for r in [*stock, *enabled]] + excluded
+
+
+#: Length of the pieces of names and globs that are looked up.
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    last = F.length(text) - GRAM
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i + 1, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def resolved_rules(modules: DataFrame, rules: list[dict], name: str = "name") -> DataFrame:
+    """``modules`` with rule (its place in ``rules``, from 0), pattern, enabled and cfg (JSON) of the last rule whose glob matches, else nulls.
+
+    A rule is looked up by one piece of its glob, the one that fewest names hold, and only the names
+    with that piece are matched against it; rules without a piece of literal text meet every name.
+    So the work follows the matches and not names times rules.
+    """
+    spark = modules.sparkSession
+    listed = [(i, r["quantizer_name"], glob_regex(r["quantizer_name"]), bool(r.get("enable", True)), json.dumps(r.get("cfg"), sort_keys=True) if r.get("cfg") is not None else None) for i, r in enumerate(rules)]
+    # the rules are a recipe's own list
+    table = F.broadcast(spark.createDataFrame(listed, "rule int, pattern string, regex string, enabled boolean, cfg string"))
+    pieces = [(i, run[k : k + GRAM]) for i, p, *_ in listed for run in re.split(r"[*?]", p) for k in range(len(run) - GRAM + 1)]
+    bare = [(i,) for i, *_ in listed if i not in {j for j, _ in pieces}]
+    grams = F.broadcast(spark.createDataFrame(pieces, "rule int, gram string").distinct())
+    names = modules.select(F.col(name).alias("_n")).where("_n is not null").distinct()
+    held = names.select("_n", F.explode(_grams(F.col("_n"))).alias("gram"))
+    counts = held.join(grams.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("names"))
+    # one piece a rule; a piece that no name holds says that nothing matches
+    anchors = grams.join(counts, "gram", "left").groupBy("rule").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = held.join(F.broadcast(anchors), "gram").select("_n", "rule")
+    if bare:
+        met = met.union(names.join(F.broadcast(spark.createDataFrame(bare, "rule int"))))
+    hits = met.join(table, "rule").where(F.expr("_n rlike regex"))
+    last = hits.groupBy("_n").agg(F.max_by(F.struct("rule", "pattern", "enabled", "cfg"), "rule").alias("_r"))
+    found = modules.join(last, F.col(name) == F.col("_n"), "left")
+    return found.select(*modules.columns, F.col("_r.rule").alias("rule"), F.col("_r.pattern").alias("pattern"), F.col("_r.enabled").alias("enabled"), F.col("_r.cfg").alias("cfg"))
+
+
 def is_router(name: Column) -> Column:
     return name.rlike("|".join(ROUTER_PATTERNS))
 

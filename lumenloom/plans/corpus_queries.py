@@ -141,7 +141,7 @@ SELECT doc_id, doc_id IN (SELECT b FROM agree WHERE agreement >= 0.8) OR doc_id
 def near_dup_pairwise(spark, sf_dir):  # I2 (pairwise mode)
     docs = documents(spark, sf_dir)
     sigs = dedup.signatures(docs, PERMS)
-    return dedup.pairwise_verdict(docs, sigs, dedup.candidate_pairs(sigs, rows=4), 0.8)
+    return dedup.pairwise_groups(docs, sigs, dedup.near_groups(sigs, 0.8, rows=4))
 
 
 @register("exact_dedup_normalised")
@@ -153,7 +153,7 @@ def exact_dedup_normalised(spark, sf_dir):  # T1 T4 W10
 def near_dup_faithful(spark, sf_dir):  # I2 (arrival order)
     docs = documents(spark, sf_dir)
     sigs = dedup.signatures(docs, PERMS)
-    return dedup.arrival_verdict(docs, sigs, dedup.candidate_pairs(sigs, rows=4), 0.8)
+    return dedup.arrival_groups(docs, sigs, dedup.near_groups(sigs, 0.8, rows=4))
 
 
 def sql_hits(markers) -> str:

@@ -50,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (at or spark.conf.get("spark.sql.warehouse.dir") + "/lumenloom-shared").rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder, deleted by ``release_all``."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
 
@@ -57,8 +64,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     ``release_all`` what is left when a session is done.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.add(path)
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenloom_path = path  # noqa: SLF001

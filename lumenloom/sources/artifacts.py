@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,27 +32,117 @@ def stamp(df: DataFrame, fingerprint: str, phase: str) -> DataFrame:
     return df.withColumns(dict(zip(STAMP, map(F.lit, (fingerprint, phase, git_sha(), now)), strict=True)))
 
 
-def write_artifact(df: DataFrame, path: str, fingerprint: str, phase: str, overwrite: bool = True, partition_by: list[str] | None = None) -> None:
-    out = stamp(df, fingerprint, phase).write.option("compression", "zstd").mode("overwrite" if overwrite else "errorifexists")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+#: The file that names an artifact's current version.
+POINTER = "_current"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)  # noqa: SLF001
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, put in place by one rename that replaces an older one."""
+    part, fs = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)  # noqa: SLF001
+    how[0] = kind.OVERWRITE
+    to, _ = _path(spark, path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(to), how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None where there is none."""
+    at, fs = _path(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)  # Spark's readers skip names that begin with an underscore
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")  # noqa: SLF001
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Where an artifact's current version lies; ``path`` itself if it was written without versions, None if it is not there."""
+    named = read_text(spark, f"{path}/{POINTER}")
+    if named:
+        return f"{path}/{named.strip()}"
+    return path if _exists(spark, path) and not _versions(spark, path) else None
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _path(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith("v-")] if fs.exists(at) else []
+
+
+@contextmanager
+def new_version(spark: SparkSession, path: str, overwrite: bool = True, keep: int = 1) -> Iterator[str]:
+    """Where to write an artifact's next version, which readers see only once all of it is there.
+
+    At the end the pointer file is replaced by one rename, so a reader finds the old version or the
+    new one, whole. After a failure the new version is deleted and the old one stays current. The
+    ``keep`` versions before are left for readers that have begun; older ones are deleted.
+    """
+    before = read_text(spark, f"{path}/{POINTER}")
+    if not overwrite and current(spark, path):
+        raise FileExistsError(f"{path} is already there")
+    name = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    try:
+        yield f"{path}/{name}"
+        write_text(spark, f"{path}/{POINTER}", name)
+    except BaseException:
+        at, fs = _path(spark, f"{path}/{name}")
+        fs.delete(at, True)
+        raise
+    held = {name, *([before.strip()] if before and keep else []), *sorted(_versions(spark, path))[-keep - 1 :]}
+    for old in set(_versions(spark, path)) - held:
+        at, fs = _path(spark, f"{path}/{old}")
+        fs.delete(at, True)
+
+
+def write_artifact(df: DataFrame, path: str, fingerprint: str, phase: str, overwrite: bool = True, partition_by: list[str] | None = None) -> None:
+    """``df`` with its stamp as the artifact's next version; zstd Parquet. A failed write leaves the old version current."""
+    with new_version(df.sparkSession, path, overwrite) as at:
+        out = stamp(df, fingerprint, phase).write.option("compression", "zstd")
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(at)
+
+
+def write_fanout(df: DataFrame, path: str, keys: list[str], fingerprint: str, phase: str, files_per_key: int = 4) -> None:
+    """One folder for each value of ``keys``; folders of keys that ``df`` does not hold are left as they are.
+
+    Rows are brought together by key first, in at most ``files_per_key`` parts each, so there are
+    no more files than that a key, and a key of very many rows takes that many tasks.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
+    dealt = stamp(df, fingerprint, phase).withColumn("_part", part).repartition(*keys, "_part").sortWithinPartitions(*keys).drop("_part")
+    dealt.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def read_artifact(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
+    at = current(spark, path)
+    if at is None:
         raise FileNotFoundError(f"{path} is missing: run the phase that writes it")
-    return spark.read.parquet(path)
+    return spark.read.parquet(at)
 
 
 def fingerprint_of(spark: SparkSession, path: str) -> str | None:
     """The stored fingerprint, None where there is no artifact or no row; one column is read."""
-    if not _exists(spark, path):
+    at = current(spark, path)
+    if at is None:
         return None
-    row = spark.read.parquet(path).select(STAMP[0]).limit(1).first()
+    row = spark.read.parquet(at).select(STAMP[0]).limit(1).first()
     return row[0] if row else None
 
 
@@ -59,12 +152,19 @@ def is_complete(spark: SparkSession, path: str, fingerprint: str) -> bool:
 
 def bundle(spark: SparkSession, paths: dict[str, str]) -> tuple[dict[str, DataFrame], list[str]]:
     """The artifacts that are there, and the names of those missing."""
-    found = {k: spark.read.parquet(p) for k, p in paths.items() if _exists(spark, p)}
+    places = {k: current(spark, p) for k, p in paths.items()}
+    found = {k: spark.read.parquet(at) for k, at in places.items() if at}
     return found, [k for k in paths if k not in found]
 
 
 def union_files(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(glob)
+    """The artifacts and Parquet files that a glob names, by column name."""
+    at, fs = _path(spark, glob)
+    found = sorted(x.getPath().toString() for x in fs.globStatus(at) or [])
+    places = [p for p in (current(spark, f) for f in found) if p]
+    if not places:
+        raise FileNotFoundError(f"nothing matches {glob}")
+    return spark.read.option("mergeSchema", True).parquet(*places)
 
 
 def write_json(payload, path: str) -> None:

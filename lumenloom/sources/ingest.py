@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+from ..session import materialize, small_side
+
 SHAPES = ("object", "bare_string", "json_array", "instruction_pair")
 
 
@@ -24,26 +27,56 @@ class SourceSpec:
     licence: str = ""
 
 
-def scan_lines(spark: SparkSession, files: list[str], limit: int | None = None) -> DataFrame:
-    """(file_ord, line, value) of the non-blank lines of an ordered file list.
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)  # noqa: SLF001
 
-    Files that don't exist are left out. ``limit`` counts records that decode, over all files.
+
+def physical_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file_ord, line, value) of every line of an ordered file list, blank ones too; ``line`` counts from 0 in each file.
+
+    Files are read in splits by many tasks. A split's lines are numbered as it is read, counted, and
+    moved up by the counts of the splits before it in its file, so nothing is sorted. Files that do
+    not exist are left out.
     """
-    frames = []
+    frames = None
     for i, path in enumerate(files):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # noqa: SLF001
-            continue
-        rows = spark.read.text(path).select(F.lit(i).alias("file_ord"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
-        frames.append(rows.where("value <> ''"))
-    if not frames:
+        if _exists(spark, path):
+            rows = spark.read.text(path).select(
+                F.lit(i).alias("file_ord"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value"
+            )
+            frames = rows if frames is None else frames.union(rows)
+    if frames is None:
         return spark.createDataFrame([], "file_ord int, line long, value string")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
+    lines = materialize(frames, "lines")
+    splits = lines.groupBy("file_ord", "_f", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    # a path may be a folder, whose files follow one another by name
+    before = Window.partitionBy("file_ord").orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("file_ord", "_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    # one row a split of the input
+    return lines.join(small_side(shifts, row_bytes=512), ["file_ord", "_f", "_b"]).select("file_ord", (F.col("_m") + F.col("_shift")).alias("line"), "value")
+
+
+def first_lines(lines: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of ``lines`` (file_ord, line, ...) over all files, by position and without a sort."""
+    sizes = lines.groupBy("file_ord").agg((F.max("line") + 1).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file_ord", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # one row a file
+    return lines.join(F.broadcast(starts), "file_ord").where(F.col("_start") + F.col("line") < limit).drop("_start")
+
+
+def scan_lines(spark: SparkSession, files: list[str], limit: int | None = None) -> DataFrame:
+    """(file_ord, line, value) of the non-blank lines of an ordered file list; ``line`` is the physical one, from 0.
+
+    Files that don't exist are left out. ``limit`` counts records that decode, over all files.
+    """
+    out = physical_lines(spark, files).withColumn("value", F.trim("value")).where("value <> ''")
     if limit is None:
         return out
-    return out.where(F.expr("try_parse_json(value) is not null")).orderBy("file_ord", "line").limit(limit)
+    # ranks come from counts, so the records are not sorted into one task
+    decoded = ranked(out.where(F.expr("try_parse_json(value) is not null")), [], ["file_ord", "line"], "_nth")
+    return decoded.where(F.col("_nth") < limit).drop("_nth")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -92,10 +125,18 @@ def extract_pair(records: DataFrame) -> DataFrame:
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
-    """Non-blank lines of a file, 0 if it doesn't exist; nothing is parsed."""
-    return scan_lines(spark, [path]).count()
+    """Non-blank lines of a file, 0 if it doesn't exist; nothing is parsed or numbered."""
+    if not _exists(spark, path):
+        return 0
+    return spark.read.text(path).where(F.trim("value") != "").count()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    rows = spark.read.schema(schema).json(path)
-    return rows if limit is None else rows.limit(limit)
+    """Typed records of a JSON-lines file; ``limit`` counts its physical lines, blank and bad ones included.
+
+    Blank lines give no record; a line that does not decode gives nulls, as Spark's reader does.
+    """
+    if limit is None:
+        return spark.read.schema(schema).json(path)
+    lines = first_lines(physical_lines(spark, [path]), limit).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
