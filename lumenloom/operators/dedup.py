@@ -30,13 +30,39 @@ def first_seen(docs: DataFrame, full: bool = False) -> DataFrame:
 def signatures(docs: DataFrame, count: int = 64, n: int = 13) -> DataFrame:
     """(doc_id, signature): the least value of each permutation over the document's shingles.
 
-    Made within the row, so nothing is shuffled and rows that share an id or have none keep their own.
+    Made within the row, so nothing is shuffled and rows that share an id or have none keep their
+    own. The minima of many rows are taken at once over an Arrow batch.
     """
-    hashes = tx.let(tx.words(F.col("text")), lambda w: F.array_distinct(F.transform(tx.shingles(w, n), lambda s: hs.hash32(s) % hs.PRIME)))
-    family = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in hs.permutations(count)])
-    least = lambda h: F.transform(family, lambda p: F.array_min(F.transform(h, lambda x: (x * p["a"] + p["b"]) % hs.PRIME)))
-    # the generator keeps the optimizer from computing the hashes again in the filter
-    return docs.select("doc_id", F.explode_outer(F.array(hashes)).alias("h")).where(F.size("h") > 0).select("doc_id", least(F.col("h")).alias("signature"))
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = tx.let(tx.words(F.col("text")), lambda w: F.transform(tx.shingles(w, n), lambda s: F.md5(s)))
+    family = [(np.uint64(a), np.uint64(b)) for a, b in hs.permutations(count)]
+    prime = np.uint64(hs.PRIME)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            digests = lists.flatten()
+            if not len(digests):
+                continue
+            # eight digits of each digest, read as a number
+            text = np.frombuffer(digests.buffers()[2], dtype=np.uint8)
+            begin = np.frombuffer(digests.buffers()[1], dtype=np.int32)[digests.offset : digests.offset + len(digests)]
+            x = np.zeros(len(digests), dtype=np.uint64)
+            for k in range(8):
+                digit = text[begin + k].astype(np.uint64)
+                x = (x << np.uint64(4)) | np.where(digit >= 97, digit - np.uint64(87), digit - np.uint64(48))
+            x %= prime
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(sizes > 0)
+            at = (np.cumsum(sizes) - sizes)[some]
+            least = np.stack([np.minimum.reduceat((x * a + b) % prime, at) for a, b in family], axis=1).astype(np.int64)
+            offsets = pa.array(np.arange(0, least.size + 1, count, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(offsets, pa.array(least.ravel()))], names=["doc_id", "signature"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", hashes.alias("h")).mapInArrow(run, f"doc_id {kind}, signature array<bigint>")
 
 
 def signature_classes(sigs: DataFrame) -> DataFrame:

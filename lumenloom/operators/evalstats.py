@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.draws import philox_numpy, poisson_steps, row_words, scope
+from ..functions.special import rank_survival
 
 EPS = 1e-12
 
@@ -77,6 +76,26 @@ def kl_summary(rows: DataFrame, by: list[str], kl: str = "kl", tail: str = "tail
     )
 
 
+def tier1_row(rows: DataFrame, by: list[str], side: str, left: str, right: str, pair: str, resamples: int = 1000, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """One wide row a ``by`` group: both sides' summaries with intervals under bm_ and en_, and the paired difference.
+
+    ``rows``: by..., side, pair, kl, tail. A group that has one side only keeps nulls for the other.
+    """
+    summary = kl_summary(rows, [*by, side]).join(bootstrap_interval(rows, [*by, side], "kl", resamples, seed=seed, key=key), [*by, side])
+    names = [c for c in summary.columns if c not in (*by, side)]
+    # one row a group and side
+    wide = summary.groupBy(*by).agg(*[F.max(F.when(F.col(side) == s, F.col(c))).alias(f"{p}_{c}") for s, p in ((left, "bm"), (right, "en")) for c in names])
+    interval = paired_interval(rows, side, left, right, pair, by, resamples=resamples, seed=seed)
+    out = wide.join(interval, by, "left")
+    return out.withColumns(
+        {
+            "bm_en_delta": F.col("bm_kl_mean") - F.col("en_kl_mean"),
+            "bm_en_ratio": F.when(F.col("en_kl_mean") > 0, F.col("bm_kl_mean") / F.col("en_kl_mean")),
+            "delta_excludes_zero": F.coalesce("delta_excludes_zero", F.lit(False)),
+        }
+    )
+
+
 def kl_delta(rows: DataFrame, side: str, left: str, right: str, by: list[str], kl: str = "kl") -> DataFrame:
     """Means of both sides, their difference and ratio (null if the right mean isn't positive)."""
     mean = lambda s: F.avg(F.when(F.col(side) == s, F.col(kl)))
@@ -317,11 +336,6 @@ def rank_p_value(rho: float, n: int) -> float:
     return max(0.0, 1 - series(y, 0.5, half)) if y < 0.5 else series(1 - y, half, 0.5)
 
 
-@F.pandas_udf(DoubleType())
-def _rank_p(rho: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or r != r else rank_p_value(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype=float)
-
-
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rank correlation and its two-sided p, null where either column is constant."""
     ranked = rows.withColumns({"_rx": average_rank(x, [F.lit(0)]), "_ry": average_rank(y, [F.lit(0)])})
@@ -329,4 +343,4 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     n = F.count("*")
     cov = F.avg(F.col("_rx") * F.col("_ry")) - F.avg("_rx") * F.avg("_ry")
     row = ranked.agg(n.alias("n"), F.when(varied, F.try_divide(cov, F.stddev_pop("_rx") * F.stddev_pop("_ry"))).alias("spearman_rho"))
-    return row.withColumn("spearman_p", F.when(F.col("spearman_rho").isNotNull(), _rank_p("spearman_rho", "n")))
+    return row.withColumn("spearman_p", rank_survival(F.col("spearman_rho"), F.col("n")))

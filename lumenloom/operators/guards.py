@@ -73,6 +73,16 @@ def resolved_config(width: Column, offered: Column) -> Column:
     return F.when(wanted.isNull(), F.raise_error(unknown).cast("string")).when(found.isNull(), F.raise_error(missing).cast("string")).otherwise(found)
 
 
+def resolved_ids(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``wanted`` (name, kind, ...) with found, gated, revision and usable, from a ``catalog`` (name, gated, revision) of what there is.
+
+    Nothing raises here: a name that the catalog lacks is not found and not usable.
+    """
+    listed = catalog.groupBy("name").agg(F.bool_or(F.coalesce("gated", F.lit(False))).alias("gated"), F.max("revision").alias("revision"), F.lit(True).alias("found"))
+    joined = wanted.join(listed, "name", "left").withColumns({"found": F.coalesce("found", F.lit(False)), "gated": F.coalesce("gated", F.lit(False))})
+    return joined.withColumn("usable", F.col("found") & ~F.col("gated"))
+
+
 def preflight(recipes: DataFrame, ids: DataFrame, families: list[str]) -> DataFrame:
     """(check, subject, ok, detail): everything that can be told before a run, as one plan.
 

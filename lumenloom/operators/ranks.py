@@ -24,7 +24,7 @@ def _same(left: str, right: str, by: list[str]) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str = "rank", total: str | None = None) -> DataFrame:
-    """``df`` with ``name``: each row's place (long, from 0) in its ``by`` group by ``order``; ``total`` names the group's size.
+    """``df`` with ``name``: each row's place (long, from 0) in its ``by`` group by ``order``, ascending; ``total`` names the group's size.
 
     Rows that ``order`` does not tell apart get consecutive places in any order. Nulls are a group
     of their own and sort first. An empty table gives an empty result. The rows are written once to
@@ -88,3 +88,8 @@ def quota_flag(df: DataFrame, by: list[str], digest: Column, ties: list[str], qu
 def first_rows(df: DataFrame, by: list[str], digest: Column, ties: list[str], quota: DataFrame | int, digits: int = 4) -> DataFrame:
     """The rows that ``quota_flag`` marks: exactly each group's quota, or all it has."""
     return quota_flag(df, by, digest, ties, quota, "_in", digits).where("_in").drop("_in")
+
+
+def batches(df: DataFrame, size: int, order: list[Column | str], name: str = "batch") -> DataFrame:
+    """``df`` with ``name``: the number (long, from 0) of the batch of ``size`` rows it is in by ``order``; the last may be smaller."""
+    return ranked(df, [], order, "_place").withColumn(name, F.floor(F.col("_place") / size)).drop("_place")

@@ -12,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.hashing import order_key
+from ..functions.special import chi2_survival
 from ..session import materialize
 from .ranks import first_rows
 
@@ -105,14 +105,13 @@ def pairwise(counts: DataFrame, experts: int, top: int = 32) -> DataFrame:
     return stats.withColumn("chi2", chi2).withColumns(
         {
             "cramers_v": F.coalesce(F.sqrt(F.try_divide("chi2", F.col("n_tokens_a") + F.col("n_tokens_b"))), F.lit(0.0)),
-            # one value for two classes and a layer, so the UDF sees few rows
-            "p_value": _chi2_p("chi2", F.col("used_experts") - 1),
+            "p_value": chi2_survival(F.col("chi2"), F.col("used_experts") - 1),
         }
     )
 
 
 def chi2_p_value(chi2: float, dof: int) -> float:
-    """Survival function of chi-squared: the regularised upper incomplete gamma Q(dof/2, chi2/2)."""
+    """Survival function of chi-squared for one value: the regularised upper incomplete gamma Q(dof/2, chi2/2)."""
     a, x = dof / 2, chi2 / 2
     if dof <= 0 or x <= 0:
         return 1.0
@@ -139,11 +138,6 @@ def chi2_p_value(chi2: float, dof: int) -> float:
     return min(1.0, scale * h)
 
 
-@F.pandas_udf(DoubleType())
-def _chi2_p(chi2: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_p_value(x, int(d)) for x, d in zip(chi2, dof, strict=True)], dtype=float)
-
-
 def routing_gate(pairs: DataFrame, languages: list[str], control: str, min_v: float = 0.05, max_jaccard: float = 0.95) -> DataFrame:
     """One row: do the languages route differently from the control class?"""
     a, b = F.col("class_a"), F.col("class_b")
@@ -271,9 +265,10 @@ def greedy_order(profiles: list[list[float]], n: int, saturation: float | None =
     docs, experts = p.shape
     tau = max(1.0, n * p.sum() / docs / experts) if saturation is None else saturation
     cover = np.zeros(experts)
-    gain = lambda d: float((np.minimum(cover + p[d], tau) - np.minimum(cover, tau)).sum())
+    # rounded, so that equal gains are equal whatever order they were summed in
+    gain = lambda d: round(float((np.minimum(cover + p[d], tau) - np.minimum(cover, tau)).sum()), 9)
     # before the first pick the cover is empty
-    heap = list(zip((-np.minimum(p, tau).sum(axis=1)).tolist(), range(docs), [0] * docs, strict=True))
+    heap = list(zip((-np.minimum(p, tau).sum(axis=1).round(9)).tolist(), range(docs), [0] * docs, strict=True))
     heapq.heapify(heap)
     out, rescored = [], 0
     while heap and len(out) < min(n, docs):

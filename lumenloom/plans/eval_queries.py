@@ -330,20 +330,20 @@ def kl_per_class(spark, sf_dir):  # A21
     return rounded(ev.kl_summary(kl_rows(spark, sf_dir), ["label"]))
 
 
-def _interval_sql(rows: str, by: str, value: str, key: str, low: str, high: str, resamples: int = 200) -> str:
-    """Percentiles of the resampled means of ``rows`` (by, value, key as text), with the same draws as the operator."""
+def interval_sql(rows: str, by: str, value: str, key: str, low: str, high: str, resamples: int = 200, tag: str = "") -> str:
+    """Percentiles of the resampled means of ``rows`` (by, value, key as text) as CTE ends<tag>, with the same draws as the operator."""
     words = f"(SELECT {by}, {value}, b, ('0x' || substr(md5({key}), 1, 8))::BIGINT AS w0, ('0x' || substr(md5({key}), 9, 8))::BIGINT AS w1 FROM {rows}, range({resamples // 4}) t(b))"
     drawn = dw.philox_sql(words, ("w0", "w1", "b", "0"), dw.scope(0, "bootstrap"), f"{by}, {value}, b")
-    return f"""drawn AS MATERIALIZED ({drawn}),
-flat AS (SELECT {by}, {value}, 4 * b + unnest([0, 1, 2, 3]) AS r, unnest([c0, c1, c2, c3]) AS w FROM drawn),
-weighed AS (SELECT {by}, {value}, r, {' + '.join(f'(w >= {s})::INT' for s in dw.poisson_steps())} AS n FROM flat),
-means AS (SELECT {by}, r, sum(n * {value}) / nullif(sum(n), 0) AS m FROM weighed GROUP BY ALL),
-ends AS (SELECT {by}, quantile_cont(m, 0.025) AS {low}, quantile_cont(m, 0.975) AS {high} FROM means GROUP BY ALL)"""
+    return f"""drawn{tag} AS MATERIALIZED ({drawn}),
+flat{tag} AS (SELECT {by}, {value}, 4 * b + unnest([0, 1, 2, 3]) AS r, unnest([c0, c1, c2, c3]) AS w FROM drawn{tag}),
+weighed{tag} AS (SELECT {by}, {value}, r, {' + '.join(f'(w >= {s})::INT' for s in dw.poisson_steps())} AS n FROM flat{tag}),
+means{tag} AS (SELECT {by}, r, sum(n * {value}) / nullif(sum(n), 0) AS m FROM weighed{tag} GROUP BY ALL),
+ends{tag} AS (SELECT {by}, quantile_cont(m, 0.025) AS {low}, quantile_cont(m, 0.975) AS {high} FROM means{tag} GROUP BY ALL)"""
 
 
 @register(
     "kl_intervals",
-    f"""WITH {KL}, {_interval_sql("kl", "side", "kl", "vec_id::VARCHAR", "ci_low", "ci_high")} SELECT side, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ends""",
+    f"""WITH {KL}, {interval_sql("kl", "side", "kl", "vec_id::VARCHAR", "ci_low", "ci_high")} SELECT side, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ends""",
 )
 def kl_intervals(spark, sf_dir):  # A19 A20 P6 M2
     return rounded(ev.bootstrap_interval(kl_rows(spark, sf_dir), ["side"], "kl", resamples=200, key=["vec_id"]))
@@ -352,7 +352,7 @@ def kl_intervals(spark, sf_dir):  # A19 A20 P6 M2
 @register(
     "kl_delta_interval",
     f"""WITH {KL}, pairs AS (SELECT 'all' AS grp, vec_id >> 1 AS pair, avg(kl) FILTER (vec_id % 2 = 0) - avg(kl) FILTER (vec_id % 2 = 1) AS d FROM kl GROUP BY ALL),
-{_interval_sql("(SELECT * FROM pairs WHERE d IS NOT NULL)", "grp", "d", "grp || '|' || pair", "lo", "hi")}
+{interval_sql("(SELECT * FROM pairs WHERE d IS NOT NULL)", "grp", "d", "grp || '|' || pair", "lo", "hi")}
 SELECT grp, round(lo, 6) AS bm_en_delta_ci_low, round(hi, 6) AS bm_en_delta_ci_high, lo > 0 OR hi < 0 AS delta_excludes_zero FROM ends""",
 )
 def kl_delta_interval(spark, sf_dir):  # A20 M2

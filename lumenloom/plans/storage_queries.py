@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as dw
 from ..operators import evalstats as ev
-from ..operators import guards
+from ..operators import findings as fd
+from ..operators import guards, ranks
 from ..operators import recipes as rc
 from ..session import shared_path, table
 from ..sources import artifacts, ingest, logprob_cache, splits
+from . import eval_queries as eq
 from .corpus_queries import CLASS, SPLIT, classed, documents, parted
 from .eval_queries import KL, MODULE, K, modules, rounded
 
@@ -185,3 +187,71 @@ SELECT doc_id, max(x::DOUBLE) FILTER (b = 0) AS u0, max(y::DOUBLE) FILTER (b = 0
 def scoped_draws(spark, sf_dir):  # M2 M1
     u = dw.uniforms(dw.row_words(F.col("doc_id")), 3, 42, "queries", "uniform")
     return documents(spark, sf_dir).select("doc_id", u.alias("u")).select("doc_id", *[F.col("u")[i].alias(f"u{i}") for i in range(3)])
+
+
+# ------------------------------------------------------------------------------- report
+
+_SIDES = f"""{KL}, sided AS (SELECT 'all' AS grp, vec_id, CASE WHEN vec_id % 2 = 0 THEN 'bm' ELSE 'en' END AS side, vec_id >> 1 AS pair, kl, tail FROM kl)"""
+_SUMS = {
+    "n_tokens": "count(*)", "kl_mean": "avg(kl)", "kl_std": "coalesce(stddev_samp(kl), 0)", "kl_sem": "coalesce(stddev_samp(kl), 0) / sqrt(count(*))", "mean_tail_mass": "avg(tail)",
+    "max_tail_mass": "max(tail)", "kl_p50": "quantile_cont(kl, 0.5)", "kl_p99": "quantile_cont(kl, 0.99)",
+}
+_PER_SIDE = ", ".join(f"{sql.replace('(*)', '(kl)')} AS {name}" for name, sql in _SUMS.items())
+_WIDE = ", ".join(
+    f"{'max({0}) FILTER (side = {1!r})' if c == 'n_tokens' else 'round(max({0}) FILTER (side = {1!r}), 6)'} AS {side}_{c}".format(c, side) for side in ("bm", "en") for c in (*_SUMS, "ci_low", "ci_high")
+)
+
+
+@register(
+    "tier1_wide_row",
+    f"""WITH {_SIDES}, {eq.interval_sql("sided", "grp, side", "kl", "vec_id::VARCHAR", "ci_low", "ci_high", tag="_s")},
+paired AS (SELECT grp, pair, avg(kl) FILTER (side = 'bm') - avg(kl) FILTER (side = 'en') AS d FROM sided GROUP BY ALL),
+{eq.interval_sql("(SELECT * FROM paired WHERE d IS NOT NULL)", "grp", "d", "grp || '|' || pair", "lo", "hi", tag="_p")},
+per AS (SELECT grp, side, {_PER_SIDE} FROM sided GROUP BY ALL),
+wide AS (SELECT grp, {_WIDE}, max(kl_mean) FILTER (side = 'bm') AS b, max(kl_mean) FILTER (side = 'en') AS e FROM per JOIN ends_s USING (grp, side) GROUP BY grp)
+SELECT wide.* EXCLUDE (b, e), round(lo, 6) AS bm_en_delta_ci_low, round(hi, 6) AS bm_en_delta_ci_high, coalesce(lo > 0 OR hi < 0, false) AS delta_excludes_zero, round(b - e, 6) AS bm_en_delta, round(CASE WHEN e > 0 THEN b / e END, 6) AS bm_en_ratio
+FROM wide LEFT JOIN ends_p USING (grp)""",
+)
+def tier1_wide_row(spark, sf_dir):  # R2 A19 A20
+    side = F.when(F.col("vec_id") % 2 == 0, "bm").otherwise("en")
+    rows = eq.kl_rows(spark, sf_dir).withColumns({"side": side, "pair": F.shiftright("vec_id", 1), "grp": F.lit("all")})
+    return rounded(ev.tier1_row(rows, ["grp"], "side", "bm", "en", "pair", resamples=200, key=["vec_id"]))
+
+
+@register(
+    "report_findings",
+    f"""WITH {eq.PAIRS}, {eq.HEAD}, {eq.PROFILE},
+m AS (SELECT avg(d) FILTER (variant = 'baseline_en') AS b, avg(d) FILTER (variant = 'oracle_contaminated') AS o FROM h WHERE family = 'w4a4_mech'),
+g AS (SELECT max(cramers_v) AS v, avg(top32_jaccard) AS t FROM pv WHERE (class_a IN ('c1', 'c2', 'c3') AND class_b = 'c0') OR (class_b IN ('c1', 'c2', 'c3') AND class_a = 'c0')),
+w AS (SELECT expert_id, coalesce(sum(token_count) FILTER (corpus_class = 'A'), 0) AS ma, coalesce(sum(token_count) FILTER (corpus_class = 'N'), 0) AS en FROM prof GROUP BY 1),
+s AS (SELECT count(*) FILTER (mf - ef > 0 AND ef < 0.015) AS n, coalesce(sum(mf) FILTER (mf - ef > 0 AND ef < 0.015), 0) AS share FROM (SELECT ma / sum(ma) OVER () AS mf, en / sum(en) OVER () AS ef FROM w))
+SELECT * FROM (
+SELECT 0 AS position, 'calibration' AS topic, CASE WHEN (b - o) / abs(b) >= 0.1 THEN 'There is headroom: the contaminated oracle recovers ' || printf('%.4f', (b - o) / abs(b)) || ' of the difference, an upper bound for any legitimate calibration.'
+  ELSE 'Null result: calibrating on the evaluation data itself recovers ' || printf('%.4f', (b - o) / abs(b)) || ' of the difference, under the threshold of 0.10. The choice of calibration text is not the lever here, and the other variants were not run.' END AS finding FROM m
+UNION ALL SELECT 1, 'routing', CASE WHEN v >= 0.05 OR t <= 0.95 THEN 'Experts are used differently by language (largest Cramer''s V ' || printf('%.4f', v) || ', mean top-32 Jaccard ' || printf('%.4f', t) || '), which the coverage mechanism needs.'
+  ELSE 'Routing of the language classes and of the control cannot be told apart, which weakens the coverage mechanism whatever calibration does.' END FROM g
+UNION ALL SELECT 2, 'experts', CASE WHEN n > 0 THEN n || ' experts carry Malay tokens that English calibration hardly reaches (' || printf('%.4f', share) || ' of all Malay tokens).' END FROM s) WHERE finding IS NOT NULL""",
+)
+def report_findings(spark, sf_dir):  # R7 R8
+    heads = ev.headroom(eq.kl_results(spark, sf_dir)).where("preferred").select("status", "relative_headroom", "gate_open")
+    pairs = eq.rt.pairwise(eq.rt.observe(eq.router_tokens(spark, sf_dir))[0], eq.EXPERTS)
+    gate = fd.gate_readback(eq.rt.routing_gate(pairs, ["c1", "c2", "c3"], "c0"), spark)
+    starved = eq._preference(eq.profiles(spark, sf_dir)).where("malay_preference > 0 and english_frequency < 0.015")  # noqa: SLF001
+    counts = starved.agg(F.count("*").alias("n_starved"), F.coalesce(F.sum("malay_frequency"), F.lit(0.0)).alias("starved_share"))
+    return fd.findings(heads, gate, counts, eq.kl_results(spark, sf_dir).agg(F.count("*").alias("n")))
+
+
+@register("fixed_batches", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64)::BIGINT AS batch FROM documents")
+def fixed_batches(spark, sf_dir):  # R10
+    return ranks.batches(documents(spark, sf_dir).select("doc_id"), 64, ["doc_id"])
+
+
+@register(
+    "hub_resolution",
+    """WITH c AS (SELECT n_name AS name, bool_or(n_nationkey % 7 = 0) AS gated, max(substr(md5(n_name), 1, 8)) AS revision FROM nation WHERE n_nationkey % 5 <> 0 GROUP BY 1)
+SELECT w.n_name AS name, 'dataset' AS kind, c.name IS NOT NULL AS found, coalesce(gated, false) AS gated, revision, c.name IS NOT NULL AND NOT coalesce(gated, false) AS usable FROM nation w LEFT JOIN c ON c.name = w.n_name""",
+)
+def hub_resolution(spark, sf_dir):  # S28 R12
+    n = table(spark, sf_dir, "nation")
+    catalog = n.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 7 == 0).alias("gated"), F.substring(F.md5("n_name"), 1, 8).alias("revision"))
+    return guards.resolved_ids(n.select(F.col("n_name").alias("name"), F.lit("dataset").alias("kind")), catalog)

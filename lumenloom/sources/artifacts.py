@@ -249,6 +249,12 @@ def _any_file(spark: SparkSession, folder: str, ending: str) -> bool:
     return False
 
 
+def newest_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, modified, size) of a folder's files at any depth, newest first, by name where equally new; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return listed.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).orderBy(F.desc("modified"), "path")
+
+
 def track(df: DataFrame, path: str, run: str) -> bool:
     """Append finite (metric, value) rows of a run to a table; a tracker that fails does not fail the run."""
     try:

@@ -5,12 +5,11 @@ Every query drains what is there (available-now) and can be resumed from its che
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_form
+from ..session import shared_path
 
 
 def document_stream(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -44,9 +43,17 @@ def class_quota(stream: DataFrame, by: str, quota: int) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming query over what is there and return its result table."""
+    """Run a streaming query over what is there and return its result table.
+
+    Each batch's result is written to the shared folder, so nothing is gathered in the driver; in
+    complete mode the last batch's result stands for all.
+    """
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out, state = shared_path(spark, "drained"), shared_path(spark, "stream-state")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")
