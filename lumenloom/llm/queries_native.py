@@ -60,7 +60,8 @@ split AS (
     row_number() OVER () AS rid
   FROM pages),
 addressed AS (
-  SELECT *, CASE WHEN host <> '' THEN host || regexp_replace(path, '(?:/|\.html?|/index\.html?)$', '') END AS address FROM split),
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, CASE WHEN starts_with(lower(url), 'https:') THEN ':443$' ELSE ':80$' END, '') || regexp_replace(path, '(?:/index\.html?|/|\.html?)$', '')
+    || coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]+)', 1), '') END AS address FROM split),
 ruled AS (
   SELECT a.rid, a.page_id, a.host, a.path, a.address, a.html, r.t AS rule, r.v AS rule_verdict
   FROM addressed a LEFT JOIN rules r
@@ -75,7 +76,7 @@ found AS (
   FROM ruled WHERE address IS NOT NULL),
 links AS (
   SELECT src, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}')
-    || regexp_replace(regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?:/|\.html?|/index\.html?)$', '') AS dst
+    || regexp_replace(regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?:/index\.html?|/|\.html?)$', '') || coalesce(regexp_extract(target, '(?s)^.*?://[^?#]*(\?[^#]+)', 1), '') AS dst
   FROM found WHERE contains(target, '://')),
 near AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
 reach(a, b) AS (SELECT DISTINCT address, address FROM ruled WHERE address IS NOT NULL

@@ -1,17 +1,21 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 Transducers. A lexical transducer maps each word to weighted symbols: insult (with the weight of
-the arc that accepts it: a learned word or word start), threat, target, negation, reported speech
-or other; a word may have several. Three clause transducers read and write symbols, each with
-its states and arcs: negation (an insult or threat within reach of one weighs less), reported
-speech (what follows weighs less) and target (a clause that names one weighs more; a threat
-counts only if the clause names one before or, guessed and checked at the end, after it). Their
-composition is one machine; a clause is scored by its best path, where an arc multiplies its
-symbol's weight, the path adds up, and the final state has the last factor. A document's
-evidence is the sum over its clauses, and a logistic curve turns it into a score.
-
-Learning. Insult arcs are words and word starts of 3 to 7 letters that toxic training
-documents share and others lack; weights are log odds. The curve is fitted on the same rows.
+the arc that accepts it: a learned word or word start), threat, target, negation, reported speech,
+quotation mark or other; a word may have several. Three clause transducers read and write symbols,
+each with its states and arcs: negation (an insult or threat within reach of one weighs less),
+reported speech (what follows the verb weighs less, and what stands in a quotation that a later
+verb reports: guessed where the quotation opens, owed until the verb comes) and target (a clause
+that names one weighs more; a threat counts only with one within reach before it or, guessed and
+owed, after it). Their composition is one machine; a clause is scored by its best path, where an arc
+multiplies its symbol's weight, the path adds up, and the final state has the last factor. Clauses
+end with sentences: not within a quotation, and not at a line's end after a colon or comma. A
+document's evidence is the sum over its clauses, and a logistic curve turns it into a score.
+
+Learning. Insult arcs are words and word starts of 3 to 7 letters that toxic training documents
+share and others lack. What is counted is how many different words of a document have a feature,
+so that a start that many words of few documents share is told from a chance word; weights are log
+odds. The curve is fitted on the same rows.
 At most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled rows are used (lowest CRC-32 of
 the id first), near copies once (five-word shingles at a
 verified similarity of 0.8, as in ``jaccard``); at most ``ARCS`` arcs are kept. Rows whose
@@ -37,10 +41,10 @@ from .jaccard import keep_one_of_each
 
 #: Documented bounds of what is learned from.
 TOXIC_ROWS, CLEAN_ROWS, ARCS, FEATURES = 6_000, 14_000, 4_096, 60_000
-LEAST_ROWS = 4
+LEAST_ROWS = 3
 LEAST_ODDS = 1.5
 #: An arc's likelihood-ratio statistic passes twice the log of the number of features tested by this.
-LEAST_RATIO = 1.0
+LEAST_RATIO = 6.0
 #: A longer arc with this share of an arc's toxic documents replaces it.
 SPECIFIC = 0.95
 NEGATED, REPORTED, TARGETED, REACH = 0.5, 0.6, 1.25, 3
@@ -52,7 +56,10 @@ NEGATIONS = frozenset("not never no nor isn't aren't don't nicht kein keine nie
 REPORTS = frozenset("said says say wrote called quoted reported claimed sagte schrieb nannte dit disait écrit dijo escribió".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_END = re.compile(r"[.!?;:\n]")
+#: Words and quotation marks.
+_PIECE = re.compile(WORD.pattern + '|["\u201c\u201d\u00ab\u00bb]')
+#: A clause: a quotation of up to 300 characters is within it, whatever it holds.
+_CLAUSE = re.compile('(?:[^.!?\\n"\u201c\u00ab:,]+|"[^"\\n]{0,300}"|\u201c[^\u201d\\n]{0,300}\u201d|\u00ab[^\u00bb\\n]{0,300}\u00bb|[:,][ \\t]*\\n+[ \\t]*|["\u201c\u00ab:,])+')
 
 
 @dataclass
@@ -87,7 +94,7 @@ class Grammar:
         return 1 / (1 + F.exp(-at))
 
 
-SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "quote", "other")
 
 
 @dataclass(frozen=True)
@@ -147,22 +154,58 @@ def negation_machine() -> Transducer:
 
 
 def report_machine() -> Transducer:
-    """Speech is reported from the first verb of saying on."""
+    """Speech is reported from a verb of saying on, and in a quotation that one follows.
+
+    A quotation opens on two guesses: ``promised``, which weighs less and owes the verb, and
+    ``quoted``, which ends if a verb comes after all.
+    """
     arcs = {}
+    less = lambda s: REPORTED if s in ("insult", "threat") else 1.0
     for s in SYMBOLS:
-        arcs["plain", s] = (("reported" if s == "report" else "plain", s, 1.0),)
-        arcs["reported", s] = (("reported", s, REPORTED if s in ("insult", "threat") else 1.0),)
-    return Transducer("plain", arcs, {"plain": 1.0, "reported": 1.0})
+        arcs["plain", s] = (("plain", s, 1.0),)
+        arcs["quoted", s] = (("quoted", s, 1.0),)
+        arcs["past", s] = (("past", s, 1.0),)
+        arcs["promised", s] = (("promised", s, less(s)),)
+        arcs["owed", s] = (("owed", s, 1.0),)
+        arcs["reported", s] = (("reported", s, less(s)),)
+    arcs["plain", "quote"] = (("promised", "quote", 1.0), ("quoted", "quote", 1.0))
+    arcs["quoted", "quote"] = (("past", "quote", 1.0),)
+    arcs["promised", "quote"] = (("owed", "quote", 1.0),)
+    arcs["past", "quote"] = (("quoted", "quote", 1.0),)
+    arcs["owed", "quote"] = (("promised", "quote", 1.0),)
+    for state in ("plain", "quoted", "owed"):
+        arcs[state, "report"] = (("reported", "report", 1.0),)
+    del arcs["past", "report"]
+    return Transducer("plain", arcs, dict.fromkeys(("plain", "quoted", "past", "reported"), 1.0))
 
 
 def target_machine() -> Transducer:
-    """``owed`` has counted a threat on the promise of a target to come, and is not final."""
-    arcs = {}
-    for s in SYMBOLS:
-        for state in ("free", "owed", "targeted"):
-            arcs[state, s] = (("targeted" if s == "target" else state, s, 1.0),)
-    arcs["free", "threat"] = (("free", "threat", 0.0), ("owed", "threat", 1.0))
-    return Transducer("free", arcs, {"free": 1.0, "targeted": TARGETED})
+    """States are (a target was named, words a named target still reaches, words in which one is owed).
+
+    A threat near a target counts; another counts on the promise of one, and a path that owes a
+    target at the end, or for too long, is none.
+    """
+    arcs, final, open_ = {}, {}, [(False, 0, 0)]
+    seen = set(open_)
+    while open_:
+        named, near, owed = here = open_.pop()
+        if not owed:
+            final[here] = TARGETED if named else 1.0
+        for s in SYMBOLS:
+            below = (named, max(0, near - 1), max(0, owed - 1))
+            kept = owed != 1  # the last word in which the target could come
+            if s == "target":
+                out = (((True, REACH, 0), s, 1.0),)
+            elif s == "threat" and not near:
+                out = ((below, s, 0.0), ((named, 0, owed - 1 if owed else REACH), s, 1.0)) if kept else ()
+            else:
+                out = ((below, s, 1.0),) if kept else ()
+            if out:
+                arcs[here, s] = out
+                fresh = {x[0] for x in out} - seen
+                seen |= fresh
+                open_ += sorted(fresh)
+    return Transducer((False, 0, 0), arcs, final)
 
 
 #: What all clauses are scored by.
@@ -171,6 +214,8 @@ CLAUSE = negation_machine().compose(report_machine()).compose(target_machine())
 
 def lexical(word: str, insult: float) -> tuple[tuple[str, float], ...]:
     """The lexical transducer's arcs over one word: the symbols it may be read as, with their weights."""
+    if not word[0].isalpha():
+        return (("quote", 0.0),)
     out = [("insult", insult)] if insult else []
     for symbol, words, weight in (("threat", THREATS, THREAT_WEIGHT), ("target", TARGETS, 0.0), ("negation", NEGATIONS, 0.0), ("report", REPORTS, 0.0)):
         if word in words:
@@ -187,7 +232,7 @@ def evidence(text: str | None, machine) -> float:
     """The summed weight of all clauses that hold an insult or a threat."""
     if not text:
         return 0.0
-    low = text.lower()
+    low = text.lower().replace("\u2019", "'")
     hits: dict[int, float] = {}
     for stop, (start, prefix, whole) in machine.iter(low):
         first = stop - len(start) + 1
@@ -199,27 +244,34 @@ def evidence(text: str | None, machine) -> float:
             hits[first] = max(weight, hits.get(first, 0.0))
     if not hits:
         return 0.0
-    total, done = 0.0, -1
-    for at in sorted(hits):
-        if at < done:
-            continue
-        begin = max((low.rfind(c, 0, at) for c in ".!?;:\n")) + 1
-        end = _END.search(low, at)
-        done = end.start() if end else len(low)
-        total += clause_weight([lexical(m[0], hits.get(m.start(), 0.0)) for m in WORD.finditer(low, begin, done)])
+    total, places = 0.0, sorted(hits)
+    k = 0
+    for clause in _CLAUSE.finditer(low):
+        begin, end = clause.span()
+        while k < len(places) and places[k] < begin:
+            k += 1
+        if k == len(places):
+            break
+        if places[k] < end:
+            total += clause_weight([lexical(m[0], hits.get(m.start(), 0.0)) for m in _PIECE.finditer(low, begin, end)])
     return total
 
 
-def word_features(text: str | None) -> set[str]:
-    """Words, and their starts of 3 to 7 letters marked by ``*``."""
-    out = set()
+def word_features(text: str | None) -> dict[str, int]:
+    """Words, and their starts of 3 to 7 letters marked by ``*``, with how many different words have them."""
+    out: dict[str, int] = {}
     for w in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
         if len(w) >= 3:
-            out.add(w)
-            out.update(w[:k] + "*" for k in range(3, min(len(w), 8)))
+            for feature in (w, *(w[:k] + "*" for k in range(3, min(len(w), 8)))):
+                out[feature] = out.get(feature, 0) + 1
     return out
 
 
+def _n_words(features: dict[str, int]) -> int:
+    """Different words, from ``word_features``: each has a feature of its own."""
+    return sum(not f.endswith("*") for f in features)
+
+
 def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(4)) == 2
 
@@ -233,8 +285,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # at most TOXIC_ROWS + CLEAN_ROWS ids
     found = materialize(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
-    once = [keep_one_of_each(found.where(F.col("toxic") == label), words=5, percent=80) for label in (1, 0)]
-    return once[0].union(once[1]).select("text", "toxic")
+    # words carry their label, so that one pass finds copies of one label only
+    marked = found.withColumns({"plain": F.col("text"), "text": F.regexp_replace("text", r"([^\x20\x09-\x0D]+)", F.concat(F.col("toxic").cast("string"), F.lit("$1")))})
+    return keep_one_of_each(marked, words=5, percent=80).select(F.col("plain").alias("text"), "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
@@ -246,15 +299,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                features = list(word_features(text))
-                if features:
-                    yield pa.RecordBatch.from_arrays([pa.array(features)], ["arc"])
+                features = word_features(text)
+                # the empty arc counts all words
+                yield pa.RecordBatch.from_arrays([pa.array(["", *features]), pa.array([_n_words(features), *features.values()], pa.int64())], ["arc", "n"])
 
-    toxic = rows.where("toxic = 1").select("text").mapInArrow(trimmed(shares), "arc string").groupBy("arc").agg(F.count("*").alias("n"))
-    often = toxic.where(F.col("n") >= LEAST_ROWS).orderBy(F.col("n").desc(), "arc").limit(FEATURES)
+    toxic = rows.where("toxic = 1").select("text").mapInArrow(trimmed(shares), "arc string, n long").groupBy("arc").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    often = toxic.where((F.col("rows") >= LEAST_ROWS) & (F.col("arc") != "")).orderBy(F.col("n").desc(), "arc").limit(FEATURES)
     bad = {r.arc: r.n for r in often.collect()}  # at most FEATURES
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_bad, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    whole = toxic.where("arc = ''").first()
+    n_bad = whole.n if whole else 0
 
     def clean_shares(batches):
         from collections import Counter
@@ -264,11 +317,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(f for f in word_features(text) if f in bad)
+                features = word_features(text)
+                seen.update({f: n for f, n in features.items() if f in bad})
+                seen[""] += _n_words(features)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["arc", "n"])
 
     counted = rows.where("toxic = 0").select("text").mapInArrow(trimmed(clean_shares), "arc string, n long").groupBy("arc").agg(F.sum("n").alias("n"))
     clean = {r.arc: r.n for r in counted.collect()}  # at most FEATURES
+    n_clean = clean.pop("", 0)
     arcs = choose_arcs(bad, clean, n_bad, n_clean)
     grammar = Grammar(dict(sorted(arcs.items(), key=lambda x: (-x[1], x[0]))[:ARCS]))
     if n_bad and n_clean:
@@ -277,14 +333,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 
 def choose_arcs(bad: dict[str, int], clean: dict[str, int], n_bad: int, n_clean: int) -> dict[str, float]:
-    """Significant arcs and their log odds, from document counts of each feature."""
+    """Significant arcs and their log odds, from counts of each feature and of all words."""
     arcs: dict[str, float] = {}
     share = min(max(n_bad / max(n_bad + n_clean, 1), 1e-6), 1 - 1e-6)
     inner: dict[str, tuple[int, int]] = {}  # counts of the best accepted arc inside a shorter one
     for arc in sorted(bad, key=lambda a: (-len(a.rstrip("*")), a)):
         start, (n_in, other_in) = arc.rstrip("*"), inner.get(arc, (0, 0))
         n, other = bad[arc], clean.get(arc, 0)
-        rest, other_rest = n - n_in, max(other - other_in, 0)  # what the longer arc leaves
+        rest, other_rest = max(n - n_in, 0), max(other - other_in, 0)  # what the longer arc leaves
         both = rest + other_rest
         if n_in >= SPECIFIC * n or not rest:
             continue

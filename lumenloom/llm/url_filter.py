@@ -4,8 +4,10 @@ A rule names a host and a path start and blocks or allows. It fits its host and
 subdomain when the URL's path starts with the rule's path; the longest rule (host plus path
 characters, then text order) decides. A URL that no rule fits takes the decision of its
 redirect class: the connected component over ``<link rel=canonical>`` and
-``<meta http-equiv=refresh>`` edges, after folding scheme, fragment, query and trailing-slash
-or ``.html`` spellings into one address. Such a class is blocked if a member is blocked by a
+``<meta http-equiv=refresh>`` edges, after folding scheme, its own port, fragment and trailing-slash
+or ``.html`` spellings into one address; the query is a part of it. Tags within comments, scripts,
+styles, templates and text fields are no links; ``rel`` may list other words beside canonical, and
+character references in targets are read. Such a class is blocked if a member is blocked by a
 rule and no member is explicitly allowed; an explicit allow always wins, and a class without
 any decision is allowed.
 
@@ -57,10 +59,37 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def address_of(host: Column, path: Column) -> Column:
+def query_of(url: Column) -> Column:
+    """From ``?`` on, up to ``#`` or the end; empty where there is none or nothing behind it."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1), F.lit(""))
+
+
+def address_of(url: Column) -> Column:
     """One spelling for the aliases of an address; null where there is no host."""
-    plain = F.regexp_replace(path, r"(?:/|\.html?|/index\.html?)$", "")
-    return F.when(host != "", F.concat(host, plain))
+    host, secure = host_of(url), F.lower(F.substring(url, 1, 6)) == "https:"
+    bare = F.when(secure, F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    plain = F.regexp_replace(path_of(url), r"(?:/index\.html?|/|\.html?)$", "")
+    return F.when(host != "", F.concat(bare, plain, query_of(url)))
+
+
+def decoded(target: Column) -> Column:
+    """``target`` with its character references read: numbers, and the names that stand in addresses."""
+    refs = F.array_distinct(F.regexp_extract_all(target, F.lit(r"(?i)(&#(?:x[0-9a-f]{1,8}|[0-9]{1,10});?)"), F.lit(1)))
+
+    def char(ref: Column) -> Column:
+        low = F.lower(ref)
+        digits = F.regexp_replace(low, "[&#x;]", "")
+        code = F.when(F.contains(low, F.lit("x")), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
+
+    # longer references first, as a shorter one may begin like them
+    ordered = F.array_sort(refs, lambda x, y: F.length(y) - F.length(x))
+    out = F.when(F.size(refs) > 0, F.aggregate(ordered, target, lambda a, r: F.replace(a, r, char(r)))).otherwise(target)
+    # Names of the characters that addresses use; the ampersand last.
+    for name, c in (("colon", ":"), ("sol", "/"), ("quest", "?"), ("num", "#"), ("equals", "="), ("period", "."), ("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(c))
+    return out
 
 
 def _fits(rule: Rule) -> Column:
@@ -140,25 +169,28 @@ def link_edges(pages: DataFrame) -> DataFrame:
     Relative targets are resolved against the page's ``<base href>``, or else its own url; both
     ends are folded by ``address_of``.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    tag = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+    whole = F.coalesce(F.col("html"), F.lit(""))
+    # what is no markup: a tag in it is no link
+    unread = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp|iframe)\b.*?(?:</\1\s*>|\z)"
+    listed = r"""[\s"'/]rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s>/]))"""
+    tag = rf"""(?is)<link\b(?=[^>]*{listed})[^>]*[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
     refresh = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
     root = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
     # the cheap test keeps pages without such tags away from the patterns
-    low = F.lower(html)
+    low = F.lower(whole)
     none = F.array().cast("array<string>")
+    html = F.regexp_replace(whole, unread, " ")
     target = F.when(low.contains("canonical"), F.regexp_extract_all(html, F.lit(tag), F.lit(1))).otherwise(none)
     moved = F.when(low.contains("http-equiv"), F.regexp_extract_all(html, F.lit(refresh), F.lit(1))).otherwise(none)
-    base = F.when(low.contains("<base"), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
+    linked = low.contains("canonical") | low.contains("http-equiv")
+    base = F.when(linked & low.contains("<base"), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
     # the outer form: for the inner one the optimizer would test the array's size by computing it again
     found = pages.select("url", base.alias("base"), F.explode_outer(F.concat(target, moved)).alias("to")).where("to is not null")
+    found = found.withColumns({"base": decoded(F.col("base")), "to": decoded(F.col("to"))})
     full = found.select("url", F.when(F.col("base") == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("base"))).alias("at"), "to").select(
         "url", resolve(F.col("at"), F.col("to")).alias("to")
     )
-    at = full.select(
-        address_of(host_of(F.col("url")), path_of(F.col("url"))).alias("src"),
-        address_of(host_of(F.col("to")), path_of(F.col("to"))).alias("dst"),
-    )
+    at = full.select(address_of(F.col("url")).alias("src"), address_of(F.col("to")).alias("dst"))
     return at.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
@@ -171,8 +203,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], edges: DataFrame | None = No
     if edges is not None:
         links = links.union(edges.select("src", "dst"))
     parts = connected_components(links, "url-links")
-    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = match_rules(split, rules).withColumn("address", address_of(F.col("host"), F.col("path")))
+    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address_of(F.col("url")).alias("address"))
+    ruled = match_rules(split, rules)
     # decisions of addresses, then of components: counts are combined before each shuffle
     decided = (
         ruled.where(F.col("address").isNotNull())

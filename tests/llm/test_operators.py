@@ -446,7 +446,7 @@ def test_url_targets(spark):
         ("http://h.org/", None),
     ]
     want = {
-        ("a.org/x/y", t) for t in ("a.org/en/7", "b.org/p", "a.org/x/z", "a.org/up/w", "a.org/x/y", "a.org/top", "a.org/go")
+        ("a.org/x/y", t) for t in ("a.org/en/7", "b.org/p", "a.org/x/z?q", "a.org/up/w", "a.org/x/y?page=2", "a.org/top", "a.org/go?u=http://c.org/")
     } | {("d.org", t) for t in ("d.org/one", "e.org/abs", "d.org/two", "d.org/three")} | {("f.org/a/b", "f.org/deep/er/leaf"), ("g.org", "g.org")}
     pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
     assert {tuple(r) for r in url_filter.link_edges(pages).collect()} == want
@@ -457,6 +457,68 @@ def test_url_targets(spark):
     assert got[3] == got[4] == "block" and got[7] == "allow"
 
 
+def test_url_links_that_are_none(spark):
+    """Comments, scripts and other raw text hold no links; references, word lists, queries and ports are read."""
+    good = "<link rel='canonical' href='/t'>"
+    rows = [
+        ("http://a.org/1", f"<!-- {good} -->"),
+        ("http://a.org/2", f"<script>var x = \"{good}\"</script><style>{good}</style><textarea>{good}</textarea>"),
+        ("http://a.org/3", f"<script>open {good}"),
+        ("http://a.org/4", f"<!-- a --><p>{good}<!-- b -->"),
+        ("http://a.org/5", '<link rel="alternate canonical" href="/t?a=1&amp;b=2">'),
+        ("http://a.org/6", '<link rel="not-canonical" href="/t"><link data-rel="canonical" href="/t"><link rel="alternate" title="canonical" href="/t">'),
+        ("http://a.org:80/7", "<link href='&#47;&#x74;&#00000117;&amp;#47;' rel=canonical />"),
+        ("https://a.org:443/8?id=1", "<link rel=canonical data-href='/no' href=https://A.org:443/8/index.html?id=2>"),
+        ("https://a.org:80/9", good),
+        ("http://a.org/10?", f"<noscript>{good}</noscript>"),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {tuple(r) for r in url_filter.link_edges(pages).collect()} == {
+        ("a.org/4", "a.org/t"),
+        ("a.org/5", "a.org/t?a=1&b=2"),
+        ("a.org/7", "a.org/tu&"),
+        ("a.org/8?id=1", "a.org/8?id=2"),
+        ("a.org:80/9", "a.org:80/t"),
+        ("a.org/10", "a.org/t"),
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_url_verdicts_over_random_links(spark, seed):
+    """Against union-find over the links and the longest rule of each address."""
+    rng = random.Random(seed)
+    hosts, paths = ["a.com", "b.a.com", "c.net", "d.org"], ["", "/en/1", "/en/2", "/de/3", "/x", "/x?id=1", "/x?id=2", "/y.html", *(f"/p/{i}" for i in range(14))]
+    rules = [("block", "com/en/"), ("allow", "a.com/en/2"), ("block", "d.org/x"), ("block", "net/de/"), ("allow", "c.net/y")]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(60)]
+    links = [rng.choice(urls) if rng.random() < 0.35 else None for _ in urls]
+    html = [None if t is None else rng.choice((f"<link rel=canonical href='{t}'>", f"<meta http-equiv=refresh content='0; url={t}'>")) for t in links]
+    address = lambda u: re.sub(r"(?:/|\.html)$", "", u.partition("://")[2].partition("?")[0]) + ("?" + u.partition("?")[2] if "?" in u else "")
+    parent = {address(u): address(u) for u in urls}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, t in zip(urls, links):
+        if t:
+            parent[find(address(u))] = find(address(t))
+
+    def ruled(u):
+        host, _, path = u.partition("://")[2].partition("?")[0].partition("/")
+        fit = [(len(r), v) for v, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and ("/" + path if path or "/" in u.partition("://")[2] else "").startswith("/" + r.partition("/")[2])]
+        return max(fit)[1] if fit else None
+
+    classes = collections.defaultdict(set)
+    for u in urls:
+        classes[find(address(u))].add(ruled(u))
+    want = [ruled(u) or ("block" if "block" in (c := classes[find(address(u))]) and "allow" not in c else "allow") for u in urls]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html))], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [url_filter.Rule(*r) for r in rules]).collect()}
+    assert [got[i] for i in range(len(urls))] == want
+    assert any(ruled(u) is None and v == "block" for u, v in zip(urls, want))  # some come through the links
+
+
 def test_clashing_columns(spark):
     """Extra columns with the operators' own names pass through unchanged."""
     rows = made_up(11, 20)
@@ -546,6 +608,13 @@ def test_grammar():
     assert e("Idiot.") == 4.0 and e("idiots") == 0.0 and e("xidiot") == 0.0 and e("Vequaire!") == 3.0
     assert e("you idiot. he said idiot") == pytest.approx(5.0 + 2.4) and e(None) == 0.0 and e("") == 0.0
     assert e("I will kill you") > 0 and e("kill the lights") == 0.0
+    assert e("I will kill the process, thank you") == 0.0 and e("ich werde dich umbringen") == 5.0  # the target must be near
+    plain = e("you idiot")
+    for said in ('He said: "you idiot"', "He wrote:\n you idiot", '"You idiot", he said.', '"You idiot!" he said. Bye', "\u201cYou idiot. I hate it\u201d, he said", "\u00abyou idiot\u00bb, dit-il"):
+        assert e(said) == pytest.approx(0.6 * plain), said
+    assert e('"fine" and you idiot') == e('"You idiot" is rude') == plain and e('He said "you idiot" to you idiot') == pytest.approx(1.2 * 4.0 * 1.25)
+    assert e("don\u2019t be an idiot") == e("don't be an idiot") == 2.0
+    assert e("one line\nyou idiot") == plain and e('a stray " mark. you idiot') == plain
 
 
 def test_toxicity_learns(spark):
