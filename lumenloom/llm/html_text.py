@@ -11,8 +11,13 @@ has none on it.
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and comments are
 left out by element and by class or id words, inside the container too. A container named by its
 layout (``sidebar``, ``share``), or a form, stays if it holds more than half of the page's
-unlinked text and the article's own marks; a header inside an article keeps its headings. Class
-names that say what a container has (``has-sidebar``) count for nothing.
+unlinked text and the article's own marks; one named by comments stays if it holds more than half
+and all titles there are, or is named as content too and no text stands beside it. A header
+inside an article keeps its headings and paragraphs of ``LEAD_CHARS`` characters. Class names that
+say what a container has (``has-sidebar``) or its state (``comments-open``) count for nothing.
+
+Elements nested deeper than ``MAX_DEPTH`` belong to the container at that depth, so memory grows with
+a page's length and not with its nesting.
 
 The container found is widened: to the enclosing article or named content container, whose
 further blocks come along unless most of their text is in links, and by what stands beside it.
@@ -57,6 +62,12 @@ LAYOUT_WORDS = frozenset("sidebar side aside rail widget share sharing social re
 HEADER_WORDS = frozenset("header head masthead".split())
 #: First parts of class names that tell what a container has or how it looks, not what it is.
 MODIFIERS = ("has-", "with-", "no-", "without-", "is-", "not-", "hide-", "show-", "js-")
+#: Class names that tell whether comments are open, not that these are comments.
+STATES = re.compile(r"(?:comment|reply|replie|discussion|respond|ping)s?[-_]?(?:open(?:ed)?|closed?|enabled|disabled|allowed|on|off|status.*|count.*)")
+#: Nesting up to which containers are told apart.
+MAX_DEPTH = 200
+#: Unlinked characters from which a paragraph in an article's own header is part of the text.
+LEAD_CHARS = 80
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 CLOSES_P = frozenset(
@@ -76,7 +87,8 @@ class Node:
     """An open element that can hold blocks.
 
     ``dropped``: left out whatever it holds. ``doubt``: left out unless it proves to hold the article.
-    ``core``: a title, an article or a main element is inside.
+    ``cores``: titles, articles and main elements inside; ``titles``: titles and main elements in no header or aside.
+    ``chain``: numbers of the containers from the root down to it.
     """
 
     tag: str
@@ -87,7 +99,11 @@ class Node:
     number: int = 0
     headings_only: bool = False
     in_article: bool = False
-    core: bool = False
+    in_heading: bool = False
+    shaded: bool = False
+    cores: int = 0
+    titles: int = 0
+    chain: tuple[int, ...] = (0,)
 
 
 @dataclass
@@ -106,28 +122,48 @@ def _attributes(raw: str) -> tuple[str, set[str], str, bool]:
         if low in ("class", "id"):
             if low == "class":
                 names = " ".join(sorted(value.split()))
-            words.update(w.lower() for one in value.split() if not one.lower().startswith(MODIFIERS) for w in _SPLIT.split(one) if w)
+            words.update(w.lower() for one in value.split() if not one.lower().startswith(MODIFIERS) and not STATES.fullmatch(one.lower()) for w in _SPLIT.split(one) if w)
         elif low == "role":
             role = value.lower()
     return re.sub(r"\d+", "#", names), words, role, bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) or "display:none" in raw.replace(" ", ""))
 
 
+def _article_in_comments(nodes: list[Node], blocks: list[Block]) -> set[int]:
+    """Numbers of the containers named by comments that hold the article for all that."""
+    held: dict[int, int] = {}
+    total = beside = 0
+    for b in blocks:
+        inside = [i for i in b.chain if nodes[i].doubt == "comment"]
+        if len(inside) > 1:  # comments within it
+            continue
+        worth = len(b.text) - b.linked
+        total += worth
+        if inside:
+            held[inside[0]] = held.get(inside[0], 0) + worth
+        elif not any(nodes[i].doubt for i in b.chain):
+            beside += worth
+    titles = nodes[0].titles
+    proves = lambda n: nodes[n].titles == titles > 0 or (nodes[n].good and beside < LEAD_CHARS)
+    return {n for n, worth in held.items() if 2 * worth > total and proves(n)}
+
+
 def _settled(nodes: list[Node], blocks: list[Block]) -> list[Block]:
     """``blocks`` without those in containers of doubt that do not hold the article."""
     doubtful = {n.number for n in nodes if n.doubt}
     if not doubtful:
         return blocks
+    fine = _article_in_comments(nodes, blocks)
+    comments = {i for i in doubtful if nodes[i].doubt == "comment"}
+    blocks = [b for b in blocks if not (comments - fine).intersection(b.chain)] if comments - fine else blocks
+    doubtful -= comments
     held: dict[int, int] = {}
     total = 0
     for b in blocks:
-        inside = doubtful.intersection(b.chain)
-        if any(nodes[i].doubt == "comment" for i in inside):
-            continue
         worth = len(b.text) - b.linked
         total += worth
-        for i in inside:
+        for i in doubtful.intersection(b.chain):
             held[i] = held.get(i, 0) + worth
-    out = {n for n in doubtful if not (2 * held.get(n, 0) > total and (nodes[n].core or (nodes[n].doubt == "layout" and nodes[n].good)))}
+    out = {n for n in doubtful if not (2 * held.get(n, 0) > total and (nodes[n].cores or (nodes[n].doubt == "layout" and nodes[n].good)))}
     return [b for b in blocks if not out.intersection(b.chain)]
 
 
@@ -150,6 +186,7 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
     """All containers and, in page order, the blocks of text that are not left out."""
     root = Node("", "", False)
     nodes, stack, blocks = [root], [root], []
+    still_open: dict[str, int] = {}
     text: list[str] = []
     linked, in_link, at, size = 0, False, 0, len(html or "")
 
@@ -157,11 +194,20 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
         nonlocal linked, in_link
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
-            if joined and not stack[-1].dropped and (not stack[-1].headings_only or any(n.tag in HEADINGS for n in stack)):
-                blocks.append(Block(joined, tuple(n.number for n in stack), min(linked, len(joined))))
+            top = stack[-1]
+            if joined and not top.dropped and (not top.headings_only or top.in_heading or len(joined) - linked >= LEAD_CHARS):
+                blocks.append(Block(joined, top.chain, min(linked, len(joined))))
             text.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        """Take elements from the stack until it is ``depth`` long."""
+        while len(stack) > depth:
+            node = stack.pop()
+            still_open[node.tag] -= 1
+            stack[-1].cores += node.cores
+            stack[-1].titles += node.titles
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].dropped:
@@ -186,11 +232,13 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
             elif tag in INLINE or tag in VOID:
                 if tag == "br":
                     add(" ")
-            elif any(n.tag == tag for n in stack[1:]):
+            elif still_open.get(tag):
                 flush()
                 in_link = False
-                while stack.pop().tag != tag:
-                    pass
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             elif tag == "p":
                 flush()
             continue
@@ -211,36 +259,42 @@ def parse(html: str | None) -> tuple[list[Node], list[Block]]:
             flush()
             in_link = False
             if tag in CLOSES_P and stack[-1].tag == "p":
-                stack.pop()
+                close(len(stack) - 1)
             for kind in SAME_KIND.get(tag, ()):
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, max(0, len(stack) - MAX_DEPTH), -1):
                     if stack[i].tag in LIST_OF.get(tag, ()):
                         break
                     if stack[i].tag == kind:
-                        del stack[i:]
+                        close(i)
                         break
             names, words, role, hidden = _attributes(m[3] or "")
             up = stack[-1]
             doubt = _doubt(tag, words, role, up.in_article)
             # a header of the article itself keeps its headings
             own = doubt == "header" and (up.in_article or bool(words & GOOD_WORDS))
+            deep = len(up.chain) > MAX_DEPTH
             node = Node(
                 tag,
-                f"{up.path}>{tag}{'.' + names if names else ''}",
-                up.dropped or tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden,
-                "" if own else doubt,
+                up.path if deep else f"{up.path}>{tag}{'.' + names if names else ''}",
+                up.dropped or tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden or bool(deep and doubt and not own),
+                "" if own or deep else doubt,
                 tag in ("article", "main") or bool(words & GOOD_WORDS),
                 len(nodes),
                 up.headings_only or own,
                 up.in_article or tag == "article",
+                up.in_heading or tag in HEADINGS,
+                up.shaded or doubt in ("header", "aside"),
+                chain=up.chain if deep else (*up.chain, len(nodes)),
             )
             if tag in ("h1", "article", "main") and not doubt and not node.dropped:
-                for outer in stack:
-                    outer.core = True
+                up.cores += 1
+                up.titles += tag != "article" and not up.shaded
             nodes.append(node)
             if not (m[3] or "").rstrip().endswith("/"):
                 stack.append(node)
+                still_open[tag] = still_open.get(tag, 0) + 1
     flush()
+    close(1)
     return nodes, _settled(nodes, blocks)
 
 

@@ -730,6 +730,47 @@ def test_html_short_article_beside_long_notices():
         assert html_text.extract(page, None) == "T\n\nx"
 
 
+def test_html_state_words_and_names_around_the_article():
+    body = f"<p>{'The article itself. ' * 20}</p><p>Its end.</p>"
+    want = f"{'The article itself. ' * 20}".strip() + "\n\nIts end."
+    comments = f"<div id=comments><h3>Replies</h3><p>{'a reader says. ' * 5}</p></div>"
+    for name in ("post comments-open", "content comments-closed", "article-reply", "discussion-article", "post comment-status-open", "entry no-comments"):
+        assert html_text.extract(f"<body><header><h1>Site</h1></header><div class='{name}'>{body}{comments}</div><footer>f</footer></body>", None) == want, name
+        assert html_text.extract(f"<body><div class='{name}'><h1>T</h1>{body}</div></body>", None) == "T\n\n" + want, name
+    # comments longer than the article stay out, whatever they are made of
+    long = f"<div class=discussion><article><p>{'a reader says. ' * 90}</p></article></div>"
+    assert html_text.extract(f"<body><article><h1>T</h1>{body}</article>{long}</body>", None) == "T\n\n" + want
+    assert html_text.extract(f"<body><div class=comment-body><p>{'only a reader. ' * 9}</p></div></body>", None) in ("", ("only a reader. " * 9).strip())
+
+
+def test_html_lead_paragraph_of_the_own_header():
+    lead = "A lead paragraph that says at some length what the article is about, as many papers have it."
+    page = f"<body><article><header><h1>T</h1><p>by me</p><p>{lead}</p></header><p>{'body text ' * 20}</p></article></body>"
+    assert html_text.extract(page, None) == f"T\n\n{lead}\n\n{('body text ' * 20).strip()}"
+
+
+def test_html_deep_nesting_takes_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for n in (12_500, 50_000):
+        page = "<body>" + "".join(f"<div class=c{i % 7}>text {i} " for i in range(n)) + "</b></i></p>" * 100
+        tracemalloc.start()
+        text = html_text.extract(page, None)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert text.startswith("text ") and text.endswith(f"text {n - 1}")
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 150e6
+
+
+def test_html_votes_of_a_host_decide(spark):
+    usual = lambda t: f"<body><div class=w1><div class=c1><p>{t}</p></div></div><div class=w2><div class=x><p>short note</p></div></div></body>"
+    odd = f"<body><div class=w1><div class=c1><p>{'the text ' * 20}</p></div></div><div class=w2><div class=x><p>{'a long notice ' * 30}</p></div></div></body>"
+    rows = [(i, f"http://a.com/{i}", usual(f"text {i} " * 30)) for i in range(3)] + [(10, "http://a.com/odd", odd), (11, "http://b.com/odd", odd)]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("text 0 " * 30).strip() and got[10] == ("the text " * 20).strip() and got[11] == ("a long notice " * 30).strip()
+
+
 def test_html_pages(spark):
     wrap = lambda t: f"<html><body><nav>menu menu</nav><div class='c1'><p>{t}</p></div></body></html>"
     rows = [(1, "http://a.com/1", wrap("hello there all")), (2, "http://a.com/2", None), (3, None, wrap("x")), (3, None, wrap("x")), (4, "http://b.com", "<p>only")]
