@@ -67,7 +67,7 @@ def query_of(url: Column) -> Column:
 def address_of(url: Column) -> Column:
     """One spelling for the aliases of an address; null where there is no host."""
     host, secure = host_of(url), F.lower(F.substring(url, 1, 6)) == "https:"
-    bare = F.when(secure, F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    bare = F.regexp_replace(host, F.when(secure, ":443$").otherwise(":80$"), F.lit(""))
     plain = F.regexp_replace(path_of(url), r"(?:/index\.html?|/|\.html?)$", "")
     return F.when(host != "", F.concat(bare, plain, query_of(url)))
 
@@ -186,10 +186,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     base = F.when(linked & low.contains("<base"), F.regexp_extract(html, root, 1)).otherwise(F.lit(""))
     # the outer form: for the inner one the optimizer would test the array's size by computing it again
     found = pages.select("url", base.alias("base"), F.explode_outer(F.concat(target, moved)).alias("to")).where("to is not null")
-    found = found.withColumns({"base": decoded(F.col("base")), "to": decoded(F.col("to"))})
-    full = found.select("url", F.when(F.col("base") == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("base"))).alias("at"), "to").select(
-        "url", resolve(F.col("at"), F.col("to")).alias("to")
-    )
+    # few rows; written between the steps, so that none of their expressions is planned inside the next
+    found = materialize(found.select("url", decoded(F.col("base")).alias("base"), decoded(F.col("to")).alias("to")), "url-found")
+    at = F.when(F.col("base") == "", F.col("url")).otherwise(resolve(F.col("url"), F.col("base")))
+    based = materialize(found.select("url", at.alias("at"), "to"), "url-based")
+    full = materialize(based.select("url", resolve(F.col("at"), F.col("to")).alias("to")), "url-full")
     at = full.select(address_of(F.col("url")).alias("src"), address_of(F.col("to")).alias("dst"))
     return at.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
