@@ -30,6 +30,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column | str], name: str =
     of their own and sort first. An empty table gives an empty result. The rows are written once to
     the shared folder, in order, so places stay the same if a task runs again.
     """
+    # the ranges are found from a sample first, so what the rows cost is paid once
+    df = materialize(df, "unranked")
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     named = {f"_k{i}": k for i, k in enumerate(keys)}
     sort = [*by, *named]

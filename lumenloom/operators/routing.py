@@ -317,8 +317,8 @@ def coverage_greedy(profiles: DataFrame, experts: int, n: int, per_task: int = 2
     ever holds more than about ``per_task`` profiles (at least 2 n).
     """
     per_task = max(per_task, 2 * n)
-    tau = saturation(profiles, n, experts)
-    pool = profiles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("expert_id", "tokens"))).alias("cells"))
+    pool = materialize(profiles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("expert_id", "tokens"))).alias("cells")), "profiles")
+    tau = saturation(pool.select("doc_id", F.explode("cells").alias("x")).select("doc_id", "x.*"), n, experts)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", ignore_index=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as hs
 from ..functions import text as tx
 from ..operators import admission, corpus, dedup
-from ..session import table
+from ..session import cut_lineage, table
 from ..sources import ingest
 
 QUERIES: dict = {}
@@ -140,7 +140,7 @@ SELECT doc_id, doc_id IN (SELECT b FROM agree WHERE agreement >= 0.8) OR doc_id
 )
 def near_dup_pairwise(spark, sf_dir):  # I2 (pairwise mode)
     docs = documents(spark, sf_dir)
-    sigs = dedup.signatures(docs, PERMS)
+    sigs = cut_lineage(dedup.signatures(docs, PERMS))
     return dedup.pairwise_groups(docs, sigs, dedup.near_groups(sigs, 0.8, rows=4))
 
 
@@ -152,7 +152,7 @@ def exact_dedup_normalised(spark, sf_dir):  # T1 T4 W10
 @register("near_dup_faithful")
 def near_dup_faithful(spark, sf_dir):  # I2 (arrival order)
     docs = documents(spark, sf_dir)
-    sigs = dedup.signatures(docs, PERMS)
+    sigs = cut_lineage(dedup.signatures(docs, PERMS))
     return dedup.arrival_groups(docs, sigs, dedup.near_groups(sigs, 0.8, rows=4))
 
 
