@@ -63,7 +63,9 @@ def size_classes(percent: int, most: int = 1 << 34) -> tuple[np.ndarray, np.ndar
     return np.array(low[:-1]), np.array(frag), np.array(spare)
 
 
-#: Bits of a digest and of a set's number in an announcement; clashes only add candidates.
+#: Bits of a digest and of a set's number in an announcement. Clashing digests only add candidates.
+#: Two linked sets of one number would look like one holder and lose their link unless others tie
+#: their unit: one chance in 2**47 a linked pair.
 DIGEST_BITS, NODE_BITS, NEED_BITS = 48, 47, 15
 
 

@@ -16,7 +16,6 @@ An empty table writes no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from itertools import pairwise
 from math import isqrt
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, trimmed
+from .common import shared_path, trimmed
 from .tokens import encoder, row_slices
 
 STRIDE = 10_000
@@ -156,7 +155,10 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write ``docs`` as ORC under the shared folder, read the files back, and digest every row."""
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Write ``docs`` as ORC under the shared folder, read the files back, and digest every row.
+
+    ``release_all`` deletes the files; the result reads them until then.
+    """
+    path = shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
     return token_digests(read_tokens(docs.sparkSession, path))

@@ -1,9 +1,12 @@
 import hashlib
 import os
 import random
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from lumenloom import session
 from lumenloom.llm import common, flac, media
 
 
@@ -138,25 +141,34 @@ def test_damage_is_found(at):
 
 def test_columns(spark, monkeypatch):
     seen = []
-
-    def spy(df, tag):
-        out = common.materialize(df, tag)
-        seen.append((tag, df.columns, out.inputFiles()))
-        return out
-
-    monkeypatch.setattr(media, "materialize", spy)
-    rows = [(1, "hi"), (2, None), (3, ""), (None, "hi"), (1, "hi"), (4, "x" * 70_000)]
-    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_bytes int")
-    stored = media.round_trip(docs)
-    # what is stored are the streams, and the features are read from those files
-    assert [(t, "media" in c, bool(f)) for t, c, f in seen] == [("flac", True, True), ("flac-features", False, True)] * media.WAVES
-    got = stored.collect()
-    assert len(got) == len(rows)
-    assert {r.payload_bytes for r in got if r.n_bytes in (0, 2)} == {64}
-    assert len({r.media_sha256 for r in got if r.n_bytes == 2}) == 1
-    blocks = media.pcm_blocks(media.encode_texts(docs.where("doc_id = 4"))).orderBy("first_sample").collect()
-    assert b"".join(bytes(b.pcm) for b in blocks)[:70_000] == b"x" * 70_000
-    assert media.read_features(media.encode_texts(docs.limit(0))).count() == 0
+    write_pcm = media.write_pcm
+
+    def spy(stored, path, **how):
+        seen.append((stored.columns, stored.inputFiles()))
+        write_pcm(stored, path, **how)
+        kept = spark.read.parquet(path)
+        assert kept.where("media_sha256 is not null").count() == stored.count()
+        whole = {r.doc_id: b"".join(bytes(p.pcm) for p in sorted(r.p)) for r in kept.groupBy("doc_id").agg(F.collect_set(F.struct("first_sample", "pcm")).alias("p")).collect()}
+        assert all(len(v) % 64 == 0 and v for v in whole.values())
+
+    monkeypatch.setattr(media, "write_pcm", spy)
+    before = set(session._written)
+    rows = [(1, "hi"), (2, None), (3, ""), (None, "hi"), (1, "hi"), (4, "x" * 70_000), (5, "y" * 1024), (6, "z" * 1025)]
+    docs = spark.createDataFrame([(i, t, 0, "own") for i, t in rows], "doc_id long, text string, n_bytes int, media string")
+    got = media.round_trip(docs).collect()
+    # what is stored are the streams; the blocks are decoded from those files, and only the features stay
+    assert [("media" in c, bool(f)) for c, f in seen] == [(True, True)] * media.WAVES
+    assert len(session._written - before) == media.WAVES
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stream = flac.encode([padded])[0]
+        want.append((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stream), hashlib.sha256(stream).hexdigest()))
+    assert sorted(map(str, (tuple(r)[:7] for r in got))) == sorted(map(str, want))
+    frames = {r.doc_id: int(r.feature.split(";")[0][7:]) for r in got}
+    assert (frames[4], frames[5], frames[6]) == (69, 1, 2)
+    assert media.round_trip(docs.limit(0)).count() == 0
 
 
 def test_stored_blocks_by_sample_offset(spark, tmp_path):

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lumenloom import session
 from lumenloom.llm import common, html_text, jaccard, mixing, packing, quality, queries, suffix, token_orc, tokens, toxicity, url_filter
 from lumenloom.llm.queries_python import tokenizer_file
 from tests.compare import DATA, connect, duck_rows, spark_rows
@@ -330,6 +331,7 @@ def test_ids_of_both_queries(spark, tmp_path):
         at += len(ids)
     got = queries.QUERIES["op2_token_orc"](spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == want
+    assert any("/tokens-" in p for p in session._written)  # so release_all deletes the files
     want = []
     for d, ids in zip(docs, whole_ids("byte_bpe_50k.json", [d["text"] for d in docs], 0), strict=True):
         cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
