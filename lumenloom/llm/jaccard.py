@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, mix64, own_names, shingle_hashes, small_side, text_chunks, trimmed
+from .common import connected_components, materialize, mix64, own_names, passing, release, shingle_hashes, small_side, text_chunks, trimmed
 
 BLOCK_DOCS = 512
 BLOCK_ELEMENTS = 1 << 20
@@ -188,7 +188,7 @@ def candidate_units(announced: DataFrame) -> DataFrame:
     node = F.shiftright("key", NEED_BITS + 1)
     need = F.col("key").bitwiseAND((1 << NEED_BITS) - 1)
     held = Window.partitionBy("digest")
-    rows = announced
+    rows, before = announced, None
     for _ in range(2):
         shared = materialize(
             rows.withColumns({"node": node, "least": F.min(node).over(held), "most": F.max(node).over(held)})
@@ -197,6 +197,9 @@ def candidate_units(announced: DataFrame) -> DataFrame:
             .distinct(),
             "shared",
         )
+        if before is not None:
+            release(before)
+        before = shared
         enough = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("key")
         rows = shared.join(enough, "key", "left_semi").select("digest", "key")
     stars = rows.select(node.alias("src"), F.min(node).over(held).alias("dst")).where("src != dst").distinct()
@@ -350,8 +353,11 @@ def _links(key, rows: list, percent: int) -> list[tuple[str, str | None, int]]:
 def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, fp, component, component_id, n_links) for every row; ``component`` is null for an empty set."""
     sets = materialize(document_sets(docs, words), "sets")
-    units = materialize(candidate_units(announce(docs, words, percent)), "units")
-    links = materialize(count_blocks(units, docs, sets, words, percent), "links")
+    with passing(docs.sparkSession) as keep:
+        units = keep(materialize(candidate_units(announce(docs, words, percent)), "units"))
+    with passing(docs.sparkSession) as keep:
+        links = keep(materialize(count_blocks(units, docs, sets, words, percent), "links"))
+    release(units)
     parts = connected_components(links.where("dst is not null").select("src", "dst"), "linked")
     degrees = links.where("dst is null").groupBy("src").agg(F.sum("links").alias("others"))
     classes = (
@@ -408,7 +414,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     Null ids come last; of rows that repeat the id, or have none, the one with the smallest set
     digest stays, then that with the smallest text. Rows without a near copy stay, whatever their id.
     """
-    judged = materialize(_judged(docs, words, percent), "judged")
+    with passing(docs.sparkSession) as keep:
+        judged = keep(materialize(_judged(docs, words, percent), "judged"))
     linked = judged.where("n_links > 0")
     ids = (
         judged.where("doc_id is not null")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_side
+from .common import WORD, materialize, passing, small_side
 
 BUCKETS = 4096
 #: Mean log ratio per n-gram below which a document is rejected.
@@ -182,6 +182,8 @@ def judge_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    scored = _scored(docs, labels, docs.columns, threshold, buckets)
-    return scored.where("q_kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns; written, so that the scored table can go."""
+    with passing(docs.sparkSession) as keep:
+        scored = _scored(docs, labels, docs.columns, threshold, buckets)
+        good = keep(materialize(scored.where("q_kept").select(*[f"c{i}" for i in range(len(docs.columns))]), "good"))
+    return good.toDF(*docs.columns)

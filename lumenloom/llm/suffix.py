@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, materialize, release, scratch, text_chunks, trimmed
+from .common import Rolling, materialize, release, scratch, shuffles_dropped, text_chunks, trimmed
 
 LENGTH = 400
 #: A passage: 50 words, taken to be at least 200 bytes (three letters and a space a word).
@@ -325,19 +325,20 @@ def repeated_spans(
 
     with scratch(spark, "texts") as name:
         # distinct texts, bucketed by digest once, so the later joins do not move them again
-        (
+        distinct = (
             docs.select(text_key(F.col("text")).alias("fp"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
             .groupBy("fp")
             .agg(F.any_value("data").alias("data"), F.count("*").alias("copies"))
-            .write.bucketBy(parts, "fp")
-            .sortBy("fp")
-            .saveAsTable(name)
         )
+        with shuffles_dropped(spark):
+            distinct.write.bucketBy(parts, "fp").sortBy("fp").saveAsTable(name)
         texts = spark.table(name)
         pieces = keep(_pieces(texts.where(F.length("data") >= short), short, gram), "anchors")
         # written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split
         often = keep(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
         sized = keep(pieces.join(often, "anchor"), "repeated-anchors")
+        release(pieces)
+        release(often)
         cut = F.expr(f"substring(data, cast(first as int) + 1, cast(last - first as int) + {far})")
         segments = sized.join(texts.select("fp", "data"), "fp").select(
             "anchor", "fp", "place", (F.col("first") - F.col("place")).alias("lead"), (F.col("last") - F.col("place")).alias("end"), "n", cut.alias("piece")
@@ -353,11 +354,13 @@ def repeated_spans(
                 written += tables
                 runs = runs.union(more)
         runs = keep(runs, "runs")
+        for df in written:
+            if df is not runs:
+                release(df)
         spans = runs.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("l", "a", "b"))).alias("spans"))
         judged = texts.select("fp", "data", "copies").join(spans, "fp", "left").select("fp", "data", "copies", "spans")
         out = materialize(_judged(judged, length, least_words, passage), "repeats")
-    for df in written:
-        release(df)
+    release(runs)
     return out
 
 
