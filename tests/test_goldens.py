@@ -92,6 +92,12 @@ def test_split_sizes(spark, total, f, want):
     corpus.assert_split(parts)
 
 
+def test_three_places_by_exact_value(spark):
+    values = [i / n for n in (80, 16, 48, 400, 2000, 3) for i in range(2 * n + 1)] + [0.0875, 0.0005, 0.0015, 1e-9, 7.1235, 60000.0625]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", corpus.three_places(F.col("x")).alias("s")).collect()
+    assert [r.s for r in rows] == [f"{r.x:.3f}" for r in rows]
+
+
 def test_split_ignores_other_classes(spark):
     a = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a").alias("corpus_class"))
     b = spark.range(50, 90).select(F.col("id").alias("doc_id"), F.lit("b").alias("corpus_class"))
