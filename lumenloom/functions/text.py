@@ -71,6 +71,24 @@ def marker_ratio(text: Column, markers: Sequence[str]) -> Column:
     return F.coalesce(F.try_divide(marker_hits(text, markers), F.size(words(text))), F.lit(0.0))
 
 
+def word_signals(text: Column, lists: dict[str, Sequence[str]], dialects: dict[str, Sequence[str]]) -> Column:
+    """struct of the ``marker_ratio`` of each of ``lists`` by its name, and ``dialect``, with the words found once."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def told(w):
+        ratios = []
+        for name, markers in lists.items():
+            single = [m for m in markers if " " not in m]
+            hits = F.size(F.filter(w, lambda x: x.isin(single))).cast("long")  # noqa: B023
+            for m in markers:
+                if " " in m:
+                    hits = hits + count_text(low, m)
+            ratios.append(F.coalesce(F.try_divide(hits, F.size(w)), F.lit(0.0)).alias(name))
+        return F.struct(*ratios, _named_dialect(F.array_distinct(w), dialects, 2).alias("dialect"))
+
+    return let(words(low), told)
+
+
 def sentences(text: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCES), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
@@ -93,6 +111,10 @@ def switch_counts(text: Column, first: Sequence[str], second: Sequence[str], lea
 
 def dialect(text: Column, markers: dict[str, Sequence[str]], least: int = 2) -> Column:
     """struct(name, hits): most distinct markers; the earlier dialect wins ties; no name below ``least``."""
+    return _named_dialect(F.array_distinct(words(F.lower(text))), markers, least)
+
+
+def _named_dialect(distinct: Column, markers: dict[str, Sequence[str]], least: int) -> Column:
     scored = lambda w: F.array_max(
         F.array(
             *[
@@ -106,7 +128,7 @@ def dialect(text: Column, markers: dict[str, Sequence[str]], least: int = 2) ->
         )
     )
     return let(
-        let(F.array_distinct(words(F.lower(text))), scored),
+        let(distinct, scored),
         lambda b: F.struct(F.when(b["hits"] >= least, b["name"]).alias("name"), b["hits"].alias("hits")),
     )
 

@@ -224,3 +224,16 @@ def test_config():
     for bad in ({"gate_sample_count": 3}, {"gate_variant": "b"}, {"traffic_mix": {"x": 0.4}}, {"classes": ("x",)}):
         with pytest.raises(ValueError):
             validate_config({**good, **bad})
+
+
+def test_small_classes_compute_their_input_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(i):
+        calls.add(1)
+        return "a" if i % 4 else "b"
+
+    rows = spark.range(40).select("id", named("id").alias("c"))
+    assert {r.c for r in corpus.drop_small_classes(rows, "c", ["b"], 20).collect()} == {"a"}
+    assert calls.value == 40
