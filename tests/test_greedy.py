@@ -43,6 +43,19 @@ def test_many_tasks_come_near(spark, per_task):
     assert [r.doc_id for r in again] == [r.doc_id for r in got]
 
 
+@pytest.mark.parametrize("per_task", [5, 30])
+def test_many_tasks_are_exact(spark, per_task):
+    rows = profiles()
+    got = routing.coverage_greedy(spark.createDataFrame(rows, "doc_id long, expert_id int, tokens long"), EXPERTS, 12, per_task=per_task).orderBy("step").collect()
+    assert [r.doc_id for r in got] == exact(rows, 12)[0]
+
+
+def test_pool_is_of_documents_with_profiles(spark):
+    parts = spark.createDataFrame([(i, "a", "train") for i in range(60)], "doc_id long, corpus_class string, side string")
+    some = spark.createDataFrame([(i,) for i in range(0, 60, 6)], "doc_id long")
+    assert {r.doc_id for r in corpus.candidate_pool(parts, 10, among=some).collect()} == set(range(0, 60, 6))
+
+
 def test_more_picks_than_documents_and_none(spark):
     df = spark.createDataFrame(profiles(5), "doc_id long, expert_id int, tokens long")
     assert routing.coverage_greedy(df, EXPERTS, 50, per_task=2).count() == 5
