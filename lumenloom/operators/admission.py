@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from . import dedup
 
 
@@ -23,12 +23,16 @@ def _same_text(records: DataFrame, permutations: int, rows: int, least: float) -
 
     A group is named by its first arrival. Texts without words are grouped by their normal form.
     """
-    flat = records.select(F.col("arrival").alias("doc_id"), tx.strip_marks(F.col("text")).alias("text"))
+    # read twice; its texts come from a Python function
+    flat = cut_lineage(records.select(F.col("arrival").alias("doc_id"), tx.strip_marks(F.col("text")).alias("text")))
     sigs = cut_lineage(dedup.signatures(flat, permutations))
     bare = flat.join(sigs.select("doc_id"), "doc_id", "left_anti")
     named = lambda rows, key: rows.join(rows.groupBy(key).agg(F.min("doc_id").alias("group")), key).select(F.col("doc_id").alias("arrival"), "group")
     groups = named(sigs, "signature").union(named(bare, "text"))
-    return cut_lineage(groups), cut_lineage(dedup.near_groups(sigs, least, rows))
+    found = cut_lineage(groups), cut_lineage(dedup.near_groups(sigs, least, rows))
+    release(flat)
+    release(sigs)
+    return found
 
 
 def ingest(
@@ -51,7 +55,8 @@ def ingest(
     Null sources are one source. An empty table gives an empty result.
     """
     at = F.col("arrival")
-    records = records.select("arrival", "source", "primary", "text", "corpus_class", "reason")
+    # what classifies the records is paid for once, not in each of the passes below
+    records = cut_lineage(records.select("arrival", "source", "primary", "text", "corpus_class", "reason"))
     capped = None
     if cap is not None:
         nth = F.row_number().over(Window.partitionBy("source").orderBy("arrival"))

@@ -123,3 +123,20 @@ def test_bootstrap_interval(spark):
 @pytest.mark.parametrize("rho,n,p", [(0.5, 10, 0.141113), (0.9, 5, 0.037386), (-0.5, 10, 0.141113), (0.0, 10, 1.0), (1.0, 10, 0.0)])
 def test_rank_p_value(rho, n, p):
     assert evalstats.rank_p_value(rho, n) == pytest.approx(p, abs=1e-6)
+
+
+def test_records_are_computed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def named(i):
+        calls.add(1)
+        return "a"
+
+    rows = spark.range(30).select(
+        F.col("id").alias("arrival"), F.lit("s").alias("source"), F.lit("a").alias("primary"), F.format_string("text number %d of this source", F.col("id")).alias("text"),
+        named("id").alias("corpus_class"), F.lit("r").alias("reason"),
+    )
+    got = admission.ingest(rows, target=5, required=["a"]).collect()
+    assert len(got) == 30 and sum(r.outcome == "kept" for r in got) == 5
+    assert calls.value == 30
