@@ -126,8 +126,9 @@ def write_fanout(df: DataFrame, path: str, keys: list[str], fingerprint: str, ph
     no more files than that a key, and a key of very many rows takes that many tasks.
     """
     part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_key))
-    dealt = stamp(df, fingerprint, phase).withColumn("_part", part).repartition(*keys, "_part").sortWithinPartitions(*keys).drop("_part")
-    dealt.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
+    dealt = df.withColumn("_part", part).repartition(*keys, "_part").sortWithinPartitions(*keys).drop("_part")
+    # stamped last, so that no task shuffles and sorts the same four texts with every row
+    stamp(dealt, fingerprint, phase).write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def read_artifact(spark: SparkSession, path: str) -> DataFrame:

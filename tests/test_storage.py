@@ -290,3 +290,18 @@ def test_settled_sets_follow_arrival(spark):
         (gone if any(d in s and kept & {x for x in s if x < d} for s in sets) else kept).add(d)
     got = {r.doc_id for r in dedup.settled(spark.createDataFrame([(g, d) for g, s in enumerate(sets) for d in s], "group long, doc_id long")).collect()}
     assert got == gone
+
+
+def test_fanout_stamps_after_the_shuffle(spark, tmp_path, monkeypatch):
+    seen, stamp = [], artifacts.stamp
+
+    def watched(df, *args):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stamp(df, *args)
+
+    monkeypatch.setattr(artifacts, "stamp", watched)
+    path = f"file://{tmp_path}/fan"
+    artifacts.write_fanout(spark.range(30).selectExpr("id", "id % 3 AS c"), path, ["c"], "f1", "p")
+    assert "Sort [" in seen[0] and "RepartitionByExpression" in seen[0]
+    back = spark.read.parquet(path)
+    assert back.count() == 30 and set(artifacts.STAMP) <= set(back.columns)
